@@ -50,13 +50,23 @@ def fixed2(thousandths: Column) -> Column:
     return F.bround(thousandths, 2).cast("decimal(38,2)").cast("string")
 
 
-_PAIR, _SIDE = "\x1e", "\x1f"
+_ENTRY, _SIDE = "\x1e", "\x1f"
 
 
-def _lookup(table: dict[str, str]) -> Column:
-    """A map literal; one folded constant however many entries the table has."""
-    packed = _PAIR.join(f"{name}{_SIDE}{value}" for name, value in table.items())
-    return F.str_to_map(F.lit(packed), F.lit(_PAIR), F.lit(_SIDE))
+def _lookup(table: dict[str, str], name: Column) -> Column:
+    """Value of ``name`` in a fixed table, NULL when it is not there.
+
+    The table is one string literal: a map of this size would be slow to plan with, and as
+    slow to search.
+    """
+    packed = F.lit(_ENTRY + "".join(f"{n}{_SIDE}{v}{_ENTRY}" for n, v in table.items()))
+    wanted = F.concat(F.lit(_ENTRY), name, F.lit(_SIDE))
+    return F.when(
+        F.contains(packed, wanted),
+        F.substring_index(
+            F.call_function("substring_index", packed, wanted, F.lit(-1)), _ENTRY, 1
+        ),
+    )
 
 
 # The character references met in most running text, looked up first.
@@ -88,7 +98,7 @@ def _numeric(ref: Column) -> Column:
     )
     return (
         F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("�"))
-        .when(code.between(0x80, 0x9F), F.try_element_at(_lookup(_C1), code.cast("string")))
+        .when(code.between(0x80, 0x9F), _lookup(_C1, code.cast("string")))
         .when(unprintable, F.lit(""))
         .otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
     )
@@ -97,12 +107,10 @@ def _numeric(ref: Column) -> Column:
 def _named(ref: Column) -> Column:
     name = F.substr(ref, F.lit(2))
     prefix = F.regexp_extract(name, f"^(?:{_OPEN_NAMES})", 0)
-    by_prefix = F.concat(
-        F.try_element_at(_lookup(html5), prefix), F.substr(name, F.length(prefix) + 1)
-    )
+    by_prefix = F.concat(_lookup(html5, prefix), F.substr(name, F.length(prefix) + 1))
     return F.coalesce(
-        F.try_element_at(_lookup(_COMMON), name),
-        F.try_element_at(_lookup(html5), name),
+        _lookup(_COMMON, name),
+        _lookup(html5, name),
         F.when(prefix != "", by_prefix),
         ref,
     )

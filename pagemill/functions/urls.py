@@ -118,6 +118,25 @@ def normalize_url(url: Column, keep_query: bool = False) -> Column:
     )
 
 
+def path_and_query(url: Column, keep_origin: bool = False) -> Column:
+    """Path, parameters, query and fragment put together again; ``/`` when there is nothing.
+
+    ``keep_origin`` only tidies the URL: scheme and host stay, and nothing stays nothing.
+    """
+    none = F.lit("")
+    if keep_origin:
+        return _let(
+            _split(url),
+            lambda u: _glue(
+                u["scheme"], u["netloc"], u["path"], u["params"], u["query"], u["fragment"]
+            ),
+        )
+    rest = _let(
+        _split(url), lambda u: _glue(none, none, u["path"], u["params"], u["query"], u["fragment"])
+    )
+    return _let(rest, lambda p: F.when(p == "", F.lit("/")).otherwise(p))
+
+
 def origin(url: Column) -> Column:
     """``scheme://host`` as written, the key of a robots file."""
     return F.concat(url_scheme(url), F.lit("://"), url_netloc(url))

@@ -53,8 +53,11 @@ PARAGRAPH_ENDS = (
 PAGE_END = 2**31 - 1
 
 
-def attr(token: Column, name: str) -> Column:
-    """Value of one attribute of a tag token; '' when it has no value, NULL when it is absent."""
+def raw_attr(token: Column, name: str) -> Column:
+    """Value of one attribute of a tag token as written.
+
+    '' when it has no value, NULL when it is absent.
+    """
     pattern = (
         r"(?is)^<[a-z][^\s/>]*+(?:[\s/]++(?!" + name + r"(?:[\s=/>]|\z))[^\s=/>]++"
         r"""(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+"""
@@ -66,7 +69,12 @@ def attr(token: Column, name: str) -> Column:
         value.startswith('"') | value.startswith("'"),
         F.substr(value, F.lit(2), F.greatest(F.length(value) - 2, F.lit(0))),
     ).otherwise(value)
-    return F.when(token.rlike(rf"(?i)[\s/]{name}") & (found != ""), decode_entities(bare))
+    return F.when(token.rlike(rf"(?i)[\s/]{name}") & (found != ""), bare)
+
+
+def attr(token: Column, name: str) -> Column:
+    """Value of one attribute with its character references decoded."""
+    return decode_entities(raw_attr(token, name))
 
 
 def token_array(html: Column) -> Column:
@@ -235,12 +243,17 @@ def page_links(
     return resolved.select(key, "pos", "href", "target")
 
 
-def _attribute_columns(names: list[str]) -> dict[str, Column]:
-    return {name: F.when(F.col("kind") == "open", attr(F.col("tok"), name)) for name in names}
-
-
 def _with_attributes(tokens: DataFrame, names: list[str]) -> DataFrame:
-    return tokens.withColumns({f"a_{n}": c for n, c in _attribute_columns(names).items()})
+    """Add ``a_<name>`` for open tags; the values are decoded together, in one pass."""
+    together = F.concat_ws(
+        "\x05", *(F.coalesce(raw_attr(F.col("tok"), n), F.lit("")) for n in names)
+    )
+    wanted = (F.col("kind") == "open") & F.contains(F.col("tok"), F.lit("="))
+    return tokens.withColumn(
+        "_attributes", F.when(wanted, F.split(decode_entities(together), "\x05"))
+    ).select(
+        "*", *(F.col("_attributes")[i].alias(f"a_{n}") for i, n in enumerate(names))
+    ).drop("_attributes")
 
 
 def mark_junk(
@@ -253,6 +266,12 @@ def mark_junk(
     block starts or ends, so its state is the last of these events.
     """
     rules = JUNK_RULES if rules is None else rules
+    names = attributes_in(rules)
+    marked = _mark_junk(_with_attributes(tokens, names), key, rules)
+    return marked.drop(*(f"a_{n}" for n in names))
+
+
+def _mark_junk(tokens: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
     names = attributes_in(rules)
     page = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     hit = F.col("kind").isin("open", "raw") & any_rule(
@@ -260,9 +279,9 @@ def mark_junk(
     )
     paragraph = F.col("tag") == "p"
     event = F.col("kind").isin("open", "close") & F.col("tag").isin(PARAGRAPH_ENDS)
-    marked = _with_attributes(tokens, names).withColumn("hit", hit)
     return (
-        marked.withColumn(
+        tokens.withColumn("hit", hit)
+        .withColumn(
             "reach", F.max(F.when(F.col("hit") & ~paragraph, F.col("close_pos"))).over(page)
         )
         .withColumn("in_p", F.last(F.when(event, F.col("hit") & paragraph), True).over(page))
@@ -271,7 +290,7 @@ def mark_junk(
             F.coalesce(F.col("reach") >= F.col("pos"), F.lit(False))
             | F.coalesce(F.col("in_p"), F.lit(False)),
         )
-        .drop("hit", "reach", "in_p", *(f"a_{n}" for n in names))
+        .drop("hit", "reach", "in_p")
     )
 
 
@@ -315,13 +334,14 @@ def main_content(
     leaves out the head; a body that is itself boilerplate leaves the head's text.
     """
     rules = CONTENT_RULES if rules is None else rules
-    names = attributes_in(rules)
+    junk_rules = JUNK_RULES if junk_rules is None else junk_rules
+    names = attributes_in(rules, junk_rules)
     is_open, tag = F.col("kind") == "open", F.col("tag")
     order = Window.partitionBy(key).orderBy("pos")
     page = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     clean = (
-        mark_junk(tokens, key, junk_rules)
+        _mark_junk(_with_attributes(tokens, names), key, junk_rules)
         .withColumn("has_body", F.max(is_open & (tag == "body")).over(page))
         .withColumn(
             "head_end",
@@ -346,7 +366,7 @@ def main_content(
             F.when(tag == "body", F.lit(len(rules))),
         ),
     )
-    ranked = _with_attributes(clean, names).withColumn("rank", rank)
+    ranked = clean.withColumn("rank", rank)
     chosen = F.min(
         F.when(F.col("rank").isNotNull(), F.struct("rank", "pos", "close_pos"))
     ).over(page)

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import decode_entities, is_blank, squeeze, strip
-from pagemill.operators.html import PAGE_END, attr
+from pagemill.functions.text import decode_entities, squeeze, strip
+from pagemill.operators.html import PAGE_END, raw_attr
 
 # The elements that start and end a block.
 BLOCK_TAGS = "h1 h2 h3 h4 h5 h6 p ul ol li pre".split()
@@ -26,26 +26,46 @@ def escape(text: Column) -> Column:
     return F.regexp_replace(text, r"([*_])", r"\\$1")
 
 
+def _payload(kind: Column, tag: Column, tok: Column) -> Column:
+    """What a token contributes, as written: its text, or the attributes its Markdown needs."""
+
+    def value(name: str) -> Column:
+        return F.coalesce(raw_attr(tok, name), F.lit(""))
+
+    return (
+        F.when(kind == "text", tok)
+        .when(kind == "raw", F.regexp_replace(tok, r"(?is)^<(\w+)[^>]*>|</\w+\s*>\z", ""))
+        .when((kind == "open") & (tag == "a"), F.concat(value("href"), F.lit(TITLE), value("title")))
+        .when(
+            (kind == "open") & (tag == "img"),
+            F.concat(value("alt"), F.lit(MORE), value("src"), F.lit(TITLE), value("title")),
+        )
+        .otherwise(F.lit(""))
+    )
+
+
 def _titled(title: Column) -> Column:
     quoted = F.concat(F.lit(' "'), F.replace(title, F.lit('"'), F.lit('\\"')), F.lit('"'))
-    return F.when(F.coalesce(title, F.lit("")) != "", quoted).otherwise(F.lit(""))
+    return F.when(title != "", quoted).otherwise(F.lit(""))
 
 
-def _link_start(tok: Column) -> Column:
-    href = F.coalesce(attr(tok, "href"), F.lit(""))
+def _link_start(payload: Column) -> Column:
+    href = F.substring_index(payload, TITLE, 1)
+    title = F.substring_index(payload, TITLE, -1)
     return F.when(
         href != "",
         F.concat(
-            F.lit(LINK), href, F.lit(TITLE), _titled(attr(tok, "title")),
-            F.lit(SAME), escape(href), F.lit(TEXT),
+            F.lit(LINK), href, F.lit(TITLE), _titled(title), F.lit(SAME), escape(href), F.lit(TEXT)
         ),
     ).otherwise(F.lit(""))
 
 
-def _image(tok: Column) -> Column:
+def _image(payload: Column) -> Column:
+    target = F.substring_index(payload, MORE, -1)
     return F.concat(
-        F.lit(IMAGE), F.coalesce(attr(tok, "alt"), F.lit("")), F.lit(MORE + "]("),
-        F.coalesce(attr(tok, "src"), F.lit("")), _titled(attr(tok, "title")), F.lit(")" + DONE),
+        F.lit(IMAGE), F.substring_index(payload, MORE, 1), F.lit(MORE + "]("),
+        F.substring_index(target, TITLE, 1), _titled(F.substring_index(target, TITLE, -1)),
+        F.lit(")" + DONE),
     )
 
 
@@ -93,7 +113,7 @@ def content_blocks(tokens: DataFrame, key: str = "page_id") -> DataFrame:
     is_list = tag.isin(LIST_TAGS)
     closed = F.col("close_pos") < PAGE_END
 
-    states = tokens.withColumns(
+    states = tokens.withColumn("payload", decode_entities(_payload(kind, tag, tok))).withColumns(
         {
             "pre_end": F.max(F.when(is_open & (tag == "pre"), F.col("close_pos"))).over(before),
             "code_end": F.max(
@@ -107,7 +127,7 @@ def content_blocks(tokens: DataFrame, key: str = "page_id") -> DataFrame:
             "a_open": F.last(
                 F.when(
                     (tag == "a") & (is_open | is_close),
-                    F.when(is_open & closed, tok).otherwise(F.lit("")),
+                    F.when(is_open & closed, F.col("payload")).otherwise(F.lit("")),
                 ),
                 True,
             ).over(upto),
@@ -118,18 +138,14 @@ def content_blocks(tokens: DataFrame, key: str = "page_id") -> DataFrame:
     ).withColumn("edge", (is_open | is_close) & tag.isin(BLOCK_TAGS) & ~F.col("in_pre"))
 
     edge, in_pre, in_code = F.col("edge"), F.col("in_pre"), F.col("in_code")
-    plain = decode_entities(
-        F.when(
-            kind == "raw", F.regexp_replace(tok, r"(?is)^<(\w+)[^>]*>|</\w+\s*>\z", "")
-        ).otherwise(tok)
-    )
+    plain = F.col("payload")
     piece = (
         F.when(kind.isin("text", "raw"), F.when(in_code, plain).otherwise(escape(plain)))
         .when(edge & is_open & (tag == "pre"), F.lit(""))
         .when(edge & (F.col("a_open") != ""), _link_start(F.col("a_open")))
         .when(in_pre, F.lit(""))
-        .when((tag == "a") & ~in_code, F.when(is_open, _link_start(tok)).when(is_close, F.lit(END)))
-        .when((tag == "img") & is_open, _image(tok))
+        .when((tag == "a") & ~in_code, F.when(is_open, _link_start(plain)).when(is_close, F.lit(END)))
+        .when((tag == "img") & is_open, _image(plain))
         .when((tag == "code") & is_open & closed, F.lit(CODE_ON))
         .when((tag == "code") & is_close & F.col("open_pos").isNotNull(), F.lit(CODE_OFF))
         .otherwise(F.lit(""))
@@ -151,7 +167,7 @@ def content_blocks(tokens: DataFrame, key: str = "page_id") -> DataFrame:
         F.when(edge, is_open).alias("opens"),
         F.when(edge, F.col("depth")).alias("depth"),
         F.when(edge & (F.col("depth") > 0), F.col("root")).alias("root"),
-        F.when(edge & is_open & (tag == "ol"), attr(tok, "start").try_cast("int")).alias("start"),
+        F.when(edge & is_open & (tag == "ol"), raw_attr(tok, "start").try_cast("int")).alias("start"),
     )
     # Only the token that begins a block has values here, so ``max`` simply picks them up.
     return numbered.groupBy(key, "block").agg(
