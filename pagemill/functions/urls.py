@@ -13,8 +13,10 @@ from urllib.parse import uses_netloc, uses_params, uses_relative
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Scheme, netloc, path, parameters of the last segment (with their semicolon), query, fragment.
 _PARTS = (
-    r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
+    r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?((?:[^?#]*/)?[^?#;]*)(;[^?#]*)?"
+    r"(?:\?([^#]*))?(?:#(.*))?\z"
 )
 _NETLOC_SCHEMES = [s for s in uses_netloc if s]
 _PARAM_SCHEMES = list(uses_params)
@@ -25,39 +27,35 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _named(**fields: Column) -> Column:
+    """A struct whose field names hold inside nested lambdas, where aliases can get lost."""
+    return F.named_struct(*(c for name, value in fields.items() for c in (F.lit(name), value)))
+
+
 def _tidy(url: Column) -> Column:
     """Drop leading control characters and blanks, and line breaks and tabs anywhere."""
     return F.translate(F.regexp_replace(url, r"^[\x00-\x20]+", ""), "\t\r\n", "")
 
 
 def _split(url: Column) -> Column:
-    """STRUCT of scheme (lower case), netloc, path, params, query and fragment."""
-
-    def parts(u: Column) -> Column:
-        return F.struct(
-            F.lower(F.regexp_extract(u, _PARTS, 1)).alias("scheme"),
-            F.regexp_extract(u, _PARTS, 2).alias("netloc"),
-            F.regexp_extract(u, _PARTS, 3).alias("full_path"),
-            F.regexp_extract(u, _PARTS, 4).alias("query"),
-            F.regexp_extract(u, _PARTS, 5).alias("fragment"),
-        )
+    """STRUCT of scheme (lower case), netloc, path, params, query and fragment.
 
-    def with_params(p: Column) -> Column:
-        has = p["scheme"].isin(_PARAM_SCHEMES) & F.contains(p["full_path"], F.lit(";"))
-        return F.struct(
-            p["scheme"].alias("scheme"),
-            p["netloc"].alias("netloc"),
-            F.when(has, F.regexp_replace(p["full_path"], r";[^/]*\z", ""))
-            .otherwise(p["full_path"])
-            .alias("path"),
-            F.when(has, F.regexp_extract(p["full_path"], r";([^/]*)\z", 1))
-            .otherwise(F.lit(""))
-            .alias("params"),
-            p["query"].alias("query"),
-            p["fragment"].alias("fragment"),
+    The parts are found by one match; line breaks can part them, as a tidy URL has none.
+    """
+
+    def fields(p: Column) -> Column:
+        has_params = F.lower(p[0]).isin(_PARAM_SCHEMES)
+        return _named(
+            scheme=F.lower(p[0]),
+            netloc=p[1],
+            path=F.when(has_params, p[2]).otherwise(F.concat(p[2], p[3])),
+            params=F.when(has_params, F.substr(p[3], F.lit(2))).otherwise(F.lit("")),
+            query=p[4],
+            fragment=p[5],
         )
 
-    return F.when(url.isNotNull(), _let(_let(_tidy(url), parts), with_params))
+    parts = F.split(F.regexp_replace(_tidy(url), _PARTS, "$1\n$2\n$3\n$4\n$5\n$6"), "\n")
+    return F.when(url.isNotNull(), _let(parts, fields))
 
 
 def url_scheme(url: Column) -> Column:
@@ -167,6 +165,29 @@ def in_scope(url: Column, host: Column) -> Column:
     )
 
 
+def link_target(
+    base: Column, host: Column, href: Column, keep_query: bool = False, scoped: bool = True
+) -> Column:
+    """Normalised absolute form of ``href``; NULL when ``scoped`` and not a web link to ``host``.
+
+    In a normalised URL the host ends at the third slash, so no further match is needed.
+    """
+    target = normalize_url(resolve_url(base, href), keep_query)
+    if not scoped:
+        return target
+    return _let(
+        target,
+        lambda t: F.when(
+            (host != "")
+            & F.substring_index(F.substring_index(t, "?", 1), "/", 3).isin(
+                F.concat(F.lit("http://"), F.lower(host)), F.concat(F.lit("https://"), F.lower(host))
+            )
+            & ~malformed(t),
+            t,
+        ),
+    )
+
+
 def _remove_dots(path: Column, rooted: Column) -> Column:
     """Resolve ``.`` and ``..`` segments; a path that was not rooted loses empty inner ones."""
     nothing = F.array().cast("array<string>")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import decode_entities, strip
-from pagemill.functions.urls import in_scope, normalize_url, resolve_url, url_netloc
+from pagemill.functions.urls import link_target, normalize_url, url_netloc
 from pagemill.operators.rules import (
     CONTENT_RULES,
     JUNK_RULES,
@@ -224,23 +224,26 @@ def page_links(
     """
     if resolve_against not in ("normalized", "raw"):
         raise ValueError("resolve_against must be 'normalized' or 'raw'")
+    from_url = normalize_url(F.col(base)) if resolve_against == "normalized" else F.col(base)
     anchors = (
-        pages.select(
+        pages.where(F.col(html).isNotNull())
+        .select(
             key,
-            normalize_url(F.col(base)).alias("_base") if resolve_against == "normalized"
-            else F.col(base).alias("_base"),
-            F.posexplode(token_array(F.col(html))).alias("pos", "tok"),
+            from_url.alias("_base"),
+            url_netloc(F.col(base)).alias("_host"),
+            token_array(F.col(html)).alias("_toks"),
         )
+        .select(key, "_base", "_host", F.posexplode("_toks").alias("pos", "tok"))
         .where(F.col("tok").rlike(r"(?i)^<a[\s/]") & F.col("tok").endswith(">"))
-        .select(key, "_base", "pos", attr(F.col("tok"), "href").alias("href"))
-        .where(F.col("href").isNotNull())
     )
-    resolved = anchors.withColumn(
-        "target", normalize_url(resolve_url(F.col("_base"), F.col("href")), keep_query)
+    # Generators, unlike projections, are not copied into the filters above them: each link is
+    # taken apart once.
+    hrefs = anchors.select(
+        key, "_base", "_host", "pos",
+        F.explode(F.array_compact(F.array(attr(F.col("tok"), "href")))).alias("href"),
     )
-    if scoped:
-        resolved = resolved.where(in_scope(F.col("target"), url_netloc(F.col("_base"))))
-    return resolved.select(key, "pos", "href", "target")
+    target = link_target(F.col("_base"), F.col("_host"), F.col("href"), keep_query, scoped)
+    return hrefs.select(key, "pos", "href", F.explode(F.array_compact(F.array(target))).alias("target"))
 
 
 def _with_attributes(tokens: DataFrame, names: list[str]) -> DataFrame:
@@ -373,7 +376,7 @@ def main_content(
     return (
         ranked.withColumn("chosen", chosen)
         .where(
-            (F.col("pos") == 0)
+            (F.col("tok") == "")  # the row every page has, see page_tokens
             | F.col("chosen").isNull()
             | F.col("pos").between(F.col("chosen.pos"), F.col("chosen.close_pos"))
         )

@@ -76,7 +76,6 @@ def parse_robots(bodies: DataFrame) -> DataFrame:
     )
     entry = Window.partitionBy("origin", "entry_no").orderBy("line_no")
     whole = entry.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # The agents of an entry are repeated on its first rule line only; see the aggregate below.
     members = numbered.withColumn("opens", F.first("event").over(whole) == "agent").where("opens")
     entries = members.groupBy("origin", "entry_no").agg(
         F.collect_list(F.when(F.col("event") == "agent", F.col("value"))).alias("agents"),

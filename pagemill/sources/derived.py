@@ -68,10 +68,29 @@ select doc_id, concat(text,
 from {documents}
 """
 
+ROBOTS_SQL = """
+with o as (select distinct regexp_extract(lower({column}), '^[a-z]+://[^/?#]+', 0) as origin from {urls}),
+v as (select origin, (length(origin) + 5 + ascii(substr(origin, 10, 1))) % 10 as v from o)
+select origin,
+  case v when 5 then 401 when 6 then 404 when 7 then 500 when 8 then cast(null as int) else 200 end as http_status,
+  case v
+    when 0 then concat('User-agent: *', chr(10), 'Disallow: /en/1', chr(10), 'Allow: /en', chr(10))
+    when 1 then concat('User-agent: other', chr(10), 'User-agent: PageMill', chr(10),
+                       'Disallow: /p/4 # four', chr(10), 'Disallow: /en/2', chr(10), chr(10),
+                       'User-agent: *', chr(10), 'Disallow: /', chr(10))
+    when 2 then concat('Disallow: /', chr(10), chr(10), 'User-agent: *', chr(10), 'Disallow:', chr(10))
+    when 3 then concat('User-agent: *', chr(10), chr(10), 'Disallow: /', chr(10))
+    when 4 then concat('User-agent: *', chr(10), '# note', chr(10), 'Disallow: /%65n/', chr(10),
+                       'Disallow: *', chr(10), 'disallow : /p/5', chr(10))
+    when 9 then concat('User-agent: pagemill', chr(10), 'Crawl-delay: 3', chr(10), chr(10),
+                       'User-agent: *', chr(10), 'Disallow: /', chr(10))
+  end as body
+from v
+"""
+
 
 def _run(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
-    names = {name: "{" + name + "}" for name in tables}
-    return spark.sql(sql.format(text="string", **names), **tables)
+    return spark.sql(sql.replace("{text}", "string"), **tables)
 
 
 def site(pages: DataFrame) -> DataFrame:
@@ -90,3 +109,9 @@ def rich_pages(pages: DataFrame) -> DataFrame:
 
 def dirty_lines(documents: DataFrame) -> DataFrame:
     return _run(documents.sparkSession, DIRTY_SQL, documents=documents.select("doc_id", "text"))
+
+
+def robots_bodies(urls: DataFrame, column: str = "url") -> DataFrame:
+    """One robots answer for each origin that occurs."""
+    sql = ROBOTS_SQL.replace("{column}", column)
+    return _run(urls.sparkSession, sql, urls=urls.select(column))
