@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import byte_size, token_count
+from pagemill.functions.text import byte_size
 from pagemill.functions.urls import normalize_url, resolve_url, url_host
 from pagemill.operators import corpus, crawl, html, lines, markdown, robots
 from pagemill.operators.documents import page_documents, page_markdown
@@ -162,24 +162,25 @@ def junk_by_rule(spark, folder):
 def _rendered(source: DataFrame) -> DataFrame:
     tokens = html.match_elements(html.page_tokens(source))
     blocks = markdown.content_blocks(html.main_content(tokens))
-    return markdown.render_blocks(blocks).where("line <> ''").select(
-        "page_id", F.col("block").cast("bigint").alias("block"), "kind", "sep", "line"
-    )
+    return markdown.render_blocks(blocks).where("line <> ''")
 
 
 @_query
 def md_blocks(spark, folder):
-    return _rendered(pages(spark, folder))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("block")).cast("bigint")
+    return _rendered(pages(spark, folder)).select(
+        "page_id", place.alias("place"), "kind", "sep", "line"
+    )
 
 
 @_query
 def md_headings(spark, folder):
-    return _rendered(pages(spark, folder)).where("kind = 'heading'").select("page_id", "block", "line")
+    return _rendered(pages(spark, folder)).where("kind = 'heading'").select("page_id", "line")
 
 
 @_query
 def md_lists(spark, folder):
-    return _rendered(rich(spark, folder)).where("kind = 'item'").select("page_id", "block", "sep", "line")
+    return _rendered(rich(spark, folder)).where("kind = 'item'").select("page_id", "sep", "line")
 
 
 @_query
