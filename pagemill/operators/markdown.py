@@ -258,7 +258,7 @@ def render_blocks(blocks: DataFrame, key: str = "page_id") -> DataFrame:
         F.when(first, F.lit("")).when(tight, F.lit("\n")).otherwise(F.lit("\n\n")).alias("sep"),
         F.when(F.col("text") == "", F.lit(""))
         .when((depth > 0) & fenced,
-              F.concat(indent, marker, F.replace(body, F.lit("\n"), F.concat(F.lit("\n"), indent))))
+              F.concat(indent, marker, F.replace(body, F.lit("\n"), F.concat(F.lit("\n"), F.repeat(F.lit("  "), depth)))))
         .otherwise(F.concat(indent, marker, body))
         .alias("line"),
         "note",
