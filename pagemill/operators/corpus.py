@@ -7,11 +7,12 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import fixed2
+from pagemill.functions.text import fixed2, token_count
 from pagemill.functions.urls import malformed, url_netloc
 from pagemill.operators.crawl import VISIT_ORDER
 from pagemill.operators.documents import error_page, has_error, page_documents
-from pagemill.functions.text import token_count
+from pagemill.operators.stage import Stage
+from pagemill.sources.captures import fetch_outcomes
 
 # Fixed value: what stands between two documents.
 SEPARATOR = "\n\n---\n\n"
@@ -21,10 +22,10 @@ def crawl_documents(results: DataFrame, fetches: DataFrame, **options) -> DataFr
     """Document of every result, in the columns of both.
 
     A page seen by many crawls is converted once: Markdown is made per captured page that was
-    visited, then joined by requested URL.  Error pages are written from the result alone.
+    visited, then joined by requested URL.  Error pages are written from the result alone.  The
+    documents are written to the shared folder, because statistics, report and corpus all read
+    them and conversion is the costly part of a job.
     """
-    from pagemill.sources.captures import fetch_outcomes
-
     visited = results.where(~has_error(F.col("error"))).select("requested_url").distinct()
     wanted = fetch_outcomes(fetches).join(visited, "requested_url", "left_semi")
     made = page_documents(wanted, key="requested_url", **options).select(
@@ -38,12 +39,13 @@ def crawl_documents(results: DataFrame, fetches: DataFrame, **options) -> DataFr
     text = F.when(failed, error_page(F.col("url"), F.col("error"))).otherwise(
         F.coalesce("_markdown", F.lit(""))
     )
-    return joined.select(
+    documents = joined.select(
         *results.drop("content").columns,
         text.alias("markdown"),
         F.when(failed, token_count(text)).otherwise(F.coalesce("_tokens", F.lit(0))).alias("token_count"),
         F.when(failed, F.lit(0)).otherwise(F.coalesce("_bytes", F.lit(0))).cast("bigint").alias("byte_size"),
     )
+    return Stage(results.sparkSession, "documents").save(documents, "all")
 
 
 def failure_label(url: Column, status: Column, error: Column) -> Column:

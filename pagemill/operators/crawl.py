@@ -28,8 +28,8 @@ def crawl_visits(
     of the links that led to the URL; among URLs of one depth it sorts in the order a first-in
     first-out walk would visit them, so no level needs to be numbered as a whole.
 
-    Links are extracted once.  Each level is one join of the frontier with the links, one
-    aggregate (combined before its shuffle, so a much-linked URL is no hot key) and one anti-join
+    Links are extracted once, while the pages are read.  Each level is a robots verdict on the
+    frontier (never on all links), one join of the frontier with the links, one aggregate (combined before its shuffle, so a much-linked URL is no hot key) and one anti-join
     with the levels before it.  Levels are written to the shared folder; the driver sees only
     their row counts.
     """
@@ -45,11 +45,8 @@ def crawl_visits(
         resolve_against=resolve_against,
         keep_query=keep_query,
     ).select(F.col("requested_url").alias("source"), "pos", "target")
-    if robots is not None:
-        links = robots_verdicts(links, robots_table(robots, agent), "source")
-    else:
-        links = links.withColumn("allowed", F.lit(True))
     links = stage.save(links, "links")
+    verdicts = None if robots is None else stage.save(robots_table(robots, agent), "robots")
 
     first = seeds.select(
         "crawl_id",
@@ -67,9 +64,8 @@ def crawl_visits(
     settings = ["start_url", "max_depth", "delay_ms", "respect_robots"]
     for depth in range(1, deepest + 1):
         reached = (
-            level.where(F.col("max_depth") >= depth)
+            _not_blocked(level.where(F.col("max_depth") >= depth), verdicts)
             .join(links, F.col("requested_url") == F.col("source"))
-            .where(F.col("allowed") | ~F.col("respect_robots"))
             .groupBy("crawl_id", "target")
             .agg(
                 F.min(F.concat("ord", F.array("pos"))).alias("ord"),
@@ -88,6 +84,13 @@ def crawl_visits(
     return stage.load(names, first)
 
 
+def _not_blocked(visits: DataFrame, verdicts: DataFrame | None) -> DataFrame:
+    if verdicts is None:
+        return visits
+    judged = robots_verdicts(visits, verdicts, "requested_url")
+    return judged.where(F.col("allowed") | ~F.col("respect_robots")).drop("allowed")
+
+
 def bounded_crawl(
     seeds: DataFrame,
     fetches: DataFrame,

@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import byte_size, is_blank, token_count
-from pagemill.operators.html import extract_title, main_content, match_elements, page_tokens
+from pagemill.operators.html import (
+    main_content,
+    match_elements,
+    page_tokens,
+    text_token_array,
+    title_of,
+)
 from pagemill.operators.lines import clean_lines
 from pagemill.operators.markdown import content_blocks, join_blocks, render_blocks
 
@@ -20,6 +26,7 @@ def page_markdown(
     content_rules=None,
     colocated: bool = False,
     clean: bool = True,
+    toks: str | None = None,
     **line_rules,
 ) -> DataFrame:
     """HTML to clean Markdown: ``key, markdown`` and the ``carry`` columns, one row per page.
@@ -27,7 +34,7 @@ def page_markdown(
     One shuffle, of pages without scripts and comments; none at all when ``colocated``.
     """
     carry = carry or []
-    tokens = match_elements(page_tokens(pages, key, html, carry, colocated), key)
+    tokens = match_elements(page_tokens(pages, key, html, carry, colocated, toks), key)
     kept = main_content(tokens, key, content_rules, junk_rules)
     texts = join_blocks(render_blocks(content_blocks(kept, key), key), key)
     if clean:
@@ -96,20 +103,25 @@ def page_documents(
     keep = keep or []
     failed = F.col(error) if error else F.lit(None).cast("string")
     broken = F.col(convert_error) if convert_error else F.lit(None).cast("string")
-    usable = F.when(~has_error(failed) & ~has_error(broken), F.col(html))
-    slim = results.select(
+    good = ~has_error(failed)
+    # The title and the Markdown come from the same tokens: a page is matched once.
+    tokenised = results.select(
         key,
         *keep,
         F.col(url).alias("_url"),
-        F.when(~has_error(failed), extract_title(F.col(html))).alias("_title"),
         failed.alias("_error"),
         broken.alias("_broken"),
-        F.when(~has_error(failed), F.coalesce(byte_size(F.col(html)), F.lit(0)))
+        F.when(good, F.coalesce(byte_size(F.col(html)), F.lit(0)))
         .otherwise(F.lit(0)).cast("bigint").alias("_bytes"),
-        usable.alias("_html"),
+        F.when(good, text_token_array(F.col(html))).alias("_all"),
+    )
+    slim = tokenised.select(
+        key, *keep, "_url", "_error", "_broken", "_bytes",
+        title_of(F.col("_all")).alias("_title"),
+        F.when(~has_error(F.col("_broken")), F.col("_all")).alias("_toks"),
     )
     carry = [*keep, "_url", "_title", "_error", "_broken", "_bytes"]
-    made = page_markdown(slim, key, "_html", carry, **options)
+    made = page_markdown(slim, key, carry=carry, toks="_toks", **options)
     text = F.when(has_error(F.col("_broken")), convert_failure(F.col("_broken"))).otherwise(
         F.col("markdown")
     )

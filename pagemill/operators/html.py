@@ -81,6 +81,14 @@ def token_array(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))
 
 
+def text_token_array(html: Column) -> Column:
+    """Tokens without the control characters that HTML has no use for; see the renderer."""
+    dirty = html.rlike(r"[\x01-\x08\x0e\x0f]")
+    return token_array(
+        F.when(dirty, F.translate(html, "\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f", "")).otherwise(html)
+    )
+
+
 def _kind(tok: Column) -> Column:
     return (
         F.when(~tok.startswith("<") | (tok == "<"), F.lit("text"))
@@ -118,6 +126,7 @@ def page_tokens(
     html: str = "html",
     carry: list[str] | None = None,
     colocated: bool = False,
+    toks: str | None = None,
 ) -> DataFrame:
     """Tokens that can carry text or structure, with all tokens of a page in one partition.
 
@@ -125,12 +134,15 @@ def page_tokens(
     of the bytes.  Position 0 is an empty text token that every page has, NULL pages too; it
     holds the ``carry`` columns, so that they need not be joined back later.  ``colocated``
     leaves the shuffle out for input that is already clustered by ``key`` (a bucketed table).
+    ``toks`` names a column of tokens to be used in place of the HTML.
     """
     carry = carry or []
     useful = F.filter(
-        token_array(F.translate(F.col(html), "\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f", "")),
+        F.col(toks) if toks else text_token_array(F.col(html)),
         lambda t: ~(
-            t.startswith("<!") | t.startswith("<?") | t.rlike(r"(?i)^<(?:script|style)[\s/>]")
+            t.startswith("<!")
+            | t.startswith("<?")
+            | ((t.startswith("<s") | t.startswith("<S")) & t.rlike(r"(?i)^<(?:script|style)[\s/>]"))
         ),
     )
     narrow = pages.select(
@@ -200,11 +212,20 @@ def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
 
 def extract_title(html: Column) -> Column:
     """Text of the first title, ``No Title`` when the page has none."""
+    return F.when(html.isNotNull(), title_of(token_array(html)))
+
+
+def title_of(toks: Column) -> Column:
+    """The same, from the tokens of a page."""
     first = F.try_element_at(
-        F.filter(token_array(html), lambda t: t.rlike(r"(?i)^<title[\s/>]")), F.lit(1)
+        F.filter(
+            toks,
+            lambda t: (t.startswith("<t") | t.startswith("<T")) & t.rlike(r"(?i)^<title[\s/>]"),
+        ),
+        F.lit(1),
     )
     inner = F.regexp_replace(first, r"(?is)^<title[^>]*>|</title\s*>\z", "")
-    return F.when(html.isNotNull(), F.coalesce(strip(decode_entities(inner)), F.lit("No Title")))
+    return F.when(toks.isNotNull(), F.coalesce(strip(decode_entities(inner)), F.lit("No Title")))
 
 
 def page_links(

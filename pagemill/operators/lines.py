@@ -19,8 +19,12 @@ _EDGE = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
 
 def is_gibberish(line: Column, run: str = GIBBERISH_RUN) -> Column:
-    """Does a long run of encoded-looking characters stand between two word edges?"""
-    return (F.length(line) >= 100) & line.rlike(run) & line.rlike(_EDGE + run + _EDGE)
+    """Does a long run of encoded-looking characters stand between two word edges?
+
+    The cheap test looks only where a run can begin; few lines need the exact one.
+    """
+    start = f"(?<!{run[: run.index(']') + 1]})" if run == GIBBERISH_RUN else ""
+    return line.rlike(start + run) & line.rlike(_EDGE + run + _EDGE)
 
 
 def is_short(stripped: Column, min_line: int = MIN_LINE) -> Column:

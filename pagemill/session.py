@@ -20,6 +20,9 @@ def build_session(app: str = "pagemill", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        # Page bytes grow many times after their shuffle, so small partitions are worth keeping.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for name, value in settings.items():
