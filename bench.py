@@ -19,7 +19,7 @@ from pagemill.session import build_session
 
 HEADLINES = (
     "normalized_urls", "fetches", "page_titles", "html_tokens", "element_spans", "links_scoped", "page_links",
-    "main_content", "md_blocks", "clean_lines", "page_documents_all", "robots_verdicts",
+    "main_content", "md_blocks", "clean_lines", "page_documents", "robots_verdicts",
     "crawl_site", "crawl_progress", "crawl_stats", "combined_corpus",
 )
 

@@ -350,7 +350,7 @@ def oracle_sql() -> dict[str, str]:
         "pages_per_host": "select lower(regexp_extract(url, '//([^/?#]*)', 1)) as host, count(*) as n_pages from pages group by 1",
         "fetches": f"select page_id, {norm('url')} as requested_url, url as final_url, 200 as status_code, length(html)::bigint as n_chars "
         f"from pages qualify row_number() over (partition by {norm('url')} order by page_id) = 1",
-        "fetch_outcomes_site": f"""select requested_url, case when status_code = 200 then {norm('final_url')} else requested_url end as url, status_code,
+        "fetch_outcomes": f"""select requested_url, case when status_code = 200 then {norm('final_url')} else requested_url end as url, status_code,
             case when status_code = 200 then regexp_extract(content, '<title>(.*?)</title>', 1) end as title, error,
             status_code = 200 and {norm('final_url')} <> {norm('requested_url')} as is_redirect, strlen(content)::bigint as n_bytes from {SITE}""",
         "redirects": f"select requested_url, {norm('final_url')} as url from {SITE} where status_code = 200 and {norm('final_url')} <> {norm('requested_url')}",
@@ -379,7 +379,7 @@ def oracle_sql() -> dict[str, str]:
         "short_lines": f"{dirty} select doc_id, line_no, line from judged where short",
         "low_variety_lines": f"{dirty} select doc_id, line_no, line from judged where monotone",
         "clean_lines": f"{dirty} select doc_id, markdown from cleaned",
-        "page_documents_all": f"with {page_md('pages')}, {DOCS} select page_id, url, title, markdown from docs",
+        "page_documents": f"with {page_md('pages')}, {DOCS} select page_id, url, title, markdown from docs",
         "token_counts": f"with {page_md('pages')}, {DOCS} select page_id, {count_words('markdown')} as token_count from docs",
         "byte_sizes": "select page_id, strlen(html)::bigint as byte_size from pages",
         "robots_rules": f"with {robots(PAGE_ROBOTS, '')} select origin, entry_no, agents, rule_no, path, allow from rules",

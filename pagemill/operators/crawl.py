@@ -21,6 +21,7 @@ def crawl_visits(
     agent: str = AGENT,
     keep_query: bool = False,
     resolve_against: str = "normalized",
+    link_buckets: int | None = None,
 ) -> DataFrame:
     """Every URL each crawl reaches, with its depth and place in the visit order.
 
@@ -30,8 +31,12 @@ def crawl_visits(
 
     Links are extracted once, while the pages are read.  Each level is a robots verdict on the
     frontier (never on all links), one join of the frontier with the links, one aggregate (combined before its shuffle, so a much-linked URL is no hot key) and one anti-join
-    with the levels before it.  Levels are written to the shared folder; the driver sees only
-    their row counts.
+    with the levels before it.  Levels are written to the shared folder; the driver only asks
+    whether the last one is empty.
+
+    ``link_buckets`` stores the links clustered by their page, so that levels too big to be
+    broadcast move the frontier only.  Leave it out when very many crawls visit one URL at the same
+    depth: adaptive execution can split such a key only in a join that shuffles both sides.
     """
     spark = seeds.sparkSession
     stage = Stage(spark, "crawl")
@@ -45,7 +50,10 @@ def crawl_visits(
         resolve_against=resolve_against,
         keep_query=keep_query,
     ).select(F.col("requested_url").alias("source"), "pos", "target")
-    links = stage.save(links, "links")
+    if link_buckets:
+        links = stage.save_clustered(links, "links", "source", link_buckets)
+    else:
+        links = stage.save(links, "links")
     verdicts = None if robots is None else stage.save(robots_table(robots, agent), "robots")
 
     first = seeds.select(
@@ -99,13 +107,17 @@ def bounded_crawl(
     keep_query: bool = False,
     resolve_against: str = "normalized",
     dedupe_final_url: bool = False,
+    link_buckets: int | None = None,
 ) -> DataFrame:
     """Result of every page attempt of every crawl, the walk of :func:`crawl_visits` included.
 
+    ``seeds`` has ``crawl_id, start_url, max_depth, delay_ms, respect_robots``.  ``fetches`` has one
+    record per normalised requested URL, as :func:`as_fetches` makes them.
+
     A URL that was not captured is a transport error, one that robots rules forbid a 403 without
     content.  ``dedupe_final_url`` keeps only the first result of each final URL in a crawl.
     """
-    visits = crawl_visits(seeds, fetches, robots, agent, keep_query, resolve_against)
+    visits = crawl_visits(seeds, fetches, robots, agent, keep_query, resolve_against, link_buckets)
     return crawl_results(visits, fetches, robots, agent, keep_query, dedupe_final_url)
 
 

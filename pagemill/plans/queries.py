@@ -23,7 +23,8 @@ _QUERIES: dict[str, Query] = {}
 
 
 def _query(make: Query) -> Query:
-    _QUERIES[make.__name__] = make
+    """Register under the function's name; ``_query`` at its end only avoids a clash."""
+    _QUERIES[make.__name__.removesuffix("_query")] = make
     return make
 
 
@@ -70,7 +71,7 @@ def fetches(spark, folder):
 
 
 @_query
-def fetch_outcomes_site(spark, folder):
+def fetch_outcomes_query(spark, folder):
     return fetch_outcomes(site(spark, folder)).select(
         "requested_url", "url", "status_code", "title", "error", "is_redirect",
         F.octet_length("content").cast("bigint").alias("n_bytes"),
@@ -241,7 +242,7 @@ def _documents(spark, folder) -> DataFrame:
 
 
 @_query
-def page_documents_all(spark, folder):
+def page_documents_query(spark, folder):
     return _documents(spark, folder).select("page_id", "url", "title", "markdown")
 
 

@@ -24,13 +24,15 @@ def save_bucketed_pages(pages: DataFrame, table: str, buckets: int, key: str = "
     pages.write.bucketBy(buckets, key).sortBy(key).mode("overwrite").saveAsTable(table)
 
 
-def as_fetches(pages: DataFrame) -> DataFrame:
+def as_fetches(pages: DataFrame, keep_query: bool = False) -> DataFrame:
     """One successful fetch record per normalised URL; the lowest ``page_id`` wins.
 
     The winners are found on URLs alone, so page bodies are shuffled at most once, and copies of
     one URL are reduced before the shuffle however many there are.
     """
-    keyed = pages.select("page_id", "url", "html", normalize_url(F.col("url")).alias("requested_url"))
+    keyed = pages.select(
+        "page_id", "url", "html", normalize_url(F.col("url"), keep_query).alias("requested_url")
+    )
     winners = keyed.groupBy("requested_url").agg(F.min("page_id").alias("page_id")).select("page_id")
     return keyed.join(winners, "page_id", "left_semi").select(
         "page_id",

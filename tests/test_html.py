@@ -129,6 +129,18 @@ def test_cases(case_results, name, want):
     assert case_results[name] == want
 
 
+def test_big_pages(spark):
+    """No pattern may run out of stack or time on a long page."""
+    words = "word &amp; more " * 60000
+    attributes = " ".join(f'data-a{i}="x > y"' for i in range(20000))
+    page = (
+        f"<body><!--{'- ' * 300000}--><script>{'var a = 1 < 2; ' * 40000}</script><div {attributes} id=content>"
+        f"<p>{words}</p>{'<p>short one' * 5000}<p>{' ' * 200000}last words</p></div></body>"
+    )
+    [got] = markdown(spark, [page])
+    assert got == "\n\n".join([("word & more " * 60000).strip(), *["short one"] * 5000, "last words"])
+
+
 def test_own_rules(spark):
     page = '<body><div class="promo">x</div><div id="story"><p>the story text</p></div></body>'
     got = markdown(

@@ -53,7 +53,7 @@ def test_columns_are_pruned(spark):
 
 
 def test_no_python_and_no_cross_join_anywhere(spark):
-    for name in ("page_documents_all", "links_scoped", "junk_removed", "robots_verdicts", "clean_lines", "fetches"):
+    for name in ("page_documents", "links_scoped", "junk_removed", "robots_verdicts", "clean_lines", "fetches"):
         plan = plan_of(all_queries()[name](spark, SMALL))
         assert not re.search("Python|Cartesian|NestedLoop|ArrowEval", plan), name
 
