@@ -4,7 +4,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from pagemill.operators import lines
 from pagemill.operators.documents import page_markdown
