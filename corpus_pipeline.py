@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm.decontamination import drop_leaks
+from pagemill.llm.quality import keep_good
 from pagemill.operators.stage import Stage
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return keep_good(docs)
+
+
 def without_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return drop_leaks(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
-STAGES = [("benchmark decontamination", without_leaks)]
+STAGES = [
+    ("quality rules", good_documents),
+    ("benchmark decontamination", without_leaks),
+]
 
 # Packing has no SQL form; its result is tested against a brute-force version.
 ORACLE_SQL = None

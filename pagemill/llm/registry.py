@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagemill.llm import decontamination
+from pagemill.llm import decontamination, quality
 
-MODULES = (decontamination,)
+MODULES = (decontamination, quality)
 
 
 def all_queries() -> dict:
