@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm.decontamination import drop_leaks
+from pagemill.llm.jaccard import drop_near_duplicates
 from pagemill.llm.quality import keep_good
 from pagemill.operators.stage import Stage
 
@@ -13,12 +14,17 @@ def good_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
     return keep_good(docs)
 
 
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return drop_near_duplicates(docs)
+
+
 def without_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return drop_leaks(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
 STAGES = [
     ("quality rules", good_documents),
+    ("n-gram Jaccard join", without_near_duplicates),
     ("benchmark decontamination", without_leaks),
 ]
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagemill.llm import decontamination, quality
+from pagemill.llm import decontamination, jaccard, quality
 
-MODULES = (decontamination, quality)
+MODULES = (decontamination, quality, jaccard)
 
 
 def all_queries() -> dict:
