@@ -35,9 +35,9 @@ from pagemill.llm.components import components
 from pagemill.llm.words import SPACED, Words, blocks, text_bytes, window_prints
 from pagemill.operators.stage import Stage
 
-BLOCK_BYTES = 8 << 20
-# Text bytes per bucket of fingerprints: about a million of them.
-BUCKET_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
+# Text bytes per bucket of fingerprints: about half a million of them.
+BUCKET_BYTES = 3 << 20
 SHINGLE = 5
 # The most documents on one side of a cell.
 CELL = 1024
@@ -399,7 +399,8 @@ def similar_components(documents: DataFrame, doc: str = "doc_id", text: str = "t
     tops = stage.save(
         sets.join(final, "digest", "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("top", "digest")).alias("top")), "tops"
     )
-    least = tops.where(F.col("doc").isNotNull() & F.col("top").isNotNull()).groupBy("top").agg(F.min("doc").alias("component"))
+    # Written, so that the join deals both sides anew and a hot component can be split.
+    least = stage.save(tops.where(F.col("doc").isNotNull() & F.col("top").isNotNull()).groupBy("top").agg(F.min("doc").alias("component")), "least")
     return tops.join(least, "top", "left").select(
         "doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component")
     )

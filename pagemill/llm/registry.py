@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagemill.llm import decontamination, jaccard, quality
+from pagemill.llm import decontamination, jaccard, quality, substrings
 
-MODULES = (decontamination, quality, jaccard)
+MODULES = (decontamination, quality, jaccard, substrings)
 
 
 def all_queries() -> dict:
