@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagemill.llm.decontamination import drop_leaks
 from pagemill.llm.jaccard import drop_near_duplicates
+from pagemill.llm.lines import drop_near_lines
 from pagemill.llm.quality import keep_good
 from pagemill.operators.stage import Stage
 
@@ -14,6 +15,10 @@ def good_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
     return keep_good(docs)
 
 
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return drop_near_lines(docs)
+
+
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return drop_near_duplicates(docs)
 
@@ -24,6 +29,7 @@ def without_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 STAGES = [
     ("quality rules", good_documents),
+    ("line dedup", without_repeated_lines),
     ("n-gram Jaccard join", without_near_duplicates),
     ("benchmark decontamination", without_leaks),
 ]

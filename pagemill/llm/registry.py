@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagemill.llm import decontamination, jaccard, quality, substrings
+from pagemill.llm import decontamination, jaccard, lines, quality, substrings
 
-MODULES = (decontamination, quality, jaccard, substrings)
+MODULES = (decontamination, quality, jaccard, substrings, lines)
 
 
 def all_queries() -> dict:
