@@ -30,42 +30,40 @@ MIN_CHARS = 20
 PAIRS = 2_000
 
 
-def segment(length: Column, k: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment ``k`` of a line; the last segments get what is over."""
-    base = F.floor(length / (edits + 1)).cast("int")
-    over = (length % (edits + 1)).cast("int")
-    late = F.greatest(F.lit(k) - (edits + 1) + over, F.lit(0))
-    return base * k + late, base + F.when(F.lit(k) >= (edits + 1) - over, 1).otherwise(0)
+def _choices(edits: int) -> list[tuple[int, int, int]]:
+    """Segment ``k``, how far it may have moved, and by how much the line that is probed is longer."""
+    return [
+        (k, shift, by)
+        for by in range(edits + 1)
+        for k in range(edits + 1)
+        for shift in range(max(-k, by - (edits - k)), min(k, by + edits - k) + 1)
+    ]
 
 
-def _entry(text: Column, start: Column, size: Column, length: Column, k: int, key: Column, role: int, longer: Column, whole: bool):
-    part = F.substring(text, start + 1, size)
-    rest = F.concat(F.substring(text, F.lit(1), start), F.substring(text, start + size + 1, F.length(text)))
-    fields = [F.xxhash64(key, length, F.lit(k), part).alias("key"), F.lit(role).alias("role"), longer.cast("int").alias("longer")]
-    return F.struct(*fields, *([rest.alias("rest")] if whole else []))
+def _entries(lines: DataFrame, edits: int, first: bool, whole: bool) -> DataFrame:
+    """Index keys (role 0) and probes (role 1) of ``line, key, role, longer, text, n``.
 
-
-def _index(text: Column, key: Column, edits: int, whole: bool) -> list[Column]:
-    length = F.length(text)
-    return [_entry(text, *segment(length, k, edits), length, k, key, 0, F.lit(0), whole) for k in range(edits + 1)]
-
-
-def _probes(text: Column, key: Column, edits: int, longer: int, whole: bool, first: bool) -> list[Column]:
-    """Substrings at which a line ``longer`` code points shorter may have its segments.
-
-    At first the own segments of a line are left out: they are its index keys.
+    ``longer`` says by how much a probe is longer than what it looks for; at first every length is
+    probed, later only that one.  ``whole``: with what the segment leaves, for the next round.
     """
-    length = F.length(text) - longer
-    found = []
-    for k in range(edits + 1):
-        start, size = segment(length, k, edits)
-        for shift in range(max(-k, longer - (edits - k)), min(k, longer + edits - k) + 1):
-            if first and not shift and not longer:
-                continue
-            at = start + shift
-            fits = (at >= 0) & (at + size <= F.length(text)) & (length > edits)
-            found.append(F.when(fits, _entry(text, at, size, length, k, key, 1, F.lit(longer), whole)))
-    return found
+    choices = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).alias("shift"), F.lit(by).alias("by")) for k, s, by in _choices(edits)))
+    made = lines.select("*", F.inline(choices))
+    own = (F.col("role") == 0) & (F.col("shift") == 0) & (F.col("by") == 0)
+    asked = F.lit(True) if first else F.col("by") == F.col("longer")
+    length = F.col("n") - F.col("by")
+    base, over = F.call_function("div", length, F.lit(edits + 1)).cast("int"), length % (edits + 1)
+    # The last segments get what is over.
+    start = base * F.col("k") + F.greatest(F.col("k") - (edits + 1) + over, F.lit(0)) + F.col("shift")
+    size = base + F.when(F.col("k") >= (edits + 1) - over, 1).otherwise(0)
+    placed = made.where(asked & (length > edits)).select("*", length.alias("length"), start.alias("start"), size.alias("size")).where(
+        (F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n"))
+    )
+    part = F.substring(F.col("text"), F.col("start") + 1, F.col("size"))
+    rest = F.concat(F.substring(F.col("text"), F.lit(1), F.col("start")), F.substring(F.col("text"), F.col("start") + F.col("size") + 1, F.col("n")))
+    more = [rest.alias("text"), (F.col("n") - F.col("size")).alias("n")] if whole else []
+    return placed.select(
+        "line", F.xxhash64("key", "length", "k", part).alias("key"), F.when(own, 0).otherwise(1).alias("role"), F.col("by").alias("longer"), *more
+    )
 
 
 def _alive(entries: DataFrame) -> DataFrame:
@@ -88,15 +86,12 @@ def _paired(entries: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(lines: DataFrame, stage: Stage, edits: int = EDITS) -> DataFrame:
-    """Pairs ``a, b`` of the fingerprints of distinct ``lines`` (``line``, ``text``) that may be near.
+    """Pairs ``a, b`` of the fingerprints of distinct ``lines`` (``line, text, n``) that may be near.
 
     Where all but a few places of some lines is matched, each is paired with one of them only.
     """
-    text, none = F.col("text"), F.lit(0).cast("bigint")
-    first = _index(text, none, edits, False)
-    for longer in range(edits + 1):
-        first += _probes(text, none, edits, longer, False, True)
-    entries = lines.select("line", F.explode(F.array_compact(F.array(*first))).alias("e")).select("line", "e.*").distinct()
+    start = lines.select("*", F.lit(0).cast("bigint").alias("key"), F.lit(0).alias("role"), F.lit(0).alias("longer"))
+    entries = _entries(start, edits, True, False)
     level, found = 0, []
     while True:
         alive = stage.save(_alive(entries), f"keys-{level}")
@@ -107,14 +102,9 @@ def candidate_pairs(lines: DataFrame, stage: Stage, edits: int = EDITS) -> DataF
             break
         if level == 0:
             # Only now, for few lines, is what the segment leaves worth carrying.
-            full = _index(text, none, edits, True)
-            for longer in range(edits + 1):
-                full += _probes(text, none, edits, longer, True, True)
-            crowded = many.select("line").distinct().join(lines, "line").select("line", F.explode(F.array_compact(F.array(*full))).alias("e")).select("line", "e.*")
-            keys = many.select("key").distinct()
-            many = crowded.join(keys, "key", "left_semi").distinct()
-        rest, longer = F.col("rest"), F.col("longer")
-        short = F.length(rest) - longer <= edits
+            crowded = _entries(many.select("line").distinct().join(start, "line"), edits, True, True)
+            many = stage.save(crowded.join(many.select("key").distinct(), "key", "left_semi"), "many")
+        short = F.col("n") - F.col("longer") <= edits
         # Lines that are index entries here differ at the same few places only: a link to one will do.
         done = many.where(short)
         index = done.where(F.col("role") == 0)
@@ -124,11 +114,7 @@ def candidate_pairs(lines: DataFrame, stage: Stage, edits: int = EDITS) -> DataF
         probe = done.where(F.col("role") == 1).select("key", F.col("line").alias("b"))
         left = index.select("key", F.col("line").alias("a")).join(probe, "key").where(F.col("a") != F.col("b"))
         found.append(stage.save(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"left-{level}"))
-        own = _index(rest, F.col("key"), edits, True) + _probes(rest, F.col("key"), edits, 0, True, True)
-        again = F.when(F.col("role") == 0, F.array_compact(F.array(*own)))
-        for k in range(edits + 1):
-            again = again.when((F.col("role") == 1) & (longer == k), F.array_compact(F.array(*_probes(rest, F.col("key"), edits, k, True, False))))
-        entries = many.where(~short).select("line", F.explode(again).alias("e")).select("line", "e.*").distinct()
+        entries = _entries(many.where(~short), edits, False, True).distinct()
         level += 1
     pairs = found[0]
     for more in found[1:]:
@@ -138,16 +124,21 @@ def candidate_pairs(lines: DataFrame, stage: Stage, edits: int = EDITS) -> DataF
 
 def within(x: Column, y: Column, edits: int) -> Column:
     """Is the edit distance of two texts ``edits`` or less?"""
-    a, b = F.split(x, ""), F.split(y, "")
     width = (1 << (2 * edits + 1)) - 1
     begin = F.struct(*(F.lit(((1 << (d + 1)) - 1) << edits & width).alias(f"s{d}") for d in range(edits + 1)))
 
-    def step(state: Column, j: Column) -> Column:
-        char = F.get(b, j)
-        match = F.lit(0)
-        for k in range(2 * edits + 1):
-            i = j + (k - edits)
-            match = match + F.when((i >= 0) & (F.get(a, i) == char), 1 << k).otherwise(0)
+    def matches(pair: Column) -> Column:
+        """For each code point of ``y`` the diagonals on which ``x`` has the same."""
+
+        def at(char: Column, j: Column) -> Column:
+            bits = F.lit(0)
+            for k in range(2 * edits + 1):
+                bits = bits + F.when(F.get(pair["a"], j + (k - edits)) == char, 1 << k).otherwise(0)
+            return bits
+
+        return F.transform(pair["b"], at)
+
+    def step(state: Column, match: Column) -> Column:
         rows, above = [], None
         for d in range(edits + 1):
             now = state[f"s{d}"].bitwiseAND(match)
@@ -159,9 +150,11 @@ def within(x: Column, y: Column, edits: int) -> Column:
         return F.struct(*rows)
 
     gap = F.length(x) - F.length(y)
-    last = F.aggregate(F.sequence(F.lit(0), F.length(y) - 1), begin, step)
-    reached = F.call_function("shiftright", last[f"s{edits}"], gap + edits).bitwiseAND(1) == 1
-    return (F.abs(gap) <= edits) & F.when(F.length(y) == 0, F.length(x) <= edits).otherwise(reached)
+    # One array of one pair gives the code points a name, so that a text is taken apart once.
+    pair = F.array(F.struct(F.split(x, "").alias("a"), F.split(y, "").alias("b")))
+    last = F.transform(pair, lambda p: F.aggregate(matches(p), begin, step)[f"s{edits}"])
+    reached = F.call_function("shiftright", F.get(last, 0), gap + edits).bitwiseAND(1) == 1
+    return F.when(F.abs(gap) > edits, F.lit(False)).when(F.length(y) == 0, F.lit(True)).otherwise(reached)
 
 
 def document_lines(documents: DataFrame, doc: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -173,7 +166,7 @@ def line_classes(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     """``doc, line_no, line_class, first_doc, first_line, kept`` for every line that is long enough."""
     stage = Stage(documents.sparkSession, "lines")
     lines = document_lines(documents, doc, text, min_chars)
-    distinct = stage.save(lines.select("text").distinct().select(F.xxhash64("text").alias("line"), "text"), "distinct")
+    distinct = stage.save(lines.select("text").distinct().select(F.xxhash64("text").alias("line"), "text", F.length("text").alias("n")), "distinct")
     pairs = candidate_pairs(distinct, stage, edits)
     name = F.md5("text")
     left = distinct.select(F.col("line").alias("a"), F.col("text").alias("a_text"))
