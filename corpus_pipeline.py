@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pagemill.llm.decontamination import drop_leaks
 from pagemill.llm.jaccard import drop_near_duplicates
 from pagemill.llm.lines import drop_near_lines
+from pagemill.llm.packing import pack_documents
 from pagemill.llm.quality import keep_good
 from pagemill.operators.stage import Stage
 
@@ -27,11 +28,16 @@ def without_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     return drop_leaks(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    return pack_documents(docs).withColumnRenamed("doc", "doc_id")
+
+
 STAGES = [
     ("quality rules", good_documents),
     ("line dedup", without_repeated_lines),
     ("n-gram Jaccard join", without_near_duplicates),
     ("benchmark decontamination", without_leaks),
+    ("best-fit packing", packed),
 ]
 
 # Packing has no SQL form; its result is tested against a brute-force version.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagemill.llm import decontamination, jaccard, lines, quality, substrings
+from pagemill.llm import chat, decontamination, jaccard, licenses, lines, packing, quality, sharding, substrings, urlfilter
 
-MODULES = (decontamination, quality, jaccard, substrings, lines)
+MODULES = (decontamination, sharding, quality, urlfilter, substrings, lines, chat, jaccard, licenses, packing)
 
 
 def all_queries() -> dict:
