@@ -22,12 +22,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.components import components
+from pagemill.llm.urlfilter import bloom
 from pagemill.operators.stage import Stage
 
 EDITS = 2
 MIN_CHARS = 20
+# Most lines that the filter for reading texts again is sized for; with more it lets more through.
+FILTER_LINES = 1 << 20
 # Pairs of one key that are compared at once; more are split by another segment first.
-PAIRS = 2_000
+PAIRS = 50
 
 
 def _choices(edits: int) -> list[tuple[int, int, int]]:
@@ -85,13 +88,22 @@ def _paired(entries: DataFrame) -> DataFrame:
     return index.join(other, "key").where(useful).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _texts(lines: DataFrame, wanted: DataFrame, stage: Stage, name: str) -> DataFrame:
+    """The distinct ``lines`` that ``wanted`` (``key``) names, read again through a Bloom filter of bounded size."""
+    wanted = stage.save(wanted.distinct(), f"{name}-keys")
+    seen = bloom(wanted, min(max(wanted.count(), 1), FILTER_LINES), 0)
+    return stage.save(lines.where(seen.has(F.col("line"))).distinct(), name)
+
+
 def candidate_pairs(lines: DataFrame, stage: Stage, edits: int = EDITS) -> DataFrame:
-    """Pairs ``a, b`` of the fingerprints of distinct ``lines`` (``line, text, n``) that may be near.
+    """Pairs ``a, b`` of the fingerprints of ``lines`` (``line, text, n``) that may be near.
 
     Where all but a few places of some lines is matched, each is paired with one of them only.
     """
-    start = lines.select("*", F.lit(0).cast("bigint").alias("key"), F.lit(0).alias("role"), F.lit(0).alias("longer"))
-    entries = _entries(start, edits, True, False)
+    def start(own: DataFrame) -> DataFrame:
+        return own.select("*", F.lit(0).cast("bigint").alias("key"), F.lit(0).alias("role"), F.lit(0).alias("longer"))
+    distinct = lines.select("text").distinct().select(F.xxhash64("text").alias("line"), "text", F.length("text").alias("n"))
+    entries = _entries(start(distinct), edits, True, False)
     level, found = 0, []
     while True:
         alive = stage.save(_alive(entries), f"keys-{level}")
@@ -102,7 +114,8 @@ def candidate_pairs(lines: DataFrame, stage: Stage, edits: int = EDITS) -> DataF
             break
         if level == 0:
             # Only now, for few lines, is what the segment leaves worth carrying.
-            crowded = _entries(many.select("line").distinct().join(start, "line"), edits, True, True)
+            own = _texts(lines, many.select(F.col("line").alias("key")), stage, "crowded")
+            crowded = _entries(start(own), edits, True, True)
             many = stage.save(crowded.join(many.select("key").distinct(), "key", "left_semi"), "many")
         short = F.col("n") - F.col("longer") <= edits
         # Lines that are index entries here differ at the same few places only: a link to one will do.
@@ -166,11 +179,12 @@ def line_classes(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     """``doc, line_no, line_class, first_doc, first_line, kept`` for every line that is long enough."""
     stage = Stage(documents.sparkSession, "lines")
     lines = document_lines(documents, doc, text, min_chars)
-    distinct = stage.save(lines.select("text").distinct().select(F.xxhash64("text").alias("line"), "text", F.length("text").alias("n")), "distinct")
-    pairs = candidate_pairs(distinct, stage, edits)
+    texts = lines.select(F.xxhash64("text").alias("line"), "text", F.length("text").alias("n"))
+    pairs = stage.save(candidate_pairs(texts, stage, edits), "pairs")
     name = F.md5("text")
-    left = distinct.select(F.col("line").alias("a"), F.col("text").alias("a_text"))
-    right = distinct.select(F.col("line").alias("b"), F.col("text").alias("b_text"))
+    paired = _texts(texts, pairs.select(F.explode(F.array("a", "b")).alias("key")), stage, "paired")
+    left = paired.select(F.col("line").alias("a"), F.col("text").alias("a_text"))
+    right = paired.select(F.col("line").alias("b"), F.col("text").alias("b_text"))
     links = pairs.join(left, "a").join(right, "b").where(within(F.col("a_text"), F.col("b_text"), edits)).select(
         F.md5("a_text").alias("a"), F.md5("b_text").alias("b")
     )
