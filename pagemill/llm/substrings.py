@@ -35,8 +35,8 @@ from pagemill.llm.words import SPACED, Words, covered, text_bytes, window_prints
 
 WINDOW = 13
 SHARD_BYTES = 6 << 20
-# Text bytes per bucket of fingerprints: about half a million of them.
-BUCKET_BYTES = 3 << 20
+# Text bytes per bucket of fingerprints: about two million of them.
+BUCKET_BYTES = 12 << 20
 
 
 class Shard:
