@@ -197,6 +197,15 @@ def benchmark_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "t
         yield benchmark.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in rows])
 
 
+def _found(documents: DataFrame, benchmark: DataFrame, keep: list[str], text: str, window: int, item: str, item_text: str) -> DataFrame:
+    """Column ``i`` of ``keep`` as ``k_i``, which clashes with no other name, and the findings."""
+    found = documents.select(*(F.col(k).alias(f"k_{i}") for i, k in enumerate(keep)), F.col(text).alias("k_text"))
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields)
+    for k, items in enumerate(benchmark_blocks(benchmark, item, item_text)):
+        found = found.mapInArrow(_search(items, window, "k_text", k > 0), f"{fields}, {_FINDING}")
+    return found
+
+
 def find_leaks(
     documents: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", window: int = 10, item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -206,18 +215,15 @@ def find_leaks(
     longest verbatim match and where it is.  Every block of the benchmark is one more pass of the
     suffix arrays, without a shuffle.
     """
-    schema = documents.select(*(F.col(k).alias(f"k_{i}") for i, k in enumerate(keep)), F.col(text).alias("k_text"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.schema.fields)
-    found = schema
-    for k, items in enumerate(benchmark_blocks(benchmark, item, item_text)):
-        found = found.mapInArrow(_search(items, window, "k_text", k > 0), f"{fields}, {_FINDING}")
+    found = _found(documents, benchmark, keep, text, window, item, item_text)
     return found.select(*(F.col(f"k_{i}").alias(k) for i, k in enumerate(keep)), "n_words", "hits", "matches")
 
 
 def drop_leaks(documents: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10) -> DataFrame:
     """The documents without any hit word, with all their columns."""
-    found = find_leaks(documents.withColumn("_text", F.col(text)), benchmark, documents.columns, "_text", window)
-    return found.where(F.size("hits") == 0).select(*documents.columns)
+    names = documents.columns
+    clean = _found(documents, benchmark, names, text, window, "item_id", "text").where(F.size("hits") == 0)
+    return clean.select(*(F.col(f"k_{i}").alias(k) for i, k in enumerate(names)))
 
 
 def leak_report(documents: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", window: int = 10) -> DataFrame:

@@ -222,6 +222,8 @@ def query(spark, folder: str) -> DataFrame:
     )
 
 
+# The distance function of the SQL engine counts bytes, so this twin holds where near lines differ in
+# ASCII characters; the tests compare code points with a plain table of distances.
 ORACLE = r"""
 with recursive l as (
   select doc_id, generate_subscripts(lines, 1) - 1 as line_no, unnest(lines) as line

@@ -207,10 +207,10 @@ def test_substrings(spark, awkward, shard_bytes, monkeypatch):
         assert substrings.remove_repeats(docs.limit(0)).count() == 0
 
 
-def mutated(text):
+def mutated(text, alphabet="abc"):
     s = list(text)
     for _ in range(random.randint(0, 3)):
-        k, c, how = random.randrange(len(s) + 1), random.choice("abé"), random.random()
+        k, c, how = random.randrange(len(s) + 1), random.choice(alphabet), random.random()
         if how < 0.33:
             s.insert(k, c)
         elif k < len(s):
@@ -243,11 +243,19 @@ def test_banded_distance(spark):
     pairs = []
     for _ in range(300):
         a = "".join(random.choice("abé") for _ in range(random.randint(0, 12)))
-        pairs.append((a, mutated(a) if random.random() < 0.8 else "ab"))
+        pairs.append((a, mutated(a, "abé") if random.random() < 0.8 else "ab"))
     frame = spark.createDataFrame(pairs, "x string, y string").select("x", "y", *(lines.within(F.col("x"), F.col("y"), e).alias(f"w{e}") for e in (1, 2, 3)))
-    db = duckdb.connect()
+
+    def table(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
     for r in frame.collect():
-        distance = db.execute("select levenshtein(?, ?)", [r.x, r.y]).fetchone()[0] if r.x and r.y else max(len(r.x), len(r.y))
+        distance = table(r.x, r.y)
         assert (r.w1, r.w2, r.w3) == (distance <= 1, distance <= 2, distance <= 3), (r.x, r.y)
 
 
