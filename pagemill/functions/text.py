@@ -133,3 +133,25 @@ def decode_entities(text: Column) -> Column:
         "",
     )
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+
+
+# In an attribute a name counts only as a whole, and not before an equals sign: query strings are full of
+# parameters that begin like a reference.
+_ATTRIBUTE_PIECES = r"&#[xX][0-9a-fA-F]+;?|&#[0-9]+;?|&[A-Za-z][A-Za-z0-9]*+(?:;|(?!=))|[^&]+|&"
+
+
+def decode_attribute(text: Column) -> Column:
+    """Replace character references by the rules for attribute values."""
+    decoded = F.array_join(
+        F.transform(
+            F.regexp_extract_all(text, F.lit(_ATTRIBUTE_PIECES), F.lit(0)),
+            lambda piece: F.when(piece.startswith("&#") & (F.length(piece) > 2), _numeric(piece))
+            .when(
+                piece.startswith("&") & (F.length(piece) > 1),
+                F.coalesce(_lookup(_COMMON, F.substr(piece, F.lit(2))), _lookup(html5, F.substr(piece, F.lit(2))), piece),
+            )
+            .otherwise(piece),
+        ),
+        "",
+    )
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import decode_entities, strip
+from pagemill.functions.text import decode_attribute, decode_entities, strip
 from pagemill.functions.urls import link_target, normalize_url, url_netloc
 from pagemill.operators.rules import (
     CONTENT_RULES,
@@ -74,7 +74,7 @@ def raw_attr(token: Column, name: str) -> Column:
 
 def attr(token: Column, name: str) -> Column:
     """Value of one attribute with its character references decoded."""
-    return decode_entities(raw_attr(token, name))
+    return decode_attribute(raw_attr(token, name))
 
 
 def token_array(html: Column) -> Column:
@@ -274,7 +274,7 @@ def _with_attributes(tokens: DataFrame, names: list[str]) -> DataFrame:
     )
     wanted = (F.col("kind") == "open") & F.contains(F.col("tok"), F.lit("="))
     return tokens.withColumn(
-        "_attributes", F.when(wanted, F.split(decode_entities(together), "\x05"))
+        "_attributes", F.when(wanted, F.split(decode_attribute(together), "\x05"))
     ).select(
         "*", *(F.col("_attributes")[i].alias(f"a_{n}") for i, n in enumerate(names))
     ).drop("_attributes")

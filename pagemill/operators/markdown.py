@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import decode_entities, squeeze, strip
+from pagemill.functions.text import decode_attribute, decode_entities, squeeze, strip
 from pagemill.operators.html import PAGE_END, raw_attr
 
 # The elements that start and end a block.
@@ -113,7 +113,9 @@ def content_blocks(tokens: DataFrame, key: str = "page_id") -> DataFrame:
     is_list = tag.isin(LIST_TAGS)
     closed = F.col("close_pos") < PAGE_END
 
-    states = tokens.withColumn("payload", decode_entities(_payload(kind, tag, tok))).withColumns(
+    states = tokens.withColumn("_raw", _payload(kind, tag, tok)).withColumn(
+        "payload", F.when(kind == "open", decode_attribute(F.col("_raw"))).otherwise(decode_entities(F.col("_raw")))
+    ).drop("_raw").withColumns(
         {
             "pre_end": F.max(F.when(is_open & (tag == "pre"), F.col("close_pos"))).over(before),
             "code_end": F.max(

@@ -77,6 +77,8 @@ def any_rule(rules: list[Rule], tag: Column, attribute: dict[str, Column]) -> Co
 
 def rule_rank(rules: list[Rule], tag: Column, attribute: dict[str, Column]) -> Column:
     """Position of the first rule that matches, NULL when none does."""
+    if not rules:
+        return F.lit(None).cast("int")
     first, *rest = list(enumerate(rules))
     rank = F.when(rule_test(first[1], tag, attribute), F.lit(first[0]))
     for place, rule in rest:

@@ -207,3 +207,23 @@ def test_same_result_under_any_partitioning(spark, parts):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     base = page_markdown(pages)
     assert base.exceptAll(page_markdown(pages.repartition(parts))).isEmpty()
+
+
+@pytest.mark.parametrize(("written", "read"), [
+    ("/q?a=1&copy=2&region=us&notify=1&current=3", "/q?a=1&copy=2&region=us&notify=1&current=3"),
+    ("/q?x=1&amp;y=2", "/q?x=1&y=2"),
+    ("/q?&copy", "/q?\u00a9"),
+    ("/q?&copy;=1", "/q?\u00a9=1"),
+    ("/q?&notit;", "/q?&notit;"),
+    ("/q?&lt &gt=", "/q?< &gt="),
+    ("/q?&#65;&#x42=", "/q?AB="),
+])
+def test_query_strings_are_no_references(spark, written, read):
+    token = spark.createDataFrame([(f'<a href="{written}">',)], "t string")
+    assert token.select(html.attr(F.col("t"), "href").alias("h")).first().h == read
+
+
+def test_empty_rule_lists(spark):
+    from pagemill.operators.rules import rule_rank
+
+    assert spark.range(1).select(rule_rank([], F.lit("p"), {}).alias("r")).first().r is None
