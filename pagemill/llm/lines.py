@@ -8,7 +8,9 @@ the place of the segment.
 
 A key that many lines share is not paired out.  What is left of each line without the matched segment
 is split and probed again, under a key that includes the old one, until groups are small or nothing
-is left to compare.  Candidates are then verified by a banded bit-parallel automaton: bit k of
+is left to compare.  There, lines also carry a mark, which says of each code point (modulo 64) whether it
+occurs an odd number of times: an edit changes two bits at most, so that a key pairs only lines whose
+marks are near.  Candidates are then verified by a banded bit-parallel automaton: bit k of
 state d says that the diagonal k - edits is reached with d edits.
 
 Defined results: a NULL or empty text has no lines; equal lines are near; short lines are left alone;
@@ -31,6 +33,8 @@ MIN_CHARS = 20
 FILTER_LINES = 1 << 20
 # Pairs of one key that are compared at once; more are split by another segment first.
 PAIRS = 50
+# The same where lines carry marks, by which most pairs are dropped inside the join.
+MARKED_PAIRS = 1_000
 
 
 def _choices(edits: int) -> list[tuple[int, int, int]]:
@@ -63,7 +67,7 @@ def _entries(lines: DataFrame, edits: int, first: bool, whole: bool) -> DataFram
     )
     part = F.substring(F.col("text"), F.col("start") + 1, F.col("size"))
     rest = F.concat(F.substring(F.col("text"), F.lit(1), F.col("start")), F.substring(F.col("text"), F.col("start") + F.col("size") + 1, F.col("n")))
-    more = [rest.alias("text"), (F.col("n") - F.col("size")).alias("n")] if whole else []
+    more = [rest.alias("text"), (F.col("n") - F.col("size")).alias("n"), "mark"] if whole else []
     return placed.select(
         "line", F.xxhash64("key", "length", "k", part).alias("key"), F.when(own, 0).otherwise(1).alias("role"), F.col("by").alias("longer"), *more
     )
@@ -81,10 +85,22 @@ def _alive(entries: DataFrame) -> DataFrame:
     )
 
 
-def _paired(entries: DataFrame) -> DataFrame:
-    index = entries.where(F.col("role") == 0).select("key", F.col("line").alias("a"))
-    other = entries.select("key", "role", F.col("line").alias("b"))
+def _mark(text: Column) -> Column:
+    """Bit k: is the number of code points that are k modulo 64 odd?"""
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(
+        F.split(text, ""), F.lit(0).cast("bigint"), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(F.ascii(c), F.lit(64))))
+    )
+
+
+def _paired(entries: DataFrame, edits: int) -> DataFrame:
+    """Pairs of lines under one key; where lines have marks, those whose marks are near."""
+    marked = ["mark"] if "mark" in entries.columns else []
+    index = entries.where(F.col("role") == 0).select("key", F.col("line").alias("a"), *(F.col(m).alias("a_mark") for m in marked))
+    other = entries.select("key", "role", F.col("line").alias("b"), *(F.col(m).alias("b_mark") for m in marked))
     useful = ((F.col("role") == 1) & (F.col("a") != F.col("b"))) | (F.col("a") < F.col("b"))
+    if marked:
+        useful = useful & (F.bit_count(F.col("a_mark").bitwiseXOR(F.col("b_mark"))) <= 2 * edits)
     return index.join(other, "key").where(useful).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -107,14 +123,16 @@ def candidate_pairs(lines: DataFrame, stage: Stage, edits: int = EDITS) -> DataF
     level, found = 0, []
     while True:
         alive = stage.save(_alive(entries), f"keys-{level}")
-        few = alive.where(F.col("pairs") <= PAIRS)
-        many = alive.where(F.col("pairs") > PAIRS)
-        found.append(stage.save(_paired(few), f"pairs-{level}"))
+        most = MARKED_PAIRS if level else PAIRS
+        few = alive.where(F.col("pairs") <= most)
+        many = alive.where(F.col("pairs") > most)
+        found.append(stage.save(_paired(few, edits), f"pairs-{level}"))
         if many.isEmpty():
             break
         if level == 0:
             # Only now, for few lines, is what the segment leaves worth carrying.
             own = _texts(lines, many.select(F.col("line").alias("key")), stage, "crowded")
+            own = stage.save(own.withColumn("mark", _mark(F.col("text"))), "marked")
             crowded = _entries(start(own), edits, True, True)
             many = stage.save(crowded.join(many.select("key").distinct(), "key", "left_semi"), "many")
         short = F.col("n") - F.col("longer") <= edits
@@ -124,8 +142,14 @@ def candidate_pairs(lines: DataFrame, stage: Stage, edits: int = EDITS) -> DataF
         low = index.groupBy("key").agg(F.min("line").alias("a"))
         star = index.join(low, "key").where(F.col("a") != F.col("line"))
         found.append(stage.save(star.select("a", F.col("line").alias("b")).distinct(), f"ends-{level}"))
-        probe = done.where(F.col("role") == 1).select("key", F.col("line").alias("b"))
-        left = index.select("key", F.col("line").alias("a")).join(probe, "key").where(F.col("a") != F.col("b"))
+        probe = done.where(F.col("role") == 1).select("key", F.col("line").alias("b"), "text", "n")
+        # A probe of few places is near all of them, so that one will do again; a longer one has a code
+        # point in common with what it is near, and equal ends of an index entry count once.
+        near = low.join(probe.where(F.col("n") <= edits), "key").select("a", "b")
+        char = F.explode(F.array_distinct(F.split("text", ""))).alias("char")
+        ends = index.groupBy("key", "text").agg(F.min("line").alias("a")).select("key", "a", char)
+        far = ends.join(probe.where(F.col("n") > edits).select("key", "b", char), ["key", "char"]).select("a", "b")
+        left = near.union(far).where(F.col("a") != F.col("b"))
         found.append(stage.save(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"left-{level}"))
         entries = _entries(many.where(~short), edits, False, True).distinct()
         level += 1

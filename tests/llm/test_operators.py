@@ -221,10 +221,12 @@ def mutated(text, alphabet="abc"):
 @pytest.mark.parametrize("pairs", [2000, 3])
 def test_lines(spark, awkward, pairs, monkeypatch):
     monkeypatch.setattr(lines, "PAIRS", pairs)
+    monkeypatch.setattr(lines, "MARKED_PAIRS", pairs)
     random.seed(5)
     base = ["".join(random.choice("ab ") for _ in range(random.randint(20, 30))) for _ in range(6)]
     rows = [(d, "\n".join(mutated(random.choice(base)) for _ in range(4))) for d in range(60)]
     rows += [(100 + d, f"Page number {d:03d} of the whole book") for d in range(120)]
+    rows += [(500 + d, f"Sheet of the atlas, no. {7 * d}") for d in range(200)]
     rows += [(300 + k, r[1]) for k, r in enumerate(awkward)] + [(None, rows[0][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = lines.line_classes(docs).select(
