@@ -46,13 +46,16 @@ def start_document_stream(
     """Append the documents of every batch of pages to a folder.
 
     A batch overwrites its own ``batch_id`` folder, so one that is replayed after a failure adds
-    nothing twice; finished batches stay when a run stops.
+    nothing twice; finished batches stay when a run stops.  A page is known by its crawl and its
+    id, so crawls may use the same ids.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        page_documents(
-            batch, "page_id", "url", "html", error=None, keep=["crawl_id"], **options
-        ).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        keyed = batch.withColumn("_page", F.struct("crawl_id", "page_id"))
+        made = page_documents(keyed, "_page", "url", "html", error=None, **options)
+        made.select("_page.page_id", "_page.crawl_id", *made.drop("_page").columns).write.mode(
+            "overwrite"
+        ).parquet(f"{path}/batch_id={batch_id}")
 
     writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -77,14 +80,17 @@ def start_stats_stream(
 ) -> StreamingQuery:
     """Keep the totals that changed in each batch in a folder of their own.
 
-    The newest row of a crawl is the one with the highest ``batch_id``.
+    The newest row of a crawl is the one with the highest ``batch_id``.  A replayed batch of
+    documents comes in files of new names; each document counts once all the same, by its crawl
+    and page, for which the state holds a key.
     """
+    once_each = documents.dropDuplicates(["crawl_id", "page_id"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = (
-        running_stats(documents).writeStream.outputMode("update").foreachBatch(write)
+        running_stats(once_each).writeStream.outputMode("update").foreachBatch(write)
         .option("checkpointLocation", checkpoint)
     )
     return (writer.trigger(availableNow=True) if once else writer).start()
