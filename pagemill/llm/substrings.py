@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from hashlib import sha256
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -35,6 +36,9 @@ from pagemill.llm.words import SPACED, Words, covered, text_bytes, window_prints
 
 WINDOW = 13
 SHARD_BYTES = 6 << 20
+# A word's number is spelled in digits of this base: the automaton library searches the children of a
+# node one by one, and a letter a word would give its root one child for each word of the passages.
+BASE = 256
 # Text bytes per bucket of fingerprints: about two million of them.
 BUCKET_BYTES = 12 << 20
 
@@ -188,20 +192,32 @@ class Automaton:
             self.owners.append(owner)
             self.passages.append(words)
         self.places = list(places.values())
+        self.digits = 1
+        while BASE**self.digits <= len(self.number):
+            self.digits += 1
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         for k, key in enumerate(places):
-            self.automaton.add_word(key, k)
+            self.automaton.add_word(self._spelled(key), k)
         if places:
             self.automaton.make_automaton()
 
+    def _spelled(self, numbers) -> tuple[int, ...]:
+        """The digits of each number, each place with letters of its own, so that matches begin at words."""
+        letters = np.empty((len(numbers), self.digits), np.int64)
+        left = np.array(numbers, np.int64)
+        for place in range(self.digits):
+            letters[:, place] = left % BASE + place * BASE
+            left //= BASE
+        return tuple(letters.ravel().tolist())
+
     def spans(self, doc: int, words: list[bytes]) -> list[tuple[int, int]]:
         """Word spans of ``doc`` that a passage of an earlier document covers, a window long at least."""
         if not self.places:
             return []
-        number = self.number
-        seen = tuple([number.get(w, 0) for w in words])
+        seen = tuple(map(self.number.get, words, repeat(0)))
         found, done = [], {}
-        for last, k in self.automaton.iter(seen):
+        for letter, k in self.automaton.iter(self._spelled(seen)):
+            last = letter // self.digits
             start = last - self.block + 1
             for passage, at in self.places[k]:
                 if self.owners[passage] >= doc:
