@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 from pagemill.operators.rules import JUNK_RULES
-from pagemill.sources.derived import DIRTY_SQL, RICH_SQL, ROBOTS_SQL, SEEDS_SQL, SITE_SQL
+from pagemill.sources.derived import DIRTY_SQL, RICH_SQL, ROBOTS_SQL, SEEDS_SQL, SITE_SQL, optional_sql
 
 _WS = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -17,6 +17,8 @@ def _derived(sql: str, **tables: str) -> str:
 SITE = _derived(SITE_SQL, pages="pages")
 SEEDS = _derived(SEEDS_SQL, pages="pages")
 RICH = _derived(RICH_SQL, pages="pages")
+# The same pages with every end tag written.
+CLOSED = _derived(optional_sql(True), pages="pages")
 DIRTY = _derived(DIRTY_SQL, documents="documents")
 PAGE_ROBOTS = _derived(ROBOTS_SQL, column="url", urls="pages")
 SITE_ROBOTS = _derived(ROBOTS_SQL, column="requested_url", urls=SITE)
@@ -366,6 +368,8 @@ def oracle_sql() -> dict[str, str]:
         f"and regexp_extract({norm('absolute')}, '//([^/]*)', 1) = regexp_extract(fn, '//([^/]*)', 1)",
         "junk_removed": _kept("clean"),
         "main_content": _kept("content"),
+        "optional_end_tags": f"""with {tokens(CLOSED)}, {SPANS}, {CONTENT}
+            select page_id, row_number() over (partition by page_id order by pos) as place, tok from content where kind = 'text'""",
         "junk_by_rule": f"with {tokens(both)}, counts as ({rules}) select rule, n_elements from counts where n_elements > 0",
         "md_blocks": f"{rendered('pages')} select page_id, (dense_rank() over (partition by page_id order by block))::bigint as place, kind, sep, line from rendered",
         "md_headings": f"{rendered('pages')} select page_id, line from rendered where kind = 'heading'",

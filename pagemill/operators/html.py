@@ -50,6 +50,13 @@ PARAGRAPH_ENDS = (
     "h1 h2 h3 h4 h5 h6 header hr html main menu nav ol p pre section table td th tr ul li dd dt"
 ).split()
 
+# Elements whose end tag may be left out.  Such an element ends where one of its own or
+# a lower rank begins beside it, or where its parent ends.
+OPTIONAL_ENDS = {
+    "tbody": 1, "thead": 1, "tfoot": 1, "tr": 2, "optgroup": 2,
+    "li": 3, "dt": 3, "dd": 3, "td": 3, "th": 3, "option": 3,
+}
+
 PAGE_END = 2**31 - 1
 
 
@@ -162,10 +169,11 @@ def page_tokens(
 
 
 def match_elements(tokens: DataFrame, key: str = "page_id") -> DataFrame:
-    """Add ``close_pos`` to open and raw tokens and ``open_pos`` to close tokens.
+    """Add ``close_pos`` and ``end_pos`` to open and raw tokens and ``open_pos`` to close tokens.
 
     Levels are counted per tag name, so an unclosed ``<p>`` cannot disturb an ``<article>``.  An
-    open tag without a partner runs to the end of the page, a stray close tag has no partner.
+    open tag without a partner has no close tag before the end of the page, a stray close tag has no
+    partner.  ``end_pos`` is the last token of the element, see :func:`_implied_ends`.
     """
     kind, tag, tok = F.col("kind"), F.col("tag"), F.col("tok")
     empty = tag.isin(VOID_TAGS) | (tok.endswith("/>") & ~tok.rlike(r"""=\s*[^\s"'>]+/>\z"""))
@@ -187,14 +195,59 @@ def match_elements(tokens: DataFrame, key: str = "page_id") -> DataFrame:
     paired = leveled.withColumn("next_pos", F.lead("pos").over(by_level)).withColumn(
         "prev", F.lag(F.struct("pos", "kind")).over(by_level)
     )
-    return paired.withColumn(
+    matched = paired.withColumn(
         "close_pos",
         F.when(F.col("step") == 1, F.coalesce(F.col("next_pos"), F.lit(PAGE_END))).when(
             kind.isin("open", "raw"), F.col("pos")
         ),
     ).withColumn(
         "open_pos", F.when((kind == "close") & (F.col("prev.kind") == "open"), F.col("prev.pos"))
-    ).drop("step", "depth_after", "level", "next_pos", "prev")
+    ).drop("depth_after", "level", "next_pos", "prev")
+    return _implied_ends(matched, key).drop("step")
+
+
+def _implied_ends(matched: DataFrame, key: str) -> DataFrame:
+    """Add ``end_pos``: ``close_pos``, or for an element that is never closed its implied end.
+
+    That is the token before the close tag of the element around it, or, for the elements of
+    ``OPTIONAL_ENDS``, before the next one beside it.  The body, and what has no element with a
+    close tag around it, run to the end of the page.  ``around`` counts the elements with a close
+    tag that are open at a token, and at a close tag its own; in one of these levels, the next
+    close tag is that of the element around.
+    """
+    kind, tag = F.col("kind"), F.col("tag")
+    turn = F.when((F.col("step") == 1) & (F.col("close_pos") < PAGE_END), 1).when(
+        F.col("open_pos").isNotNull(), -1
+    ).otherwise(0)
+    page = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    # Backwards, so that what follows a token is a running value.
+    after = Window.partitionBy(key, "around").orderBy(F.col("pos").desc()).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    rank = F.when(
+        kind == "open",
+        F.coalesce(*(
+            F.when(tag.isin([t for t, r in OPTIONAL_ENDS.items() if r == n]), n) for n in (1, 2, 3)
+        )),
+    )
+    leveled = (
+        matched.withColumn("turn", turn)
+        .withColumn("around", F.sum("turn").over(page) - F.col("turn"))
+        .withColumn("rank", rank)
+    )
+    closes = F.col("turn") == -1
+    for n in range(4):
+        ends = closes | (F.col("rank") <= n) if n else closes
+        leveled = leveled.withColumn(f"end_{n}", F.last(F.when(ends, F.col("pos")), True).over(after))
+    implied = F.coalesce(
+        F.when(F.col("rank") == 3, F.col("end_3")).when(F.col("rank") == 2, F.col("end_2"))
+        .when(F.col("rank") == 1, F.col("end_1")).otherwise(F.col("end_0")) - 1,
+        F.lit(PAGE_END),
+    )
+    open_ended = (F.col("close_pos") == PAGE_END) & ~tag.isin("html", "body")
+    return leveled.withColumn(
+        "end_pos", F.when(open_ended, implied).otherwise(F.col("close_pos"))
+    ).drop("turn", "around", "rank", "end_0", "end_1", "end_2", "end_3")
 
 
 def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -306,7 +359,7 @@ def _mark_junk(tokens: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
     return (
         tokens.withColumn("hit", hit)
         .withColumn(
-            "reach", F.max(F.when(F.col("hit") & ~paragraph, F.col("close_pos"))).over(page)
+            "reach", F.max(F.when(F.col("hit") & ~paragraph, F.col("end_pos"))).over(page)
         )
         .withColumn("in_p", F.last(F.when(event, F.col("hit") & paragraph), True).over(page))
         .withColumn(
@@ -392,14 +445,14 @@ def main_content(
     )
     ranked = clean.withColumn("rank", rank)
     chosen = F.min(
-        F.when(F.col("rank").isNotNull(), F.struct("rank", "pos", "close_pos"))
+        F.when(F.col("rank").isNotNull(), F.struct("rank", "pos", "end_pos"))
     ).over(page)
     return (
         ranked.withColumn("chosen", chosen)
         .where(
             (F.col("tok") == "")  # the row every page has, see page_tokens
             | F.col("chosen").isNull()
-            | F.col("pos").between(F.col("chosen.pos"), F.col("chosen.close_pos"))
+            | F.col("pos").between(F.col("chosen.pos"), F.col("chosen.end_pos"))
         )
         .drop("rank", "chosen", *(f"a_{n}" for n in names))
     )

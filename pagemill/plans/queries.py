@@ -154,6 +154,14 @@ def main_content(spark, folder):
     return _both(spark, folder, lambda t: html.drop_comments(html.main_content(t)))
 
 
+@_query
+def optional_end_tags(spark, folder):
+    """Text of the main content of pages that leave end tags out."""
+    tokens = _matched(derived.optional_pages(pages(spark, folder)))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).cast("bigint")
+    return html.main_content(tokens).where("kind = 'text'").select("page_id", place.alias("place"), "tok")
+
+
 @_query
 def junk_by_rule(spark, folder):
     both = pages(spark, folder).select("page_id", "html").unionByName(rich(spark, folder))

@@ -6,6 +6,8 @@ with the defects the line rules look for.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 SITE_SQL = """
@@ -59,6 +61,15 @@ select page_id, concat('<html><body><header><h1>Banner</h1></header>',
 from {pages}
 """
 
+# Every page with a list, a table, terms and a menu before its article, with or without their end tags.
+OPTIONAL_SQL = """
+select page_id, replace(html, '<article>', concat('<article><ul><li class="social">', url,
+  '<ul><li>', url, {ends:li}, '</ul>', {ends:li}, '<li>', url, {ends:li}, '</ul><table><tr><td class="sidebar">', url, {ends:td}, '<td><p>', url, '</p>',
+  {ends:td}, {ends:tr}, '<tr class="sidebar"><td>', url, {ends:td}, {ends:tr}, '<tr><th>', url, {ends:th}, {ends:tr},
+  '</table><dl><dt class="related">', url, {ends:dt}, '<dd>', url, {ends:dd}, '</dl><div><nav>', url, {ends:nav}, '</div>')) as html
+from {pages}
+"""
+
 DIRTY_SQL = """
 select doc_id, concat(text,
   case when doc_id % 5 = 0 then concat(chr(10), '```', chr(10), 'x=1', chr(10), '```', chr(10), 'ab') else '' end,
@@ -89,6 +100,11 @@ from v
 """
 
 
+def optional_sql(ends: bool) -> str:
+    """``OPTIONAL_SQL`` with the end tags that may be left out, or without them."""
+    return re.sub(r"\{ends:(\w+)\}", r"'</\1>'" if ends else "''", OPTIONAL_SQL)
+
+
 def _run(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
     return spark.sql(sql.replace("{text}", "string"), **tables)
 
@@ -107,6 +123,11 @@ def rich_pages(pages: DataFrame) -> DataFrame:
     return _run(pages.sparkSession, RICH_SQL, pages=pages.select("page_id"))
 
 
+def optional_pages(pages: DataFrame) -> DataFrame:
+    """Pages some of whose elements have no end tag."""
+    return _run(pages.sparkSession, optional_sql(False), pages=pages.select("page_id", "url", "html"))
+
+
 def dirty_lines(documents: DataFrame) -> DataFrame:
     return _run(documents.sparkSession, DIRTY_SQL, documents=documents.select("doc_id", "text"))
 

@@ -103,6 +103,15 @@ CASES = [
     ("junk body", "<html><head><title>Head text</title></head><body class='has-sidebar'><p>gone away</p></body></html>", "Head text"),
     ("no body", "<html><head><title>Title here</title></head><p>first para</p>", "first para"),
     ("unclosed nav", "<body><p>before it</p><nav><p>all the rest</p></body>", "before it"),
+    ("nav closed by its parent", "<body><div><nav>menu</div><p>After the menu</p></body>", "After the menu"),
+    ("junk item without end tag", '<body><ul><li class="social">share me<li>plain item</ul><p>Important text</p></body>', "- plain item\n\nImportant text"),
+    ("nested junk item", '<body><ul><li class="social">share<ul><li>deep one</ul><li>plain item</ul><p>Tail of page</p></body>', "- plain item\n\nTail of page"),
+    ("junk cell", '<body><table><tr><td class="sidebar">side<td><p>real words</p></table><p>Tail of page</p></body>', "real words\n\nTail of page"),
+    ("junk row", '<body><table><tr class="sidebar"><td>side<td>bar<tr><td><p>real words</p></table></body>', "real words"),
+    ("junk term", '<body><dl><dt class="related">gone<dd><p>kept words</p></dl><p>Tail of page</p></body>', "kept words\n\nTail of page"),
+    ("junk option", '<body><select><option class="social">a<option>plain choice</select><p>Tail of page</p></body>', "plain choice\n\nTail of page"),
+    ("content without end tag", "<body><div><article><p>the content</p></div><p>not this</p></body>", "the content"),
+    ("text after the body", "<html><body><p>first of all</p></html><p>and after</p>", "first of all\n\nand after"),
     ("stray close", "<body></nav><p>kept text</p></article><nav>dropped</nav><p>more text</p></body>", "kept text\n\nmore text"),
     ("comment with tags", "<body><p>one <!-- </p><nav> -->two</p></body>", "one two"),
     ("quoted bracket", '<body><p title="a > b">quoted</p></body>', "quoted"),
