@@ -13,9 +13,11 @@ occurs an odd number of times: an edit changes two bits at most, so that a key p
 marks are near.  Candidates are then verified by a banded bit-parallel automaton: bit k of
 state d says that the diagonal k - edits is reached with d edits.
 
-Defined results: a NULL or empty text has no lines; equal lines are near; short lines are left alone;
-a document without an id takes no part and is kept as it is; rows that share an id are one document; in
-each class of near lines the first occurrence (least id, then least line number) stays.
+Defined results: a NULL or empty text has no lines; equal lines are near; lines under ``min_chars`` are
+near where they are equal, and are looked at where ``short`` is set, as it is for removal; blank ones
+are left alone; a document without an id takes no part and is kept as it is; rows that share an id are one
+document, but a line goes only from a row that has it; in each class of near lines the first occurrence
+(least id, then least line number) stays.
 """
 
 from __future__ import annotations
@@ -194,13 +196,31 @@ def within(x: Column, y: Column, edits: int) -> Column:
     return F.when(F.abs(gap) > edits, F.lit(False)).when(F.length(y) == 0, F.lit(True)).otherwise(reached)
 
 
+def _all_lines(documents: DataFrame, doc: str, text: str) -> DataFrame:
+    return documents.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "text"))
+
+
 def document_lines(documents: DataFrame, doc: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    split = documents.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "text"))
-    return split.where(F.length("text") >= min_chars)
+    return _all_lines(documents, doc, text).where(F.length("text") >= min_chars)
+
+
+def short_lines(documents: DataFrame, doc: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """The other lines that are not blank."""
+    return _all_lines(documents, doc, text).where((F.length("text") < min_chars) & F.col("text").rlike(r"(?U)\S"))
+
 
+def line_classes(
+    documents: DataFrame, doc: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False
+) -> DataFrame:
+    """``doc, line_no, line_class, first_doc, first_line, kept`` for every line that is long enough.
 
-def line_classes(documents: DataFrame, doc: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``doc, line_no, line_class, first_doc, first_line, kept`` for every line that is long enough."""
+    ``short``: also for shorter lines that are not blank, whose class is their text.
+    """
+    return _classes(documents, doc, text, edits, min_chars, short).drop("line")
+
+
+def _classes(documents: DataFrame, doc: str, text: str, edits: int, min_chars: int, short: bool, named_lines: bool = False) -> DataFrame:
+    """The same; ``named_lines``: with ``line``, the digest of the line's own text."""
     stage = Stage(documents.sparkSession, "lines")
     lines = document_lines(documents, doc, text, min_chars)
     texts = lines.select(F.xxhash64("text").alias("line"), "text", F.length("text").alias("n"))
@@ -213,23 +233,26 @@ def line_classes(documents: DataFrame, doc: str = "doc_id", text: str = "text",
         F.md5("a_text").alias("a"), F.md5("b_text").alias("b")
     )
     near = components(links, stage, "near")
+    own = [F.unhex("line").alias("line")] if named_lines else []
     named = lines.select("doc", "line_no", name.alias("line"))
-    classed = stage.save(
-        named.join(near.withColumnRenamed("node", "line"), "line", "left").select("doc", "line_no", F.coalesce("component", "line").alias("line_class")), "classed"
-    )
+    classed = named.join(near.withColumnRenamed("node", "line"), "line", "left").select("doc", "line_no", F.coalesce("component", "line").alias("line_class"), *own)
+    if short:
+        alone = short_lines(documents, doc, text, min_chars).select("doc", "line_no", name.alias("line"))
+        classed = classed.union(alone.select("doc", "line_no", F.col("line").alias("line_class"), *own))
+    classed = stage.save(classed, "classed")
     first = stage.save(classed.groupBy("line_class").agg(F.min(F.struct("doc", "line_no")).alias("first")), "first")
     return classed.join(first, "line_class").select(
         "doc", "line_no", "line_class", F.col("first.doc").alias("first_doc"), F.col("first.line_no").alias("first_line"),
-        ((F.col("doc") == F.col("first.doc")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"),
+        ((F.col("doc") == F.col("first.doc")) & (F.col("line_no") == F.col("first.line_no"))).alias("kept"), *(["line"] if named_lines else []),
     )
 
 
 def drop_near_lines(documents: DataFrame, doc: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without the lines that occur before, all columns kept; a text may become empty."""
-    found = line_classes(documents, doc, text, edits, min_chars).where(~F.col("kept"))
-    gone = found.groupBy("doc").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc", "_doc")
+    found = _classes(documents, doc, text, edits, min_chars, True, True).where(~F.col("kept"))
+    gone = found.groupBy("doc").agg(F.collect_set(F.struct("line_no", "line")).alias("_gone")).withColumnRenamed("doc", "_doc")
     left = F.array_join(
-        F.filter(F.split(F.col(text), "\n", -1), lambda line, k: ~(F.array_contains("_gone", k) & (F.length(line) >= min_chars))), "\n"
+        F.filter(F.split(F.col(text), "\n", -1), lambda line, k: ~F.array_contains("_gone", F.struct(k.alias("line_no"), F.unhex(F.md5(line)).alias("line")))), "\n"
     )
     joined = documents.join(gone, documents[doc] == gone["_doc"], "left")
     return joined.select(*(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else documents[c] for c in documents.columns))

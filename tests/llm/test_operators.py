@@ -240,6 +240,22 @@ def test_lines(spark, awkward, pairs, monkeypatch):
         assert lines.line_classes(docs.limit(0)).count() == 0
 
 
+def test_short_lines_go_by_their_text(spark):
+    """Repeats of lines under the bound go too, blank lines stay, rows of one id lose only their own lines."""
+    page = "Les.\n\n}\n \t\nA line that is long enough, number one"
+    rows = [(1, page), (2, page), (2, "only here\nLes.\nLes\n}\n}"), (3, "Les.\nles.\n\u00a0\n\u00a0"), (None, page), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = lines.drop_near_lines(docs)
+    wanted = [(1, page), (2, "\n \t"), (2, "only here\nLes"), (3, "les.\n\u00a0\n\u00a0"), (None, page), (4, None), (5, "")]
+    assert ours(left) == sorted(wanted, key=repr)
+    first = {}
+    for d, k, line in sorted((d, k, line) for d, t in rows if d and t for k, line in enumerate(t.split("\n")) if line.strip()):
+        first.setdefault(line, (d, k))
+    expected = {(d, k, *first[line], (d, k) == first[line]) for d, t in rows if d and t for k, line in enumerate(t.split("\n")) if line.strip()}
+    found = lines.line_classes(docs, short=True).select("doc", "line_no", "first_doc", "first_line", "kept")
+    assert {tuple(r) for r in found.collect()} == expected
+
+
 def test_banded_distance(spark):
     random.seed(8)
     pairs = []
