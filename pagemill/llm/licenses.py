@@ -5,6 +5,10 @@ are made alike.  The digest of the whole canonical text is looked up in a table
 equi-join; so is that of every line, since licenses are often stated in one.  Nothing is searched
 inside a line or text: a text that merely mentions a license does not have its digest.
 
+The public licenses are data, in known_licenses.jsonl: each text is known with and without its titles, with
+numbers or bullets, in its own and in other line widths, since a line that begins with "copyright" is no part
+of a canonical text; so are short notices by each of its names.
+
 Defined results: a NULL or empty text has no license; rows that share an id are one document; a table that
 knows nothing finds nothing; digests that several known licenses share name the least of them; extra
 columns are not looked at.
@@ -12,6 +16,11 @@ columns are not looked at.
 
 from __future__ import annotations
 
+import json
+import re
+import textwrap
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +60,53 @@ _PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+# Short notices of a license's name, with and without its article.
+NOTICE_FORMS = (
+    "Licensed under {}.", "Released under {}.", "Distributed under {}.", "This project is licensed under {}.", "This work is licensed under {}.",
+    "This software is licensed under {}.", "This software is released under {}.", "This code is licensed under {}.",
+    "This project is licensed under {} - see the LICENSE file for details.", "This project is licensed under {} - see the LICENSE.md file for details.",
+)
+_MARKER = r"(?m)^[ \t]*(?:[0-9]+\.|\([a-z]\)|[*-])[ \t]"
+
+
+def _wrapped(text: str) -> list[str]:
+    """The text as it is and in the line widths that make another canonical text of it; long texts in the usual widths."""
+    long = len(text) >= 2_000
+    joined = [re.sub(r"\s+", " ", x).strip() for x in re.split(r"\n[ \t]*\n|\n(?=[ \t]*(?:[0-9]+\.|\([a-z]\)|[*-])[ \t])", text)]
+    forms = {tuple(m[0].strip() for m in re.finditer(_COPYRIGHT, text.lower())): text}
+    for width in (10**9, *((72, 78, 80) if long else range(56, 121))):
+        for indent in (0,) if long else (0, 2, 3, 4):
+            lines = [
+                x if not re.search(r"copyright|\(c\)|©", x.lower())
+                else "\n".join(textwrap.wrap(x, width - indent * bool(re.match(_MARKER, x)), break_long_words=False, break_on_hyphens=False))
+                for x in joined
+            ]
+            form = "\n\n".join(lines)
+            forms.setdefault(tuple(m[0].strip() for m in re.finditer(_COPYRIGHT, form.lower())), form)
+    return list(forms.values())
+
+
+def known_licenses() -> list[tuple[str, str]]:
+    """``license, text`` of the fixed notices and of the data file."""
+    found = dict.fromkeys(NOTICES)
+    for line in Path(__file__).with_name("known_licenses.jsonl").read_text(encoding="utf-8").splitlines():
+        own = json.loads(line)
+        name, text = own["license"], own["text"]
+        # Of lists of conditions only; longer texts refer to their sections by number.
+        bullets = {text, re.sub(r"(?m)^[ \t]*[0-9]\. ", "* ", text)} if name.startswith("BSD") else {text}
+        linked = {x.replace(*way) for x in bullets for way in (("http://", "http://"), ("http://", "https://"), ("https://", "http://"))}
+        rights = ("", "All rights reserved.\n\n") if len(text) < 2_000 else ("",)
+        for body in (form for x in sorted(linked) for form in _wrapped(x)):
+            for title in ("", *own["titles"]):
+                found.update(dict.fromkeys((name, f"{title}\n\n{right}{body}") for right in rights))
+        called = [f"{the}{x}" for x in own["names"] for the in ("the ", "")]
+        found.update(dict.fromkeys((name, form.format(x)) for form in NOTICE_FORMS for x in called))
+        found[name, f"SPDX-License-Identifier: {name}"] = None
+        if "GPL" in name:
+            found.update(dict.fromkeys((name, f"SPDX-License-Identifier: {name}{end}") for end in ("-only", "-or-later", "+")))
+    return list(found)
+
+
 def canonical(text: Column) -> Column:
     plain = F.regexp_replace(F.translate(text, _UPPER, _UPPER.lower()), _COPYRIGHT, "\n")
     for found, wanted in SPELLINGS:
@@ -89,10 +145,11 @@ QUERY = "op9_licenses"
 
 
 def query(spark, folder: str) -> DataFrame:
-    known = spark.createDataFrame(list(NOTICES), "license string, text string")
+    known = spark.createDataFrame(known_licenses(), "license string, text string")
     return scan_licenses(spark.read.parquet(f"{folder}/documents.parquet"), known)
 
 
+# The twin knows the fixed notices only, so it holds where no other known license occurs.
 def _canonical_sql(text: str) -> str:
     sql = rf"regexp_replace(translate({text}, '{_UPPER}', '{_UPPER.lower()}'), '{_COPYRIGHT}', chr(10), 'g')"
     for found, wanted in SPELLINGS:

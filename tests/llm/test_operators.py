@@ -6,6 +6,7 @@ import random
 import re
 from hashlib import sha256
 from itertools import pairwise
+from pathlib import Path
 from zlib import crc32
 
 import duckdb
@@ -353,6 +354,23 @@ def test_licenses(spark, awkward):
     assert licenses.scan_licenses(docs.limit(0), known).count() == 0
 
 
+def test_license_files(spark):
+    """Whole LICENSE files as they are found, each with its own lines and title; a changed text is none of them."""
+    folder = Path(__file__).with_name("license_files")
+    files = sorted(folder.glob("*.txt"))
+    assert len(files) >= 10
+    rows = [(k, f.read_text(encoding="utf-8")) for k, f in enumerate(files)]
+    rows += [(100 + k, "\n".join(text.split("\n")[1:])) for k, text in rows if files[k].name.startswith(("MIT", "ISC"))]
+    rows += [(200, rows[0][1].replace("Work", "Word")), (201, "Code\nSPDX-License-Identifier: GPL-2.0-only\nLicensed under the MPL 2.0")]
+    rows += [(202, "# Widget\nThis project is licensed under the BSD 3-Clause License.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(licenses.known_licenses(), "license string, text string")
+    found = {r.doc_id: (r.text_license, r.licenses) for r in licenses.scan_licenses(docs, known).collect()}
+    assert [found[k][0] for k in range(len(files))] == [f.stem.split("_")[0] for f in files]
+    assert {found[k][0] for k in found if 100 <= k < 200} == {"MIT", "ISC"}
+    assert found[200] == (None, "") and found[201] == (None, "GPL-2.0") and found[202] == (None, "BSD-3-Clause")
+
+
 def plain_pack(sizes, lengths, least):
     """Best fit by looking at every open bin."""
     per_token = sorted((n for n in lengths if n >= least), key=lambda n: packing.cost(n) / n)
