@@ -339,6 +339,27 @@ def test_chat(spark):
     assert [(r.turns, r.formatted) for r in chat.format_turns(chat.canonical_turns(odd)).collect()] == [(None, None)] * 4
 
 
+def test_chat_of_any_size(spark, tmp_path):
+    """Turns beyond the limits of the JSON parser are kept; a JSON record beyond them is an error."""
+    long = "a<" * 10_000_001
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", long), (2, 0, "system", "s"), (2, 1, "user", None), (2, 2, "tool", "t"), (2, 3, "assistant", "x\n")]
+    rows += [(3, 0, "system", "s"), (3, 1, "user", "u"), (3, 2, "assistant", "a"), (None, 0, "human", long), (None, 1, None, "b")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame.write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r.conv_id: r for r in chat.query(spark, str(tmp_path)).collect()}
+    for conv in (1, 2, 3, None):
+        own = [(r or "", t or "") for c, _, r, t in rows if c == conv]
+        assert found[conv].n_turns == len(own)
+        assert found[conv].turns_sha256 == sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
+        assert found[conv].loss_sha256 == sha256("".join(t for r, t in own if r == "assistant").encode()).hexdigest()
+    small = frame.where(F.length(F.coalesce("text", F.lit(""))) < 100)
+    parsed = chat.canonical_turns(chat.conversation_records(small)).select("conv_id", "fingerprint", "turns")
+    assert ours(chat.conversation_turns(small)) == ours(parsed)
+    big = spark.range(1).select(F.to_json(F.struct(F.lit("q").alias("prompt"), F.repeat(F.lit("a"), 20_000_001).alias("completion"))).alias("record"))
+    with pytest.raises(Exception, match="beyond the limits"):
+        chat.canonical_turns(big).select("turns").collect()
+
+
 def test_licenses(spark, awkward):
     mit = licenses.NOTICES[4][1]
     rows = awkward + [
