@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagemill.llm import chat, decontamination, jaccard, licenses, lines, packing, quality, sharding, substrings, urlfilter
+from pagemill.llm import chat, decontamination, jaccard, licenses, lines, merkle, packing, quality, sharding, substrings, urlfilter
 
-MODULES = (decontamination, sharding, quality, urlfilter, substrings, lines, chat, jaccard, licenses, packing)
+MODULES = (decontamination, sharding, quality, urlfilter, substrings, lines, chat, jaccard, licenses, packing, merkle)
 
 
 def all_queries() -> dict:
