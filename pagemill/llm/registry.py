@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagemill.llm import chat, decontamination, jaccard, licenses, lines, merkle, packing, quality, sharding, substrings, tokenfiles, urlfilter
+from pagemill.llm import alignment, chat, decontamination, jaccard, licenses, lines, merkle, packing, quality, sharding, substrings, tokenfiles, urlfilter
 
-MODULES = (decontamination, sharding, quality, urlfilter, substrings, lines, chat, jaccard, licenses, packing, merkle, tokenfiles)
+MODULES = (decontamination, sharding, quality, urlfilter, substrings, lines, chat, jaccard, licenses, packing, merkle, tokenfiles, alignment)
 
 
 def all_queries() -> dict:

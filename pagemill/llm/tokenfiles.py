@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import pairwise
 from zlib import crc32
 
 import numpy as np
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.tokens import word_encoder
+from pagemill.llm.tokens import WordEncoder
 from pagemill.llm.words import blocks, text_bytes
 from pagemill.operators.stage import Stage
 
@@ -38,7 +39,7 @@ SAMPLE_DOCS = 512
 SAMPLE_CHARS = 4096
 DICTIONARY_BYTES = 32 << 10
 # What a file should come to; more data make more files.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
 LEVEL = 3
 
 _MAGIC = b"PMTOKEN1"
@@ -89,14 +90,16 @@ def parse_footer(content: bytes | memoryview, digest: bytes) -> tuple[np.ndarray
 
 def _tokenised(path: str, end_id: int, kind: np.dtype, dictionary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_encoder(path)
+        encoder = WordEncoder(path)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             texts = batch.column("text")
             _, offsets = text_bytes(texts)
             for first, last in blocks(offsets):
-                part = [b + end for b in memo.ids(texts[first:last].to_pylist())]
+                lists = encoder.texts(texts[first:last])
+                flat, bounds = np.asarray(lists.flatten()), np.asarray(lists.offsets).tolist()
+                part = [flat[a:b].tobytes() + end for a, b in pairwise(bounds)]
                 arrays = [np.frombuffer(b, "<u4") for b in part]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -152,7 +155,7 @@ def write_token_files(
     rows = documents.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     sample = rows.where("text <> ''").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("doc_id"), "text")
     texts = [r[0] for r in sample.limit(SAMPLE_DOCS).select("text").collect()]
-    dictionary = train_dictionary([np.frombuffer(b, "<u4").astype(kind).tobytes() for b in word_encoder(tokenizer).ids(texts)])
+    dictionary = train_dictionary([np.asarray(ids, kind).tobytes() for ids in WordEncoder(tokenizer).texts(pa.array(texts, pa.string())).to_pylist()])
     digest = sha256(dictionary).digest()
     _write(spark.createDataFrame([(bytearray(dictionary),)], "record binary").coalesce(1), f"{folder}/dictionary")
 

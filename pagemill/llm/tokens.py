@@ -1,55 +1,34 @@
-"""Token ids of whole texts by a public tokenizer, each different word encoded once.
-
-The tokenizers used here never make a token that reaches over the boundary between a character that is not
-white space and a blank after it: their patterns end a match there, or no piece of the vocabulary has a
-blank behind another character.  A text is therefore cut at these blanks, every different part is encoded by the
-library, blank and all, and a text's ids are its parts' ids in a row.  The parts seen are kept up to a bound.
-"""
+"""Token ids of whole texts by public tokenizers, as Arrow list columns."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-# A blank behind a character that is no white space; the blank belongs to the part after it.
-_CUT = re.compile(r"(?<=\S) ")
-KEPT_PARTS = 1 << 18
-KEPT_CHARS = 64
-
-
-def parts_of(text: str) -> list[str]:
-    return _CUT.split(text)
+# Words kept by an encoder: two generations of so many, of so many characters at most.
+KEPT_WORDS = 1 << 18
+KEPT_CHARS = 32
+# Words that are encoded in one call.
+_JOINED = 256
 
+# Letters that are one letter for every rule of a tokenizer, in either case and in any normal form.
+_LETTERS = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{148}\x{14a}-\x{17f}"
+# ASCII signs without the apostrophe, which begins contractions.
+_SIGNS = r"!-&(-/:-@\[-`{-~"
+_END = "\x1f"
 
-class Memo:
-    """Ids of texts as little-endian unsigned 32-bit integers, by an encoder of parts.
-
-    ``encode`` takes a list of parts and returns the ids of each.  Parts over ``KEPT_CHARS`` characters are
-    not kept, and all are forgotten when there are more than ``KEPT_PARTS``, so memory does not grow with the corpus.
-    """
-
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]]):
-        self.encode = encode
-        self.known: dict[str, bytes] = {}
 
-    def look_up(self, texts: list[list[str]]) -> dict[str, bytes]:
-        """Ids of all parts of some texts."""
-        new = list({p for parts in texts for p in parts}.difference(self.known))
-        if len(self.known) + len(new) > KEPT_PARTS:
-            self.known = {}
-            new = list({p for parts in texts for p in parts})
-        found = {p: np.asarray(ids, dtype="<u4").tobytes() for p, ids in zip(new, self.encode(new), strict=True)}
-        self.known |= {p: b for p, b in found.items() if len(p) <= KEPT_CHARS}
-        return self.known if len(found) == sum(len(p) <= KEPT_CHARS for p in found) else self.known | found
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; a NULL is an empty text."""
-        cut = [parts_of(t) if t else [] for t in texts]
-        found = self.look_up(cut).__getitem__
-        return [b"".join(map(found, parts)) for parts in cut]
+def id_lists(ids: list[np.ndarray]) -> pa.Array:
+    """A list column from the ids of each text."""
+    bounds = np.concatenate([[0], np.cumsum([len(i) for i in ids], dtype=np.int64)])
+    flat = np.concatenate([np.zeros(0, np.uint32), *ids])
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.uint32)))
 
 
 def load_tokenizer(path: str, special_as_text: bool = False):
@@ -63,7 +42,134 @@ def load_tokenizer(path: str, special_as_text: bool = False):
     return tokenizer
 
 
-def word_encoder(path: str) -> Memo:
-    """Ids by a tokenizer that drops white space: parts as they are."""
-    tokenizer = load_tokenizer(path)
-    return Memo(lambda parts: [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+class WordEncoder:
+    """A tokenizer that drops white space and makes tokens of letters, of one digit, or of other signs.
+
+    The ids of a text are those of its words in a row, so the different words of a block of texts are encoded
+    by the library once, many in a call: every word ends with a token that the vocabulary marks as a word's
+    end.  This holds for texts of Latin letters, digits and ASCII signs without an apostrophe; any other text, and
+    one with the string of a special token, goes to the library whole.  Words seen are kept in two
+    generations, so that common ones stay and memory does not grow with the corpus.
+    """
+
+    PLAIN = rf"^[{_LETTERS}0-9{_SIGNS} \t\n\r]*$"
+    WORDS = rf"([{_LETTERS}]+|[0-9]|[{_SIGNS}]+)"
+
+    def __init__(self, path: str):
+        self.tokenizer = load_tokenizer(path)
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        vocabulary = described["model"]["vocab"]
+        self.special = [t["content"] for t in described["added_tokens"]]
+        suffix = described["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[k for entry, k in vocabulary.items() if entry.endswith(suffix)]] = True
+        self.fresh: dict[str, np.ndarray] = {}
+        self.old: dict[str, np.ndarray] = {}
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words, each of which is one word of the tokenizer."""
+        found = self.whole([" ".join(words[k : k + _JOINED]) for k in range(0, len(words), _JOINED)])
+        ids = np.concatenate(found)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            return self.whole(words)
+        return np.split(ids, cuts[:-1])
+
+    def words(self, words: list[str]) -> list[np.ndarray]:
+        fresh, old = self.fresh, self.old
+        new = []
+        for w in words:
+            if w not in fresh:
+                kept = old.get(w)
+                if kept is None:
+                    new.append(w)
+                else:
+                    fresh[w] = kept
+        if new:
+            fresh.update(zip(new, self._encode(new), strict=True))
+        found = list(map(fresh.__getitem__, words))
+        for w in new:
+            if len(w) > KEPT_CHARS:
+                del fresh[w]
+        if len(fresh) > KEPT_WORDS:
+            self.old, self.fresh = fresh, {}
+        return found
+
+    def texts(self, texts: pa.Array) -> pa.Array:
+        """A list column of the ids of each text; a NULL is an empty text."""
+        texts = texts.fill_null("").cast(pa.string())
+        plain = pc.match_substring_regex(texts, self.PLAIN)
+        for string in self.special:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(texts, string)))
+        odd = pc.indices_nonzero(pc.invert(plain))
+        if len(odd):
+            both = pa.concat_arrays([
+                self._plain_texts(pc.if_else(plain, texts, "")), id_lists(self.whole(texts.take(odd).to_pylist())),
+            ])
+            at = np.arange(len(texts))
+            at[np.asarray(odd)] = len(texts) + np.arange(len(odd))
+            return both.take(pa.array(at))
+        return self._plain_texts(texts)
+
+    def _plain_texts(self, texts: pa.Array) -> pa.Array:
+        marked = pc.replace_substring_regex(texts, self.WORDS, rf"\1{_END}")
+        lists = pc.split_pattern(pc.replace_substring_regex(marked, r"[ \t\n\r]+", ""), _END)
+        flat = lists.flatten()
+        kept = pc.not_equal(flat, "")
+        starts = np.concatenate([[0], np.cumsum(np.asarray(kept))])[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        coded = flat.filter(kept).dictionary_encode()
+        ids = pc.take(id_lists(self.words(coded.dictionary.to_pylist())), coded.indices)
+        bounds = np.asarray(ids.offsets)[starts] - ids.offsets[0].as_py()
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), ids.flatten())
+
+
+# What byte-level tokenizers of this kind cut texts by (a fixed value of the vocabulary).
+_BYTE_LEVEL_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_characters() -> dict[str, int]:
+    # Printable bytes stand for themselves, the others for characters from 256 on, in order.
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    table = {chr(b): b for b in plain}
+    return table | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_BYTE_OF = _byte_characters()
+
+
+def byte_level_bytes(entry: str) -> bytes:
+    """Bytes of an entry of a byte-level vocabulary, where every byte is written as a printable character."""
+    return bytes(map(_BYTE_OF.__getitem__, entry))
+
+
+def byte_level_encoder(path: str) -> tuple[Callable[[str], np.ndarray], list[bytes]]:
+    """An encoder of texts by a byte-level vocabulary whose ids rise in the order of its merges, and its tokens' bytes.
+
+    Strings of special tokens are plain text.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        described = json.load(file)
+    special = {t["content"]: t["id"] for t in described["added_tokens"]}
+    entries = {entry: k for entry, k in described["model"]["vocab"].items() if entry not in special}
+    table = [b""] * (1 + max([*entries.values(), *special.values()]))
+    for entry, k in entries.items():
+        table[k] = byte_level_bytes(entry)
+    merged = [m if isinstance(m, list) else re.split(" ", m) for m in described["model"]["merges"]]
+    order = [entries["".join(m)] for m in merged]
+    if order != sorted(order):
+        raise ValueError("the ids of this vocabulary are not in the order of its merges")
+    encoding = tiktoken.Encoding("own", pat_str=_BYTE_LEVEL_PATTERN, mergeable_ranks={table[k]: k for k in entries.values()}, special_tokens={})
+    return lambda text: np.asarray(encoding.encode_ordinary(text), np.uint32), table
+
+
+def piece_bytes(piece: str) -> bytes:
+    """Bytes of a sentence piece: ``<0xHH>`` is a byte, U+2581 a blank."""
+    if re.fullmatch("<0x[0-9A-F]{2}>", piece):
+        return bytes([int(piece[3:5], 16)])
+    return piece.replace("▁", " ").encode()
