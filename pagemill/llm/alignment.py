@@ -19,6 +19,7 @@ looked at.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.tokens import byte_level_encoder, id_lists, piece_bytes
+from pagemill.llm.tokens import byte_level_encoder, id_bytes, id_lists, piece_bytes
 from pagemill.llm.words import blocks, text_bytes
 from pagemill.operators.stage import Stage
 
@@ -41,7 +42,7 @@ _SPAN = 1 << 31
 class Side:
     """One tokenizer: ``encode`` gives the ids of a list of texts, ``table`` the bytes of each id."""
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], table: list[bytes]):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], table: list[bytes]):
         self.encode, self.table = encode, table
         self.sizes = np.array([len(b) for b in table], np.int64)
         # Decimal ids with what may follow them in a written group.
@@ -53,26 +54,28 @@ class Side:
         return pc.binary_join(pa.ListArray.from_arrays(tokens.offsets, flat), pa.scalar(b"", pa.large_binary()))
 
 
+@lru_cache(maxsize=2)
 def byte_level_side(path: str) -> Side:
     """A tokenizer of a blank and the text."""
     encode, table = byte_level_encoder(path)
     return Side(lambda texts: [encode(f" {t}") for t in texts], table)
 
 
+@lru_cache(maxsize=2)
 def piece_side(path: str) -> Side:
     """A sentence piece model, which puts a blank before a text by itself."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     table = [piece_bytes(model.id_to_piece(k)) for k in range(model.get_piece_size())]
-    return Side(lambda texts: [np.asarray(i, np.uint32) for i in model.encode(texts, num_threads=1)], table)
+    return Side(lambda texts: [id_bytes(i) for i in model.encode(texts, num_threads=1)], table)
 
 
 def token_lists(texts: pa.Array, sides: tuple[Side, Side]) -> list[pa.Array]:
     """Ids of each text on both sides, or none on both where a side does not give back a blank and the text."""
     texts = texts.fill_null("")
     plain = texts.to_pylist()
-    lists = [id_lists([side.encode([t])[0] if t else np.zeros(0, np.uint32) for t in plain]) for side in sides]
+    lists = [id_lists([ids if t else b"" for t, ids in zip(plain, side.encode(plain), strict=True)]) for side in sides]
     want = pc.binary_join_element_wise(" ", texts, "").cast(pa.large_binary())
     good = pc.and_(*(pc.equal(side.texts_of(l), want) for side, l in zip(sides, lists, strict=True)))
     if not pc.all(good).as_py():

@@ -8,8 +8,8 @@ itself with a zstandard dictionary that all files share and that was trained on
 read with one seek and a few bytes, and a file that was written with another dictionary is noticed.
 
 Files are written and read by Spark's own writers and readers, so a folder may be in any store Spark reaches; a task
-that fails is repeated whole.  The dictionary is trained on a bounded sample (``SAMPLE_DOCS`` documents with the least
-hashes of their ids, ``SAMPLE_CHARS`` characters of each): it decides how well frames compress and nothing else.
+that fails is repeated whole.  The dictionary is trained on a bounded sample (about ``SAMPLE_DOCS`` documents, chosen by
+a hash of their ids, ``SAMPLE_CHARS`` characters of each): it decides how well frames compress and nothing else.
 
 Defined results: a NULL text is an empty one, and an empty text is a document with the end id alone; documents of one id
 (or none; these come first) are ordered by the checksum of their ids, and equal rows are documents each; a very long
@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.tokens import WordEncoder
+from pagemill.llm.tokens import word_encoder
 from pagemill.llm.words import blocks, text_bytes
 from pagemill.operators.stage import Stage
 
@@ -90,7 +90,7 @@ def parse_footer(content: bytes | memoryview, digest: bytes) -> tuple[np.ndarray
 
 def _tokenised(path: str, end_id: int, kind: np.dtype, dictionary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = word_encoder(path)
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
@@ -153,9 +153,11 @@ def write_token_files(
     stage = Stage(spark, "tokenfiles")
     kind = id_type(vocabulary)
     rows = documents.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    sample = rows.where("text <> ''").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy(F.xxhash64("doc_id"), "text")
-    texts = [r[0] for r in sample.limit(SAMPLE_DOCS).select("text").collect()]
-    dictionary = train_dictionary([np.asarray(ids, kind).tobytes() for ids in WordEncoder(tokenizer).texts(pa.array(texts, pa.string())).to_pylist()])
+    # About SAMPLE_DOCS documents, found while reading: nothing is sorted or gathered for it.
+    every = max(1, rows.count() // SAMPLE_DOCS)
+    sample = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) & (F.col("text") != ""))
+    texts = sorted(r[0] for r in sample.select(F.substring("text", 1, SAMPLE_CHARS)).limit(2 * SAMPLE_DOCS).collect())
+    dictionary = train_dictionary([np.asarray(ids, kind).tobytes() for ids in word_encoder(tokenizer).texts(pa.array(texts, pa.string())).to_pylist()])
     digest = sha256(dictionary).digest()
     _write(spark.createDataFrame([(bytearray(dictionary),)], "record binary").coalesce(1), f"{folder}/dictionary")
 

@@ -6,13 +6,15 @@ import json
 import os
 import re
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 # Words kept by an encoder: two generations of so many, of so many characters at most.
-KEPT_WORDS = 1 << 18
+KEPT_WORDS = 200_000
 KEPT_CHARS = 32
 # Words that are encoded in one call.
 _JOINED = 256
@@ -24,11 +26,14 @@ _SIGNS = r"!-&(-/:-@\[-`{-~"
 _END = "\x1f"
 
 
-def id_lists(ids: list[np.ndarray]) -> pa.Array:
-    """A list column from the ids of each text."""
-    bounds = np.concatenate([[0], np.cumsum([len(i) for i in ids], dtype=np.int64)])
-    flat = np.concatenate([np.zeros(0, np.uint32), *ids])
-    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.uint32)))
+def id_lists(ids: list[bytes]) -> pa.Array:
+    """A list column from the ids of each text, little-endian unsigned integers of four bytes."""
+    bounds = np.concatenate([[0], np.cumsum([len(i) for i in ids], dtype=np.int64) // 4])
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+
+
+def id_bytes(ids: list[int]) -> bytes:
+    return np.asarray(ids, "<u4").tobytes()
 
 
 def load_tokenizer(path: str, special_as_text: bool = False):
@@ -53,7 +58,7 @@ class WordEncoder:
     """
 
     PLAIN = rf"^[{_LETTERS}0-9{_SIGNS} \t\n\r]*$"
-    WORDS = rf"([{_LETTERS}]+|[0-9]|[{_SIGNS}]+)"
+    WORDS = rf"[ \t\n\r]*([{_LETTERS}]+|[0-9]|[{_SIGNS}]+)"
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
@@ -64,39 +69,34 @@ class WordEncoder:
         suffix = described["model"]["end_of_word_suffix"]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[k for entry, k in vocabulary.items() if entry.endswith(suffix)]] = True
-        self.fresh: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
+        # The empty text has one word, and it has no ids.
+        self.fresh: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [id_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
+    def _encode(self, words: list[str]) -> list[bytes]:
         """Ids of words, each of which is one word of the tokenizer."""
-        found = self.whole([" ".join(words[k : k + _JOINED]) for k in range(0, len(words), _JOINED)])
-        ids = np.concatenate(found)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
+        found = b"".join(self.whole([" ".join(words[k : k + _JOINED]) for k in range(0, len(words), _JOINED)]))
+        cuts = 4 * np.flatnonzero(self.ends[np.frombuffer(found, "<u4")]) + 4
         if len(cuts) != len(words):
             return self.whole(words)
-        return np.split(ids, cuts[:-1])
+        return [found[a:b] for a, b in pairwise([0, *cuts.tolist()])]
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
+    def words(self, words: list[str]) -> list[bytes]:
         fresh, old = self.fresh, self.old
-        new = []
-        for w in words:
-            if w not in fresh:
-                kept = old.get(w)
-                if kept is None:
-                    new.append(w)
-                else:
-                    fresh[w] = kept
+        missing = [w for w in words if w not in fresh]
+        new = [w for w in missing if w not in old]
+        if len(new) < len(missing):
+            fresh.update((w, old[w]) for w in missing if w in old)
         if new:
             fresh.update(zip(new, self._encode(new), strict=True))
         found = list(map(fresh.__getitem__, words))
-        for w in new:
-            if len(w) > KEPT_CHARS:
-                del fresh[w]
+        for w in [w for w in new if len(w) > KEPT_CHARS]:
+            del fresh[w]
         if len(fresh) > KEPT_WORDS:
-            self.old, self.fresh = fresh, {}
+            self.old, self.fresh = fresh, {"": b""}
         return found
 
     def texts(self, texts: pa.Array) -> pa.Array:
@@ -116,15 +116,26 @@ class WordEncoder:
         return self._plain_texts(texts)
 
     def _plain_texts(self, texts: pa.Array) -> pa.Array:
-        marked = pc.replace_substring_regex(texts, self.WORDS, rf"\1{_END}")
-        lists = pc.split_pattern(pc.replace_substring_regex(marked, r"[ \t\n\r]+", ""), _END)
-        flat = lists.flatten()
-        kept = pc.not_equal(flat, "")
-        starts = np.concatenate([[0], np.cumsum(np.asarray(kept))])[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
-        coded = flat.filter(kept).dictionary_encode()
-        ids = pc.take(id_lists(self.words(coded.dictionary.to_pylist())), coded.indices)
-        bounds = np.asarray(ids.offsets)[starts] - ids.offsets[0].as_py()
-        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), ids.flatten())
+        # Cut at blanks and line feeds first, so that the pattern sees each different part once.
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        parts = lists.flatten().dictionary_encode()
+        marked = pc.replace_substring_regex(pc.ascii_trim_whitespace(parts.dictionary), self.WORDS, rf"\1{_END}")
+        words = pc.split_pattern(pc.ascii_rtrim(marked, _END), _END)
+        coded = words.flatten().dictionary_encode()
+        ids = _regrouped(pc.take(id_lists(self.words(coded.dictionary.to_pylist())), coded.indices), words)
+        return _regrouped(pc.take(ids, parts.indices), lists)
+
+
+def _regrouped(items: pa.Array, lists: pa.Array) -> pa.Array:
+    """The items of lists of lists, whose inner lists are ``items``, as one list for each of ``lists``."""
+    bounds = np.asarray(items.offsets)[np.asarray(lists.offsets) - lists.offsets[0].as_py()] - items.offsets[0].as_py()
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), items.flatten())
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder per worker process, whose words serve all its tasks."""
+    return WordEncoder(path)
 
 
 # What byte-level tokenizers of this kind cut texts by (a fixed value of the vocabulary).
@@ -146,7 +157,8 @@ def byte_level_bytes(entry: str) -> bytes:
     return bytes(map(_BYTE_OF.__getitem__, entry))
 
 
-def byte_level_encoder(path: str) -> tuple[Callable[[str], np.ndarray], list[bytes]]:
+@lru_cache(maxsize=2)
+def byte_level_encoder(path: str) -> tuple[Callable[[str], bytes], list[bytes]]:
     """An encoder of texts by a byte-level vocabulary whose ids rise in the order of its merges, and its tokens' bytes.
 
     Strings of special tokens are plain text.
@@ -165,7 +177,7 @@ def byte_level_encoder(path: str) -> tuple[Callable[[str], np.ndarray], list[byt
     if order != sorted(order):
         raise ValueError("the ids of this vocabulary are not in the order of its merges")
     encoding = tiktoken.Encoding("own", pat_str=_BYTE_LEVEL_PATTERN, mergeable_ranks={table[k]: k for k in entries.values()}, special_tokens={})
-    return lambda text: np.asarray(encoding.encode_ordinary(text), np.uint32), table
+    return lambda text: id_bytes(encoding.encode_ordinary(text)), table
 
 
 def piece_bytes(piece: str) -> bytes:
