@@ -39,8 +39,10 @@ SAMPLE_DOCS = 512
 SAMPLE_CHARS = 4096
 DICTIONARY_BYTES = 32 << 10
 # What a file should come to; more data make more files.
-FILE_BYTES = 16 << 20
+FILE_BYTES = 8 << 20
 LEVEL = 3
+# Texts that are tokenised together in a task.
+BLOCK_BYTES = 2 << 20
 
 _MAGIC = b"PMTOKEN1"
 # Magic, documents, bytes per id, end of the frames, SHA-256 of the dictionary, magic.
@@ -96,7 +98,7 @@ def _tokenised(path: str, end_id: int, kind: np.dtype, dictionary: bytes):
         for batch in batches:
             texts = batch.column("text")
             _, offsets = text_bytes(texts)
-            for first, last in blocks(offsets):
+            for first, last in blocks(offsets, BLOCK_BYTES):
                 lists = encoder.texts(texts[first:last])
                 flat, bounds = np.asarray(lists.flatten()), np.asarray(lists.offsets).tolist()
                 part = [flat[a:b].tobytes() + end for a, b in pairwise(bounds)]
@@ -109,6 +111,7 @@ def _tokenised(path: str, end_id: int, kind: np.dtype, dictionary: bytes):
                     ],
                     names=["doc_id", "row", "n_tokens", "crc", "frame"],
                 )
+            pa.default_memory_pool().release_unused()
 
     return run
 

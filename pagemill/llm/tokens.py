@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Words kept by an encoder: two generations of so many, of so many characters at most.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 KEPT_CHARS = 32
 # Words that are encoded in one call.
 _JOINED = 256
