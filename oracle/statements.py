@@ -1,7 +1,8 @@
 from __future__ import annotations
 
+from pagemill.operators.html import EDGES, INLINE_TAGS, OPTIONAL_ENDS, PAGE_END, PARAGRAPH_ENDS, REACH
 from pagemill.operators.rules import JUNK_RULES
-from pagemill.sources.derived import DIRTY_SQL, RICH_SQL, ROBOTS_SQL, SEEDS_SQL, SITE_SQL, optional_sql
+from pagemill.sources.derived import DIRTY_SQL, MISNESTED_SQL, RICH_SQL, ROBOTS_SQL, SEEDS_SQL, SITE_SQL, optional_sql
 
 _WS = (
     r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -19,6 +20,7 @@ SEEDS = _derived(SEEDS_SQL, pages="pages")
 RICH = _derived(RICH_SQL, pages="pages")
 # The same pages with every end tag written.
 CLOSED = _derived(optional_sql(True), pages="pages")
+MISNESTED = _derived(MISNESTED_SQL, pages="pages")
 DIRTY = _derived(DIRTY_SQL, documents="documents")
 PAGE_ROBOTS = _derived(ROBOTS_SQL, column="url", urls="pages")
 SITE_ROBOTS = _derived(ROBOTS_SQL, column="requested_url", urls=SITE)
@@ -78,6 +80,38 @@ spans as (select o.page_id, o.pos, o.tag, o.kind, o.tok,
   from summed o where o.kind in ('open', 'raw'))"""
 
 
+def _tag_value(values: dict[str, int], other: int) -> str:
+    return "case tag " + " ".join(f"when '{t}' then {v}" for t, v in values.items()) + f" else {other} end"
+
+
+# The same by a walk over the tags of a page with a stack of what is open, innermost first; one step per tag.
+WALKED = f"""
+tags as materialized (select page_id, row_number() over (partition by page_id order by pos) as k, pos, tag, kind = 'open' as opens,
+    {_tag_value(OPTIONAL_ENDS | {t: 8 for t in INLINE_TAGS}, 0)} as rnk,
+    case when kind = 'open' then {_tag_value(EDGES, 0)} else {_tag_value(REACH, 0)} end as edge,
+    case when kind = 'open' then {_tag_value({t: 4 for t in PARAGRAPH_ENDS} | OPTIONAL_ENDS, 9)} else 9 end as ends
+  from typed where kind = 'close' or (kind = 'open' and tag not in {_VOID} and tok not like '%/>')),
+walk as (
+  select page_id, 0::bigint as k, []::struct(pos bigint, tag varchar, rnk int, edge int)[] as stack, []::struct(pos bigint, fin bigint)[] as ended
+    from (select distinct page_id from tags)
+  union all
+  select page_id, k,
+    case when opens then list_concat([{{'pos': pos, 'tag': tag, 'rnk': rnk, 'edge': edge}}], stack[n + 1:]) else stack[n + 1:] end,
+    list_transform(stack[:n], lambda e, i: {{'pos': e.pos, 'fin': case when i = n and not opens then pos when e.tag in ('html', 'body') then {PAGE_END} else pos - 1 end}})
+  from (select *, case when opens and ends < 9 then
+          coalesce(list_max(list_transform(range(1, 1 + case when stop is null then len(stack) else stop - 1 end), lambda i: case when stack[i].rnk < 8 then i else 0 end)), 0)
+        when opens or own is null or len(list_filter(stack[:own - 1], lambda e: e.edge > edge)) > 0 then 0 else own end as n
+    from (select w.page_id, t.k, w.stack, t.pos, t.tag, t.rnk, t.edge, t.ends, t.opens,
+            list_position(list_transform(w.stack, lambda e: e.rnk < t.ends), true) as stop,
+            list_position(list_transform(w.stack, lambda e: e.tag), t.tag) as own
+          from walk w join tags t on t.page_id = w.page_id and t.k = w.k + 1))),
+found as (select page_id, unnest(ended, recursive := true) from walk),
+spans as (select o.page_id, o.pos, o.tag, o.kind, o.tok,
+    case when t.pos is null then o.pos else coalesce(f.fin, {PAGE_END}) end as close_pos
+  from typed o left join tags t on t.page_id = o.page_id and t.pos = o.pos
+  left join found f on f.page_id = o.page_id and f.pos = o.pos where o.kind in ('open', 'raw'))"""
+
+
 def _attr(name: str) -> str:
     return f"regexp_extract(tok, '(?i)\\s{name}=\"([^\"]*)\"', 1)"
 
@@ -370,6 +404,9 @@ def oracle_sql() -> dict[str, str]:
         "main_content": _kept("content"),
         "optional_end_tags": f"""with {tokens(CLOSED)}, {SPANS}, {CONTENT}
             select page_id, row_number() over (partition by page_id order by pos) as place, tok from content where kind = 'text'""",
+        "misnested_tags": f"""with recursive {tokens(MISNESTED)}, {WALKED}, {CONTENT}
+            select page_id, row_number() over (partition by page_id order by pos) as place, tok from content where kind = 'text'""",
+        "misnested_spans": f"with recursive {tokens(MISNESTED)}, {WALKED} select page_id, pos, tag, close_pos as end_pos from spans",
         "junk_by_rule": f"with {tokens(both)}, counts as ({rules}) select rule, n_elements from counts where n_elements > 0",
         "md_blocks": f"{rendered('pages')} select page_id, (dense_rank() over (partition by page_id order by block))::bigint as place, kind, sep, line from rendered",
         "md_headings": f"{rendered('pages')} select page_id, line from rendered where kind = 'heading'",

@@ -1,9 +1,9 @@
 """HTML as a token table: tokens, element spans, titles, links, boilerplate, main content.
 
-A page is cut into tokens by one pattern while its file is read.  Everything that needs the
-tree (which close tag belongs to which open tag, what lies inside what) is a running window
-over the tokens of one page.  All windows are partitioned by the page key first, so the only
-shuffle is the one that brings pages, not tokens, to their partition.
+A page is cut into tokens by one pattern while its file is read.  Which close tag belongs to which
+open tag is found by one fold over the tags of a page, an expression on its array of tokens; what lies
+inside what is then a running window over the tokens of one page.  All windows are partitioned by
+the page key first, so the only shuffle is the one that brings pages, not tokens, to their partition.
 """
 
 from __future__ import annotations
@@ -54,8 +54,23 @@ PARAGRAPH_ENDS = (
 # a lower rank begins beside it, or where its parent ends.
 OPTIONAL_ENDS = {
     "tbody": 1, "thead": 1, "tfoot": 1, "tr": 2, "optgroup": 2,
-    "li": 3, "dt": 3, "dd": 3, "td": 3, "th": 3, "option": 3,
+    "li": 3, "dt": 3, "dd": 3, "td": 3, "th": 3, "option": 3, "p": 4,
 }
+# Elements within a line of text; what begins inside them may end what is around them.
+INLINE_TAGS = (
+    "a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike "
+    "strong sub sup time tt u var"
+).split()
+# A close tag does not reach over the edge of such an element, unless it is that of a
+# part of a table (over cells) or of a table, body or page (over tables too).
+EDGES = {"caption": 1, "td": 1, "th": 1, "object": 1, "template": 1, "table": 2}
+REACH = {
+    "caption": 1, "td": 1, "th": 1, "tr": 1, "tbody": 1, "thead": 1, "tfoot": 1,
+    "table": 2, "body": 2, "html": 2,
+}
+_INLINE, _NO_RANK = 8, 9
+# Tags that are folded at a time: what a step appends to stays short on a long page.
+_FOLDED = 256
 
 PAGE_END = 2**31 - 1
 
@@ -168,86 +183,176 @@ def page_tokens(
     return _typed(exploded.select(key, "pos", "tok", note.alias("note")))
 
 
-def match_elements(tokens: DataFrame, key: str = "page_id") -> DataFrame:
-    """Add ``close_pos`` and ``end_pos`` to open and raw tokens and ``open_pos`` to close tokens.
+def _by_tag(tag: Column, values: dict[str, int], other: int) -> Column:
+    chosen = None
+    for value in sorted(set(values.values())):
+        test = tag.isin([t for t, v in values.items() if v == value])
+        chosen = F.when(test, value) if chosen is None else chosen.when(test, value)
+    return chosen.otherwise(other)
 
-    Levels are counted per tag name, so an unclosed ``<p>`` cannot disturb an ``<article>``.  An
-    open tag without a partner has no close tag before the end of the page, a stray close tag has no
-    partner.  ``end_pos`` is the last token of the element, see :func:`_implied_ends`.
-    """
-    kind, tag, tok = F.col("kind"), F.col("tag"), F.col("tok")
-    empty = tag.isin(VOID_TAGS) | (tok.endswith("/>") & ~tok.rlike(r"""=\s*[^\s"'>]+/>\z"""))
-    step = (
-        F.when((kind == "open") & ~empty, 1).when(kind == "close", -1).otherwise(0)
+
+_STACK = "array<struct<pos:int,tag:string,rank:int,edge:int,list:boolean>>"
+_ENDED = "array<struct<open:int,close:int,end:int>>"
+_CLOSED = "array<struct<open:int,lists:int>>"
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _tag_event(token: Column) -> Column:
+    """What the fold has to know of a tag."""
+    tag, opens = token["tag"], token["step"] == 1
+    ranks = OPTIONAL_ENDS | {t: _INLINE for t in INLINE_TAGS}
+    starts = {t: 4 for t in PARAGRAPH_ENDS} | OPTIONAL_ENDS
+    return F.struct(
+        token["pos"].alias("pos"), tag.alias("tag"), opens.alias("opens"),
+        _by_tag(tag, ranks, 0).alias("rank"),
+        F.when(opens, _by_tag(tag, EDGES, 0)).otherwise(_by_tag(tag, REACH, 0)).alias("edge"),
+        # An element of a rank up to this ends where the tag begins, unless something else is between.
+        F.when(opens, _by_tag(tag, starts, _NO_RANK)).otherwise(_NO_RANK).alias("ends"),
+        tag.isin("ul", "ol").alias("list"),
     )
-    by_tag = Window.partitionBy(key, "tag").orderBy("pos")
-    by_level = Window.partitionBy(key, "tag", "level").orderBy("pos")
-    leveled = (
-        tokens.withColumn("step", step)
-        .withColumn("depth_after", F.sum("step").over(by_tag.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn(
-            "level",
-            F.when(F.col("step") == 0, F.lit(None)).otherwise(
-                F.col("depth_after") - F.when(F.col("step") == 1, 1).otherwise(0)
-            ),
+
+
+def _n_ended(stack: Column, tag: Column) -> Column:
+    """How many elements, innermost first, a tag ends."""
+
+    def first(test) -> Column:
+        return F.array_position(F.transform(stack, test), F.lit(True)).cast("int")
+
+    def ended_by_start(n: Column) -> Column:
+        beside = F.reverse(F.slice(stack, F.lit(1), n))
+        last = F.array_position(F.transform(beside, lambda e: e["rank"] < _INLINE), F.lit(True)).cast("int")
+        return F.when(last == 0, 0).otherwise(n - last + 1)
+
+    def ended_by_close(n: Column) -> Column:
+        over = F.exists(F.slice(stack, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda e: e["edge"] > tag["edge"])
+        return F.when(over, 0).otherwise(n)
+
+    stop = first(lambda e: e["rank"] < tag["ends"])
+    return F.when(
+        tag["opens"] & (tag["ends"] < _NO_RANK),
+        _let(F.when(stop == 0, F.size(stack)).otherwise(stop - 1), ended_by_start),
+    ).when(~tag["opens"], _let(first(lambda e: e["tag"] == tag["tag"]), ended_by_close)).otherwise(0)
+
+
+def _fold_tag(state: Column, tag: Column) -> Column:
+    """One step: what the tag ends is taken from the stack, what it begins is put on it."""
+    stack = state["stack"]
+
+    def step(n: Column) -> Column:
+        closes = ~tag["opens"]
+
+        def end(element: Column, k: Column) -> Column:
+            own = closes & (k == n - 1)
+            return F.struct(
+                element["pos"].alias("open"),
+                F.when(own, tag["pos"]).alias("close"),
+                F.when(own, tag["pos"]).when(element["tag"].isin("html", "body"), F.lit(PAGE_END))
+                .otherwise(tag["pos"] - 1).alias("end"),
+            )
+
+        ended = F.slice(stack, F.lit(1), n)
+        begun = F.array(F.struct(*(tag[c].alias(c) for c in ("pos", "tag", "rank", "edge", "list"))))
+        pair = F.struct(
+            F.when(n > 0, F.get(stack, n - 1)["pos"]).alias("open"),
+            F.size(F.filter(ended, lambda e: e["list"])).alias("lists"),
         )
+        return F.struct(
+            F.concat(
+                F.when(tag["opens"], begun).otherwise(F.array().cast(_STACK)),
+                F.slice(stack, n + 1, F.size(stack)),
+            ).alias("stack"),
+            F.concat(state["ended"], F.transform(ended, end)).alias("ended"),
+            F.concat(state["closed"], F.when(closes, F.array(pair)).otherwise(F.array().cast(_CLOSED))).alias("closed"),
+        )
+
+    return _let(_n_ended(stack, tag), step)
+
+
+def _nested(tags: Column) -> Column:
+    """Fold of a page's tags: ``ended`` has every element's end, ``closed`` every close tag's element."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(tags), F.lit(1)), F.lit(_FOLDED))
+
+    def fold_run(state: Column, start: Column) -> Column:
+        none = F.struct(
+            state["stack"].alias("stack"), F.array().cast(_ENDED).alias("ended"), F.array().cast(_CLOSED).alias("closed")
+        )
+        done = F.aggregate(F.slice(tags, start, _FOLDED), none, _fold_tag)
+        return _let(done, lambda d: F.struct(
+            d["stack"].alias("stack"),
+            F.concat(state["ended"], F.array(d["ended"])).alias("ended"),
+            F.concat(state["closed"], F.array(d["closed"])).alias("closed"),
+        ))
+
+    zero = F.struct(
+        F.array().cast(_STACK).alias("stack"), F.array().cast(f"array<{_ENDED}>").alias("ended"),
+        F.array().cast(f"array<{_CLOSED}>").alias("closed"),
     )
-    paired = leveled.withColumn("next_pos", F.lead("pos").over(by_level)).withColumn(
-        "prev", F.lag(F.struct("pos", "kind")).over(by_level)
-    )
-    matched = paired.withColumn(
-        "close_pos",
-        F.when(F.col("step") == 1, F.coalesce(F.col("next_pos"), F.lit(PAGE_END))).when(
-            kind.isin("open", "raw"), F.col("pos")
-        ),
-    ).withColumn(
-        "open_pos", F.when((kind == "close") & (F.col("prev.kind") == "open"), F.col("prev.pos"))
-    ).drop("depth_after", "level", "next_pos", "prev")
-    return _implied_ends(matched, key).drop("step")
 
+    def result(state: Column) -> Column:
+        left = F.transform(state["stack"], lambda e: F.struct(
+            e["pos"].alias("open"), F.lit(None).cast("int").alias("close"), F.lit(PAGE_END).alias("end")
+        ))
+        return F.struct(
+            F.array_sort(F.concat(F.flatten(state["ended"]), left)).alias("ended"),
+            F.flatten(state["closed"]).alias("closed"),
+        )
 
-def _implied_ends(matched: DataFrame, key: str) -> DataFrame:
-    """Add ``end_pos``: ``close_pos``, or for an element that is never closed its implied end.
+    return F.aggregate(starts, zero, fold_run, result)
 
-    That is the token before the close tag of the element around it, or, for the elements of
-    ``OPTIONAL_ENDS``, before the next one beside it.  The body, and what has no element with a
-    close tag around it, run to the end of the page.  ``around`` counts the elements with a close
-    tag that are open at a token, and at a close tag its own; in one of these levels, the next
-    close tag is that of the element around.
+
+def match_elements(tokens: DataFrame, key: str = "page_id") -> DataFrame:
+    """Add ``close_pos`` and ``end_pos`` to open and raw tokens, ``open_pos`` and ``lists`` to close tokens.
+
+    A close tag ends the innermost open element of its name and all that is open inside it; over the edge of
+    a table or a cell (``EDGES``) it does not reach, and a close tag that ends nothing is ignored.  An element of
+    ``OPTIONAL_ENDS`` also ends where one like it begins beside it, a paragraph where any block begins.
+    ``close_pos`` is an element's own close tag, or :data:`PAGE_END` if it has none; ``end_pos`` is the last
+    token of the element, that of the body of a page being the last of all unless it is closed.  ``lists`` says
+    how many lists a close tag ends.
+
+    The tokens of a page are put together again from their own partition: no shuffle where they come
+    clustered by ``key``.
     """
-    kind, tag = F.col("kind"), F.col("tag")
-    turn = F.when((F.col("step") == 1) & (F.col("close_pos") < PAGE_END), 1).when(
-        F.col("open_pos").isNotNull(), -1
-    ).otherwise(0)
-    page = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    # Backwards, so that what follows a token is a running value.
-    after = Window.partitionBy(key, "around").orderBy(F.col("pos").desc()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    rank = F.when(
-        kind == "open",
-        F.coalesce(*(
-            F.when(tag.isin([t for t, r in OPTIONAL_ENDS.items() if r == n]), n) for n in (1, 2, 3)
-        )),
+    tag, tok, kind = F.col("tag"), F.col("tok"), F.col("kind")
+    empty = tag.isin(VOID_TAGS) | (tok.endswith("/>") & ~tok.rlike(r"""=\s*[^\s"'>]+/>\z"""))
+    step = F.when((kind == "open") & ~empty, 1).when(kind == "close", -1).otherwise(0)
+    others = [c for c in tokens.columns if c not in (key, "pos", "kind", "tag", "tok")]
+    fields = ("pos", "kind", "tag", "tok", "step", *others)
+    pages = tokens.withColumn("step", step).groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("tokens")
     )
-    leveled = (
-        matched.withColumn("turn", turn)
-        .withColumn("around", F.sum("turn").over(page) - F.col("turn"))
-        .withColumn("rank", rank)
+    tags = F.transform(F.filter("tokens", lambda t: t["step"] != 0), _tag_event)
+    folded = pages.withColumn("nested", _nested(tags))
+
+    def joined(token: Column, close: Column, end: Column, opened: Column, lists: Column) -> Column:
+        return F.struct(
+            *(token[c].alias(c) for c in fields if c != "step"),
+            close.cast("int").alias("close_pos"), end.cast("int").alias("end_pos"), opened.cast("int").alias("open_pos"), lists.cast("int").alias("lists"),
+        )
+
+    none = F.lit(None)
+    # Elements and close tags stand in the fold's results in the order of their tokens.
+    rows = F.concat(
+        F.zip_with(
+            F.filter("tokens", lambda t: t["step"] == 1), F.col("nested.ended"),
+            lambda t, e: joined(t, F.coalesce(e["close"], F.lit(PAGE_END)), e["end"], none, none),
+        ),
+        F.zip_with(
+            F.filter("tokens", lambda t: t["step"] == -1), F.col("nested.closed"),
+            lambda t, c: joined(t, none, none, c["open"], c["lists"]),
+        ),
+        F.transform(
+            F.filter("tokens", lambda t: t["step"] == 0),
+            lambda t: _let(F.when(t["kind"].isin("open", "raw"), t["pos"]), lambda own: joined(t, own, own, none, none)),
+        ),
     )
-    closes = F.col("turn") == -1
-    for n in range(4):
-        ends = closes | (F.col("rank") <= n) if n else closes
-        leveled = leveled.withColumn(f"end_{n}", F.last(F.when(ends, F.col("pos")), True).over(after))
-    implied = F.coalesce(
-        F.when(F.col("rank") == 3, F.col("end_3")).when(F.col("rank") == 2, F.col("end_2"))
-        .when(F.col("rank") == 1, F.col("end_1")).otherwise(F.col("end_0")) - 1,
-        F.lit(PAGE_END),
+    return folded.select(key, F.inline(rows)).select(
+        key, *(c for c in tokens.columns if c != key), "close_pos", "end_pos", "open_pos", "lists"
     )
-    open_ended = (F.col("close_pos") == PAGE_END) & ~tag.isin("html", "body")
-    return leveled.withColumn(
-        "end_pos", F.when(open_ended, implied).otherwise(F.col("close_pos"))
-    ).drop("turn", "around", "rank", "end_0", "end_1", "end_2", "end_3")
 
 
 def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -338,9 +443,8 @@ def mark_junk(
 ) -> DataFrame:
     """Add ``junk``: does the token lie inside an element matched by one of the rules?
 
-    A token is inside such an element exactly when the furthest close position of all junk
-    elements opened before it is not behind it.  A paragraph is special: it also ends where a
-    block starts or ends, so its state is the last of these events.
+    A token is inside such an element exactly when the furthest end of all junk elements opened
+    before it is not behind it.
     """
     rules = JUNK_RULES if rules is None else rules
     names = attributes_in(rules)
@@ -354,20 +458,10 @@ def _mark_junk(tokens: DataFrame, key: str, rules: list[Rule]) -> DataFrame:
     hit = F.col("kind").isin("open", "raw") & any_rule(
         rules, F.col("tag"), {n: F.col(f"a_{n}") for n in names}
     )
-    paragraph = F.col("tag") == "p"
-    event = F.col("kind").isin("open", "close") & F.col("tag").isin(PARAGRAPH_ENDS)
     return (
-        tokens.withColumn("hit", hit)
-        .withColumn(
-            "reach", F.max(F.when(F.col("hit") & ~paragraph, F.col("end_pos"))).over(page)
-        )
-        .withColumn("in_p", F.last(F.when(event, F.col("hit") & paragraph), True).over(page))
-        .withColumn(
-            "junk",
-            F.coalesce(F.col("reach") >= F.col("pos"), F.lit(False))
-            | F.coalesce(F.col("in_p"), F.lit(False)),
-        )
-        .drop("hit", "reach", "in_p")
+        tokens.withColumn("reach", F.max(F.when(hit, F.col("end_pos"))).over(page))
+        .withColumn("junk", F.coalesce(F.col("reach") >= F.col("pos"), F.lit(False)))
+        .drop("reach")
     )
 
 

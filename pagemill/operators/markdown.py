@@ -117,14 +117,12 @@ def content_blocks(tokens: DataFrame, key: str = "page_id") -> DataFrame:
         "payload", F.when(kind == "open", decode_attribute(F.col("_raw"))).otherwise(decode_entities(F.col("_raw")))
     ).drop("_raw").withColumns(
         {
-            "pre_end": F.max(F.when(is_open & (tag == "pre"), F.col("close_pos"))).over(before),
+            "pre_end": F.max(F.when(is_open & (tag == "pre"), F.col("end_pos"))).over(before),
             "code_end": F.max(
                 F.when(is_open & (tag == "code") & closed, F.col("close_pos"))
             ).over(before),
             "depth": F.sum(
-                F.when(is_open & is_list, 1)
-                .when(is_close & is_list & F.col("open_pos").isNotNull(), -1)
-                .otherwise(0)
+                F.when(is_open & is_list, 1).when(is_close, -F.col("lists")).otherwise(0)
             ).over(upto),
             "a_open": F.last(
                 F.when(

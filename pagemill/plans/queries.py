@@ -154,12 +154,29 @@ def main_content(spark, folder):
     return _both(spark, folder, lambda t: html.drop_comments(html.main_content(t)))
 
 
+def _content_text(source: DataFrame) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).cast("bigint")
+    return html.main_content(_matched(source)).where("kind = 'text'").select("page_id", place.alias("place"), "tok")
+
+
 @_query
 def optional_end_tags(spark, folder):
     """Text of the main content of pages that leave end tags out."""
-    tokens = _matched(derived.optional_pages(pages(spark, folder)))
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).cast("bigint")
-    return html.main_content(tokens).where("kind = 'text'").select("page_id", place.alias("place"), "tok")
+    return _content_text(derived.optional_pages(pages(spark, folder)))
+
+
+@_query
+def misnested_tags(spark, folder):
+    """Text of the main content of pages with stray and crossing close tags."""
+    return _content_text(derived.misnested_pages(pages(spark, folder)))
+
+
+@_query
+def misnested_spans(spark, folder):
+    """Where the elements of such pages end."""
+    return _matched(derived.misnested_pages(pages(spark, folder))).where("kind in ('open', 'raw')").select(
+        "page_id", F.col("pos").cast("bigint").alias("pos"), "tag", F.col("end_pos").cast("bigint").alias("end_pos")
+    )
 
 
 @_query

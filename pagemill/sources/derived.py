@@ -70,6 +70,15 @@ select page_id, replace(html, '<article>', concat('<article><ul><li class="socia
 from {pages}
 """
 
+# Every page with close tags that end what is around them, cross each other, or end nothing.
+MISNESTED_SQL = """
+select page_id, replace(html, '<article>', concat('<article><section><div class="cookie">', url, '</section><p>', url,
+  '</p></div></nav><table><tr><td><div class="sidebar">', url, '</td><td>', url, '</div></td></tr></table><p>', url,
+  '<b><i>', url, '</b>', url, '</i></p><ul><li class="social">', url, '<li><b>', url, '<li>', url, '</ul></b><div><p class="advert">', url, '<div>', url,
+  '</div><nav><span>', url, '</div>')) as html
+from {pages}
+"""
+
 DIRTY_SQL = """
 select doc_id, concat(text,
   case when doc_id % 5 = 0 then concat(chr(10), '```', chr(10), 'x=1', chr(10), '```', chr(10), 'ab') else '' end,
@@ -128,6 +137,11 @@ def optional_pages(pages: DataFrame) -> DataFrame:
     return _run(pages.sparkSession, optional_sql(False), pages=pages.select("page_id", "url", "html"))
 
 
+def misnested_pages(pages: DataFrame) -> DataFrame:
+    """Pages whose close tags do not stand where their elements end."""
+    return _run(pages.sparkSession, MISNESTED_SQL, pages=pages.select("page_id", "url", "html"))
+
+
 def dirty_lines(documents: DataFrame) -> DataFrame:
     return _run(documents.sparkSession, DIRTY_SQL, documents=documents.select("doc_id", "text"))
 

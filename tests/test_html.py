@@ -115,6 +115,10 @@ CASES = [
     ("stray close", "<body></nav><p>kept text</p></article><nav>dropped</nav><p>more text</p></body>", "kept text\n\nmore text"),
     ("comment with tags", "<body><p>one <!-- </p><nav> -->two</p></body>", "one two"),
     ("quoted bracket", '<body><p title="a > b">quoted</p></body>', "quoted"),
+    ("stray close in a cell", '<table><tr><td><div class="sidebar">x</td><td>main text of the page</td></tr></table><p>tail</p></div>', "main text of the page\n\ntail"),
+    ("crossing closes", '<div id="w"><article><div class="cookie">c</article><p>body text of the page</p></div></div>', "body text of the page"),
+    ("close over a cell", '<body><div class="popup">p<table><tr><td>a</div>b</td></tr></table>c</div><p>left of it</p></body>', "left of it"),
+    ("list ended by its parent", "<body><div><ul><li>an item</div><ul><li>another one</li></ul><p>plain text</p></body>", "- an item\n\n- another one\n\nplain text"),
     ("empty", "", ""),
     ("blank", "  \n ", ""),
     ("missing", None, ""),
@@ -236,3 +240,63 @@ def test_empty_rule_lists(spark):
     from pagemill.operators.rules import rule_rank
 
     assert spark.range(1).select(rule_rank([], F.lit("p"), {}).alias("r")).first().r is None
+
+
+def plain_stack(tokens):
+    """End of every element by a list used as a stack: another statement of the same rules."""
+    stack, ends = [], {}
+
+    def pop(to, at, own=False):
+        while len(stack) > to:
+            tag, pos = stack.pop()
+            last = len(stack) == to
+            ends[pos] = at if own and last else html.PAGE_END if tag in ("html", "body") else at - 1
+
+    for t in tokens:
+        if t.kind == "open" and t.tag not in html.VOID_TAGS and not t.tok.endswith("/>"):
+            limit = html.OPTIONAL_ENDS.get(t.tag, 4 if t.tag in html.PARAGRAPH_ENDS else None)
+            if limit:
+                to = len(stack)
+                for place in range(len(stack) - 1, -1, -1):
+                    rank = html.OPTIONAL_ENDS.get(stack[place][0])
+                    if rank and rank >= limit:
+                        to = place
+                    elif stack[place][0] not in html.INLINE_TAGS:
+                        break
+                pop(to, t.pos)
+            stack.append((t.tag, t.pos))
+        elif t.kind == "close":
+            for place in range(len(stack) - 1, -1, -1):
+                if stack[place][0] == t.tag:
+                    pop(place, t.pos, own=True)
+                    break
+                if html.EDGES.get(stack[place][0], 0) > html.REACH.get(t.tag, 0):
+                    break
+        elif t.kind in ("open", "raw"):
+            ends[t.pos] = t.pos
+    for _, pos in stack:
+        ends[pos] = html.PAGE_END
+    return ends
+
+
+def test_ends_like_a_plain_stack(spark):
+    rnd = random.Random(8)
+    names = "html body div div div p p b a li ul ol table tr td th tbody dl dt dd article nav span br section option select".split()
+    pages = []
+    for size in [rnd.randint(0, 60) for _ in range(300)] + [900, 2000]:
+        parts = [rnd.choice(["<{}>", "<{}>", "</{}>", "</{}>", "<{}/>", "text"]).format(rnd.choice(names)) for _ in range(size)]
+        pages.append("".join(parts))
+    tokens = html.match_elements(html.html_tokens(frame(spark, pages))).collect()
+    by_page = {}
+    for t in sorted(tokens, key=lambda t: (t.page_id, t.pos)):
+        by_page.setdefault(t.page_id, []).append(t)
+    assert len(by_page) > 290
+    for page, found in by_page.items():
+        want = plain_stack(found)
+        assert {t.pos: t.end_pos for t in found if t.kind in ("open", "raw")} == want, pages[page]
+
+
+def test_matching_needs_one_exchange(spark):
+    made = html.match_elements(html.page_tokens(frame(spark, ["<p>x"])))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Python" not in plan
