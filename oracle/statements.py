@@ -15,7 +15,6 @@ def _derived(sql: str, **tables: str) -> str:
     return f"({sql})"
 
 
-SITE = _derived(SITE_SQL, pages="pages")
 SEEDS = _derived(SEEDS_SQL, pages="pages")
 RICH = _derived(RICH_SQL, pages="pages")
 # The same pages with every end tag written.
@@ -23,6 +22,12 @@ CLOSED = _derived(optional_sql(True), pages="pages")
 MISNESTED = _derived(MISNESTED_SQL, pages="pages")
 DIRTY = _derived(DIRTY_SQL, documents="documents")
 PAGE_ROBOTS = _derived(ROBOTS_SQL, column="url", urls="pages")
+
+_ABSOLUTE = "lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*')) || rtrim(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#;]*)', 1), '/')"
+_NUMBERED = f"""(select page_id, requested_url, url, host, row_number() over (partition by host order by page_id) - 1 as j
+    from (select page_id, url, {_ABSOLUTE} as requested_url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) as host from pages
+      qualify row_number() over (partition by requested_url order by page_id) = 1))"""
+SITE = _derived(SITE_SQL, pages="pages", numbered=_NUMBERED)
 SITE_ROBOTS = _derived(ROBOTS_SQL, column="requested_url", urls=SITE)
 
 
@@ -161,9 +166,9 @@ numbered as (select *, sum(edge::int) over (partition by page_id order by pos ro
          when tag = 'a' and kind = 'open' and not in_code then '['
          when tag = 'a' and kind = 'close' and not in_code then (select arg_max(']('
               || regexp_extract(o.tok, 'href="([^"]*)"', 1)
-              || case when o.tok like '% title=%' then ' "' || regexp_extract(o.tok, 'title="([^"]*)"', 1) || '"' else '' end || ')', o.pos)
+              || case when o.tok like '% title=%' then ' "' || {entities("regexp_extract(o.tok, 'title=\"([^\"]*)\"', 1)")} || '"' else '' end || ')', o.pos)
               from cs o where o.page_id = edged.page_id and o.tag = 'a' and o.kind = 'open' and o.pos < edged.pos)
-         when tag = 'img' then '![' || regexp_extract(tok, 'alt="([^"]*)"', 1) || '](' || regexp_extract(tok, 'src="([^"]*)"', 1) || ')'
+         when tag = 'img' then '![' || {entities("regexp_extract(tok, 'alt=\"([^\"]*)\"', 1)")} || '](' || regexp_extract(tok, 'src="([^"]*)"', 1) || ')'
          when tag = 'code' and not in_pre then '`' else '' end as piece from edged),
 grouped as (select page_id, block, string_agg(piece, '' order by pos) as raw, min(pos) as pos,
     arg_min(case when edge then kind || ' ' || tag else '' end, pos) as opener from numbered group by all),
@@ -312,24 +317,26 @@ lvl{d} as materialized (select crawl_id, u, {d} as depth, row_number() over (par
     union = " union all ".join(f"select * from lvl{k}" for k in range(_DEEPEST + 1))
     parts.append(f"""
 visits as materialized (select *, row_number() over (partition by crawl_id order by depth, rnk) as visit_no from ({union})),
-results as materialized (select v.crawl_id, v.depth::bigint as depth, v.visit_no, v.u as requested_url, v.max_depth, v.respect_robots, v.delay_ms, v.start_url,
+results as materialized (select s.page_id, v.crawl_id, v.depth::bigint as depth, v.visit_no, v.u as requested_url, v.max_depth, v.respect_robots, v.delay_ms, v.start_url,
     case when v.respect_robots and not w.allowed then v.u when s.status_code = 200 then s.final_norm else v.u end as url,
     case when v.respect_robots and not w.allowed then 403 when s.requested_url is null then 0 else s.status_code end::bigint as status_code,
-    case when v.respect_robots and not w.allowed then null when s.status_code = 200 then regexp_extract(s.content, '<title>(.*)</title>', 1) end as title,
+    case when v.respect_robots and not w.allowed then null when s.status_code = 200 then {strip(entities("regexp_extract(s.content, '(?is)<title[^>]*>(.*?)</title', 1)"))} end as title,
     case when v.respect_robots and not w.allowed then 'Blocked by robots.txt' when s.requested_url is null then 'Page was not captured' else s.error end as error,
     case when v.respect_robots and not w.allowed then null else s.content end as content
   from visits v join urls w on w.u = v.u left join site s on s.requested_url = v.u)""")
     return "with " + ", ".join(parts)
 
 
-# The pages of the site hold five links and nothing else, so their Markdown is five links in a row.
-_LINK = "'[' || {t} || '](' || {h} || ')'"
+# Markdown of the answered pages of the site, by the same steps as that of captured pages.
 DOCUMENTS = f"""
-documents_of as materialized (select *, case when error is not null then
+site_pages as materialized (select page_id, content as html from site where status_code = 200),
+{page_md('site_pages')},
+documents_of as materialized (select r.*, case when error is not null then
       '# Error Processing Page' || chr(10) || chr(10) || '**URL:** `' || url || '`' || chr(10) || '**Error:** ' || error || chr(10)
-    else '# ' || title || chr(10) || '**Source:** `' || url || '`' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
-      || regexp_replace(regexp_extract(content, '<body>(.*)</body>', 1), '<a href="([^"]*)">([^<]*)</a>', '[\\2](\\1)', 'g') end as markdown
-  from results),
+    when c.markdown = '' then ''
+    when title = '' then c.markdown
+    else '# ' || title || chr(10) || '**Source:** `' || url || '`' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || c.markdown end as markdown
+  from results r left join cleaned c on c.page_id = r.page_id),
 counted_docs as materialized (select *, {count_words('markdown')} as token_count,
     case when error is null then strlen(content) else 0 end::bigint as byte_size from documents_of),
 stats as materialized (select crawl_id, any_value(start_url) as start_url, any_value(max_depth)::bigint as max_depth, any_value(delay_ms) as delay_ms,
@@ -352,10 +359,11 @@ def _report() -> str:
     middle = f"""{n} || '---' || {n} || {n} || '## Failed URLs (' || n_failed || ')' || case when n_failed = 0 then {n} || 'None.' else '' end"""
     return f"""{crawl()}, {DOCUMENTS},
 texts as (select crawl_id, 0::bigint as part, string_split({head}, {n}) as l from stats
-  union all select crawl_id, 2::bigint, string_split({middle}, {n}) from stats)
-select crawl_id, part, unnest(range(len(l)))::bigint as place, unnest(l) as line from texts
-union all select crawl_id, 1, depth, '- `' || url || '`' from results where error is null
-union all select crawl_id, 3, depth, '- `' || url || ' (Status: ' || status_code || ', Error: ' || error || ')`' from results where error is not null"""
+  union all select crawl_id, 2::bigint, string_split({middle}, {n}) from stats),
+said as (select crawl_id, part, unnest(range(len(l)))::bigint as place, unnest(l) as line from texts
+union all select crawl_id, 1, visit_no, '- `' || url || '`' from results where error is null
+union all select crawl_id, 3, visit_no, '- `' || url || ' (Status: ' || status_code || ', Error: ' || error || ')`' from results where error is not null)
+select crawl_id, part, row_number() over (partition by crawl_id order by part, place) as line_no, line from said"""
 
 
 def _kept(step: str) -> str:
@@ -387,7 +395,7 @@ def oracle_sql() -> dict[str, str]:
         "fetches": f"select page_id, {norm('url')} as requested_url, url as final_url, 200 as status_code, length(html)::bigint as n_chars "
         f"from pages qualify row_number() over (partition by {norm('url')} order by page_id) = 1",
         "fetch_outcomes": f"""select requested_url, case when status_code = 200 then {norm('final_url')} else requested_url end as url, status_code,
-            case when status_code = 200 then regexp_extract(content, '<title>(.*?)</title>', 1) end as title, error,
+            case when status_code = 200 then {strip(entities("regexp_extract(content, '(?is)<title[^>]*>(.*?)</title', 1)"))} end as title, error,
             status_code = 200 and {norm('final_url')} <> {norm('requested_url')} as is_redirect, strlen(content)::bigint as n_bytes from {SITE}""",
         "redirects": f"select requested_url, {norm('final_url')} as url from {SITE} where status_code = 200 and {norm('final_url')} <> {norm('requested_url')}",
         "page_titles": f"select page_id, {_TITLE} as title from pages",
@@ -436,10 +444,10 @@ def oracle_sql() -> dict[str, str]:
             select crawl_id, requested_url, pause_ms, coalesce(sum(pause_ms) over (partition by crawl_id order by visit_no rows between unbounded preceding and 1 preceding), 0.0::double) as offset_ms from p""",
         "crawl_documents": f"{crawl()}, {DOCUMENTS} select crawl_id, requested_url, markdown, token_count, byte_size from counted_docs",
         "crawl_stats": f"{crawl()}, {DOCUMENTS} select * from stats",
-        "crawl_outcomes": f"""{crawl()} select crawl_id, error is null as succeeded, case when error is null then url
+        "crawl_outcomes": f"""{crawl()} select crawl_id, visit_no, error is null as succeeded, case when error is null then url
             else url || ' (Status: ' || status_code || ', Error: ' || error || ')' end as label from results""",
         "stats_summary": f"{crawl()}, {DOCUMENTS} select crawl_id, n_success + n_failed as n_total, n_success, n_failed, total_size_bytes / 1024.0::double as total_kb, estimated_tokens from stats",
-        "combined_corpus": f"""{crawl()}, {DOCUMENTS} select crawl_id, depth, case when visit_no = min(visit_no) over (partition by crawl_id) then markdown
+        "combined_corpus": f"""{crawl()}, {DOCUMENTS} select crawl_id, row_number() over (partition by crawl_id order by visit_no) as place, case when visit_no = min(visit_no) over (partition by crawl_id) then markdown
             else chr(10) || chr(10) || '---' || chr(10) || chr(10) || markdown end as chunk from counted_docs where markdown <> ''""",
         "stats_report": _report(),
         "output_names": f"select page_id, {name} || '-020126.md' as file_name, {name} || '-020126_stats.md' as report_name from pages",

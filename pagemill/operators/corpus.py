@@ -18,31 +18,32 @@ from pagemill.sources.captures import fetch_outcomes
 SEPARATOR = "\n\n---\n\n"
 
 
-def crawl_documents(results: DataFrame, fetches: DataFrame, **options) -> DataFrame:
+def crawl_documents(
+    results: DataFrame, fetches: DataFrame, keep_query: bool = False, texts: bool = True, **options
+) -> DataFrame:
     """Document of every result, in the columns of both.
 
     A page seen by many crawls is converted once: Markdown is made per captured page that was
     visited, then joined by requested URL.  Error pages are written from the result alone.  The
     documents are written to the shared folder, because statistics, report and corpus all read
-    them and conversion is the costly part of a job.
+    them and conversion is the costly part of a job.  Without ``texts`` only their sizes are
+    joined and written: statistics need no more.
     """
     visited = results.where(~has_error(F.col("error"))).select("requested_url").distinct()
-    wanted = fetch_outcomes(fetches).join(visited, "requested_url", "left_semi")
+    wanted = fetch_outcomes(fetches, keep_query).join(visited, "requested_url", "left_semi")
     made = page_documents(wanted, key="requested_url", **options).select(
         "requested_url",
-        F.col("markdown").alias("_markdown"),
+        *([F.col("markdown").alias("_markdown")] if texts else []),
         F.col("token_count").alias("_tokens"),
         F.col("byte_size").alias("_bytes"),
     )
     joined = results.drop("content").join(made, "requested_url", "left")
     failed = has_error(F.col("error"))
-    text = F.when(failed, error_page(F.col("url"), F.col("error"))).otherwise(
-        F.coalesce("_markdown", F.lit(""))
-    )
+    page = error_page(F.col("url"), F.col("error"))
     documents = joined.select(
         *results.drop("content").columns,
-        text.alias("markdown"),
-        F.when(failed, token_count(text)).otherwise(F.coalesce("_tokens", F.lit(0))).alias("token_count"),
+        *([F.when(failed, page).otherwise(F.coalesce("_markdown", F.lit(""))).alias("markdown")] if texts else []),
+        F.when(failed, token_count(page)).otherwise(F.coalesce("_tokens", F.lit(0))).alias("token_count"),
         F.when(failed, F.lit(0)).otherwise(F.coalesce("_bytes", F.lit(0))).cast("bigint").alias("byte_size"),
     )
     return Stage(results.sparkSession, "documents").save(documents, "all")

@@ -86,7 +86,7 @@ def convert_failure(message: Column) -> Column:
 
 def page_documents(
     results: DataFrame,
-    key: str = "page_id",
+    key: str | list[str] = "page_id",
     url: str = "url",
     html: str = "content",
     error: str | None = "error",

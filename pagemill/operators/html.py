@@ -325,6 +325,10 @@ def match_elements(tokens: DataFrame, key: str = "page_id") -> DataFrame:
     pages = tokens.withColumn("step", step).groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("tokens")
     )
+    place = [F.get("tokens", F.lit(k))["pos"] for k in (0, 1)]
+    pages = pages.withColumn("tokens", F.when(
+        place[0] == place[1], F.raise_error(F.lit(f"two pages have one {key}; name more columns as the key"))
+    ).otherwise(F.col("tokens")))
     tags = F.transform(F.filter("tokens", lambda t: t["step"] != 0), _tag_event)
     folded = pages.withColumn("nested", _nested(tags))
 
@@ -403,7 +407,7 @@ def page_links(
     """
     if resolve_against not in ("normalized", "raw"):
         raise ValueError("resolve_against must be 'normalized' or 'raw'")
-    from_url = normalize_url(F.col(base)) if resolve_against == "normalized" else F.col(base)
+    from_url = normalize_url(F.col(base), keep_query) if resolve_against == "normalized" else F.col(base)
     anchors = (
         pages.where(F.col(html).isNotNull())
         .select(

@@ -117,9 +117,10 @@ def page_links(spark, folder):
 @_query
 def links_resolved(spark, folder):
     """Links of the linked site, resolved only."""
+    fetched = site(spark, folder)
     found = html.page_links(
-        site(spark, folder), "requested_url", "content", "final_url", scoped=False
-    ).join(site(spark, folder).select("requested_url", "final_url"), "requested_url")
+        fetched, "requested_url", "content", "final_url", scoped=False
+    ).join(fetched.select("requested_url", "final_url"), "requested_url")
     return found.select(
         "requested_url", F.col("pos").cast("bigint").alias("pos"), "href",
         resolve_url(normalize_url(F.col("final_url")), F.col("href")).alias("absolute"),
@@ -316,8 +317,9 @@ def _crawled(spark, folder) -> DataFrame:
     return crawl.bounded_crawl(*_crawl_inputs(spark, folder))
 
 
-def _crawl_documents(spark, folder) -> DataFrame:
-    return corpus.crawl_documents(_crawled(spark, folder), site(spark, folder))
+def _crawl_documents(spark, folder, texts: bool = True) -> DataFrame:
+    inputs = _crawl_inputs(spark, folder)
+    return corpus.crawl_documents(crawl.bounded_crawl(*inputs), inputs[1], texts=texts)
 
 
 @_query
@@ -345,7 +347,7 @@ def crawl_order(spark, folder):
 
 @_query
 def crawl_progress(spark, folder):
-    return crawl.crawl_progress(_crawl_documents(spark, folder)).select(
+    return crawl.crawl_progress(_crawl_measures(spark, folder)).select(
         "crawl_id", "url", "pages_so_far", "tokens_so_far", "bytes_so_far"
     )
 
@@ -364,40 +366,47 @@ def crawl_documents(spark, folder):
     )
 
 
+def _crawl_measures(spark, folder) -> DataFrame:
+    return _crawl_documents(spark, folder, texts=False)
+
+
 @_query
 def crawl_stats(spark, folder):
-    return corpus.crawl_stats(_crawl_documents(spark, folder)).drop("duration_seconds").withColumn(
+    return corpus.crawl_stats(_crawl_measures(spark, folder)).drop("duration_seconds").withColumn(
         "max_depth", F.col("max_depth").cast("bigint")
     )
 
 
+def _placed(rows: DataFrame, name: str, order: tuple[str, ...] = ("depth", "ord")) -> DataFrame:
+    """Number the rows of each crawl in order."""
+    return crawl.running_totals(rows.withColumn("one", F.lit(1).cast("bigint")), {name: "one"}, order=order).drop("one")
+
+
 @_query
 def crawl_outcomes(spark, folder):
-    return corpus.crawl_outcomes(_crawled(spark, folder)).select("crawl_id", "succeeded", "label")
+    return _placed(corpus.crawl_outcomes(_crawled(spark, folder)), "visit_no").select(
+        "crawl_id", "visit_no", "succeeded", "label"
+    )
 
 
 @_query
 def stats_summary(spark, folder):
-    stats = corpus.stats_summary(corpus.crawl_stats(_crawl_documents(spark, folder)))
+    stats = corpus.stats_summary(corpus.crawl_stats(_crawl_measures(spark, folder)))
     return stats.select("crawl_id", "n_total", "n_success", "n_failed", "total_kb", "estimated_tokens")
 
 
 @_query
 def combined_corpus(spark, folder):
-    documents = _crawl_documents(spark, folder)
-    return corpus.combine_corpus(documents).select("crawl_id", "depth", "chunk").withColumn(
-        "depth", F.col("depth").cast("bigint")
-    )
+    return _placed(corpus.combine_corpus(_crawl_documents(spark, folder)), "place").select("crawl_id", "place", "chunk")
 
 
 @_query
 def stats_report(spark, folder):
-    documents = _crawl_documents(spark, folder)
-    report = corpus.stats_report(
-        corpus.crawl_stats(documents), corpus.crawl_outcomes(documents), RUN_AT
+    measured = _crawl_measures(spark, folder)
+    report = corpus.stats_report(corpus.crawl_stats(measured), corpus.crawl_outcomes(measured), RUN_AT)
+    return _placed(report, "line_no", ("part", "depth", "ord")).select(
+        "crawl_id", F.col("part").cast("bigint").alias("part"), "line_no", "line"
     )
-    return report.select("crawl_id", F.col("part").cast("bigint").alias("part"),
-                         F.col("depth").cast("bigint").alias("place"), "line")
 
 
 @_query

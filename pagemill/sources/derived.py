@@ -9,34 +9,47 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pagemill.functions.urls import url_host
+from pagemill.operators.crawl import running_totals
+from pagemill.operators.stage import Stage
+from pagemill.sources.captures import as_fetches
+
+# The captured pages with links between them put into their text: on its host, page j leads to pages 2j+1, 2j+2
+# and one of the first 50; another link leads to the page with the next id, on any host.  Some answers are
+# errors, some pages moved on their host or to another one, some hold boilerplate only.
 SITE_SQL = """
-with b as (select page_id % 4 as h, cast(floor(page_id / 4) as bigint) as j from {pages}),
-u as (
-  select h, j,
-         case when j % 13 = 12 then j - 1 else j end as fj,
-         case when j % 17 = 16 then (h + 1) % 4 else h end as fh,
-         case when j % 11 = 10 then 500 else 200 end as status_code
-  from b
-)
-select concat('https://h', cast(h as {text}), '.example/p/', cast(j as {text})) as requested_url,
-       concat('https://h', cast(fh as {text}), '.example/p/', cast(fj as {text})) as final_url,
-       status_code,
-       case when status_code = 200 then concat(
-         '<html><head><title>P', cast(fj as {text}), '</title></head><body>',
-         '<a href="/p/', cast(2 * fj + 1 as {text}), '">l</a>',
-         '<a href="', cast(2 * fj + 2 as {text}), '?q=1">r</a>',
-         '<a href="/p/', cast((fj * 7) % 50 as {text}), '/#x">b</a>',
-         '<a href="https://h', cast((fh + 1) % 4 as {text}), '.example/p/0">o</a>',
-         '<a href="mailto:a@b.c">m</a></body></html>') end as content,
+with named as (select host as grp, j as num, url from {numbered} union all select '' as grp, page_id as num, url from {numbered}),
+wanted as (
+  select page_id, 1 as k, host as grp, 2 * j + 1 as num from {numbered} union all
+  select page_id, 2 as k, host as grp, 2 * j + 2 as num from {numbered} union all
+  select page_id, 3 as k, host as grp, (j * 7) % 50 as num from {numbered} union all
+  select page_id, 4 as k, '' as grp, page_id + 1 as num from {numbered} union all
+  select page_id, 5 as k, host as grp, j - 1 as num from {numbered} where j % 13 = 12 union all
+  select page_id, 6 as k, '' as grp, page_id - 1 as num from {numbered} where j % 7 = 3),
+met as (
+  select w.page_id, max(case when w.k = 1 then n.url end) as to_left, max(case when w.k = 2 then n.url end) as to_right,
+    max(case when w.k = 3 then n.url end) as to_back, max(case when w.k = 4 then n.url end) as to_other,
+    max(case when w.k = 5 then n.url end) as moved, max(case when w.k = 6 then n.url end) as left_host
+  from wanted w join named n on n.grp = w.grp and n.num = w.num group by w.page_id),
+linked as (
+  select n.page_id, n.requested_url, coalesce(m.left_host, m.moved, n.url) as final_url, case when n.j % 11 = 10 then 500 else 200 end as status_code,
+    replace(p.html, '<article>', '<article><p>' || coalesce('<a href="' || m.to_left || '">left page</a> ', '')
+      || coalesce('<a href="' || regexp_extract(m.to_right, '^[a-z]+://[^/?#]*([^?#]*)', 1) || '?q=1">right page</a> ', '')
+      || coalesce('<a href="' || m.to_back || '/#x">back page</a> ', '') || coalesce('<a href="' || m.to_other || '">other page</a> ', '')
+      || '<a href="mailto:a@b.c">mail us</a></p>') as html
+  from {numbered} n join {pages} p on p.page_id = n.page_id left join met m on m.page_id = n.page_id)
+select page_id, requested_url, final_url, status_code,
+       case when status_code = 200 then case when page_id % 10 = 5
+         then replace(replace(replace(html, '<article>', '<aside>'), '</article>', '</aside>'), '<div class="ad">', '<div class="advert">')
+         else html end end as content,
        case when status_code = 200 then null else 'HTTP 500' end as error
-from u
+from linked
 """
 
 SEEDS_SQL = """
-select page_id as crawl_id,
-       concat('HTTPS://H', cast(page_id % 4 as {text}), '.example/p/',
-              cast(cast(floor(page_id / 4) as bigint) as {text}), '/') as start_url,
+select page_id as crawl_id, concat(upper(substr(url, 1, 4)), substr(url, 5)) as start_url,
        cast(case page_id when 0 then 0 when 1 then 1 when 2 then 4 when 3 then 8
             else page_id % 3 end as int) as max_depth,
        cast(250 as double) as delay_ms,
@@ -44,21 +57,22 @@ select page_id as crawl_id,
 from {pages}
 """
 
+# Every page with a richer article: lists, links, code and images made of its title and address.
 RICH_SQL = """
-select page_id, concat('<html><body><header><h1>Banner</h1></header>',
+with titled as (select page_id, url, html, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) as title from {pages})
+select page_id, replace(replace(html, '<article>', concat('<header><h1>', title, '</h1></header>',
   case when page_id % 2 = 0 then '<div role="navigation"><p>role junk</p></div>'
        else '<div id="my-cookie-bar"><p>id junk</p></div>' end,
   case when page_id % 3 = 0 then '<main>' when page_id % 3 = 1 then '<div class="a content b">'
        else '<div id="content">' end,
-  '<h2>Part ', cast(page_id as {text}), '</h2><p>See <a href="x?p=', cast(page_id as {text}),
-  '" title="T">the_link</a> and <b>bold</b>.</p>',
-  '<div class="x-advert-y"><p>class junk <span>deep</span></p></div>',
-  '<ul><li>first item<ul><li>nested item</li></ul></li><li>second item</li></ul>',
-  '<ol start="3"><li>third entry</li><li>fourth entry</li></ol>',
-  '<pre>for  x:', chr(10), '  run(*x)</pre><p>Call <code>f_x()</code> now <img src="i.png" alt="pic"></p>',
-  case when page_id % 3 = 0 then '</main>' else '</div>' end,
-  '<footer><p>foot</p></footer></body></html>') as html
-from {pages}
+  '<h2>Part of ', title, '</h2><p>See <a href="x?p=', cast(page_id as {text}),
+  '" title="', title, '">the_link to ', title, '</a> and <b>', title, '</b>.</p>',
+  '<div class="x-advert-y"><p>class junk <span>', title, '</span></p></div>',
+  '<ul><li>first ', title, '<ul><li>nested ', title, '</li></ul></li><li>second ', title, '</li></ul>',
+  '<ol start="', cast(page_id % 7 + 1 as {text}), '"><li>third ', title, '</li><li>fourth ', title, '</li></ol>',
+  '<pre>for  x:', chr(10), '  ', title, '(*x)</pre><p>Call <code>f_', cast(page_id as {text}), '()</code> now <img src="', url, '.png" alt="', title, '"></p>')),
+  '</article>', case when page_id % 3 = 0 then '</main>' else '</div>' end) as html
+from titled
 """
 
 # Every page with a list, a table, terms and a menu before its article, with or without their end tags.
@@ -119,17 +133,26 @@ def _run(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
 
 
 def site(pages: DataFrame) -> DataFrame:
-    """Fetch records of a small web whose pages link to each other, one per captured page."""
-    return _run(pages.sparkSession, SITE_SQL, pages=pages.select("page_id"))
+    """Fetch records of the captured pages, linked to each other; one per normalised URL.
+
+    Pages are numbered within their hosts slice by slice, so a host with a third of all pages is no single task.
+    """
+    once = as_fetches(pages).select(
+        "page_id", "requested_url", F.col("final_url").alias("url"), url_host(F.col("final_url")).alias("host"),
+        F.lit(1).cast("bigint").alias("one"),
+    )
+    numbered = running_totals(once, {"j": "one"}, "host", ("page_id",), include_self=False).drop("one")
+    made = _run(pages.sparkSession, SITE_SQL, numbered=numbered, pages=pages.select("page_id", "html"))
+    return Stage(pages.sparkSession, "site").save(made, "pages")
 
 
 def seeds(pages: DataFrame) -> DataFrame:
-    """One crawl per page of :func:`site`; the first four go 0, 1, 4 and 8 levels deep."""
-    return _run(pages.sparkSession, SEEDS_SQL, pages=pages.select("page_id"))
+    """One crawl per page; the first four go 0, 1, 4 and 8 levels deep."""
+    return _run(pages.sparkSession, SEEDS_SQL, pages=pages.select("page_id", "url"))
 
 
 def rich_pages(pages: DataFrame) -> DataFrame:
-    return _run(pages.sparkSession, RICH_SQL, pages=pages.select("page_id"))
+    return _run(pages.sparkSession, RICH_SQL, pages=pages.select("page_id", "url", "html"))
 
 
 def optional_pages(pages: DataFrame) -> DataFrame:

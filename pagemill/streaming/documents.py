@@ -51,11 +51,8 @@ def start_document_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        keyed = batch.withColumn("_page", F.struct("crawl_id", "page_id"))
-        made = page_documents(keyed, "_page", "url", "html", error=None, **options)
-        made.select("_page.page_id", "_page.crawl_id", *made.drop("_page").columns).write.mode(
-            "overwrite"
-        ).parquet(f"{path}/batch_id={batch_id}")
+        made = page_documents(batch, ["page_id", "crawl_id"], "url", "html", error=None, **options)
+        made.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
