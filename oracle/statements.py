@@ -434,6 +434,9 @@ def oracle_sql() -> dict[str, str]:
         "robots_rules": f"with {robots(PAGE_ROBOTS, '')} select origin, entry_no, agents, rule_no, path, allow from rules",
         "robots_policy": f"with {robots(PAGE_ROBOTS, '')} select origin, policy from policy",
         "robots_verdicts": f"with {robots(PAGE_ROBOTS, '')}, u as (select page_id, {norm('url')} as url from pages) select page_id, url, {verdict('', 'url')} as allowed from u",
+        "robots_verdicts_by_prefix": f"with {robots(PAGE_ROBOTS, '')}, u as (select page_id, {norm('url')} as url from pages) select page_id, url, {verdict('', 'url')} as allowed from u",
+        "result_links": f"""{crawl()} select r.crawl_id, row_number() over (partition by r.crawl_id order by r.visit_no, h.i) as place, r.requested_url, h.target
+            from results r join hops h on h.source = r.requested_url where r.error is null""",
         "crawl_site": f"{crawl()} select crawl_id, depth, requested_url, url, status_code, title, error, error is null and url <> requested_url as is_redirect from results",
         "crawl_depths": f"{crawl()} select crawl_id, depth, count(*) as n_urls from results group by all",
         "crawl_order": f"{crawl()} select crawl_id, visit_no, requested_url from results",

@@ -55,34 +55,38 @@ def fixed2(thousandths: Column) -> Column:
     return F.bround(thousandths, 2).cast("decimal(38,2)").cast("string")
 
 
-_ENTRY, _SIDE = "\x1e", "\x1f"
+_CELL, _ENTRY, _SIDE = "\x1d", "\x1e", "\x1f"
+_LETTERS, _LENGTHS = 64, 16
 
 
 def _lookup(table: dict[str, str], name: Column) -> Column:
     """Value of ``name`` in a fixed table, NULL when it is not there.
 
-    The table is one string literal: a map of this size would be slow to plan with, and as
-    slow to search.
+    A small table is one string literal that is searched from its start: a map would be slow to plan
+    with, and as slow to search.  A big one is cut by the first character and the length of its names
+    into a literal array of such strings, so that a search meets a few names only.
     """
-    packed = F.lit(_ENTRY + "".join(f"{n}{_SIDE}{v}{_ENTRY}" for n, v in table.items()))
+
+    def packed(names) -> str:
+        return _ENTRY + "".join(f"{n}{_SIDE}{table[n]}{_ENTRY}" for n in names)
+
+    if len(table) > 64:
+        cells: list[list[str]] = [[] for _ in range(_LETTERS * _LENGTHS)]
+        for n in table:
+            cells[ord(n[0]) % _LETTERS * _LENGTHS + len(n) % _LENGTHS].append(n)
+        place = F.ascii(name) % _LETTERS * _LENGTHS + F.length(name) % _LENGTHS
+        entries = F.get(F.split(F.lit(_CELL.join(map(packed, cells))), _CELL), place)
+    else:
+        entries = F.lit(packed(table))
     wanted = F.concat(F.lit(_ENTRY), name, F.lit(_SIDE))
     return F.when(
-        F.contains(packed, wanted),
+        F.contains(entries, wanted),
         F.substring_index(
-            F.call_function("substring_index", packed, wanted, F.lit(-1)), _ENTRY, 1
+            F.call_function("substring_index", entries, wanted, F.lit(-1)), _ENTRY, 1
         ),
     )
 
 
-# The character references met in most running text, looked up first.
-_COMMON = {
-    name: html5[name]
-    for name in (
-        "amp;", "lt;", "gt;", "quot;", "apos;", "nbsp;", "copy;", "reg;", "trade;",
-        "middot;", "bull;", "hellip;", "mdash;", "ndash;", "lsquo;", "rsquo;",
-        "ldquo;", "rdquo;", "laquo;", "raquo;", "times;", "amp",
-    )
-}
 # The names that are also read without their semicolon, longest first.
 _OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
 # Numeric references 128..159 stand for characters of another code page.
@@ -114,7 +118,6 @@ def _named(ref: Column) -> Column:
     prefix = F.regexp_extract(name, f"^(?:{_OPEN_NAMES})", 0)
     by_prefix = F.concat(_lookup(html5, prefix), F.substr(name, F.length(prefix) + 1))
     return F.coalesce(
-        _lookup(_COMMON, name),
         _lookup(html5, name),
         F.when(prefix != "", by_prefix),
         ref,
@@ -148,7 +151,7 @@ def decode_attribute(text: Column) -> Column:
             lambda piece: F.when(piece.startswith("&#") & (F.length(piece) > 2), _numeric(piece))
             .when(
                 piece.startswith("&") & (F.length(piece) > 1),
-                F.coalesce(_lookup(_COMMON, F.substr(piece, F.lit(2))), _lookup(html5, F.substr(piece, F.lit(2))), piece),
+                F.coalesce(_lookup(html5, F.substr(piece, F.lit(2))), piece),
             )
             .otherwise(piece),
         ),

@@ -224,3 +224,50 @@ def write_report(report: DataFrame, path: str) -> None:
         .select("crawl_id", "line")
         .write.mode("overwrite").partitionBy("crawl_id").text(path)
     )
+
+
+def publish(folder: str, out: str, names: DataFrame) -> int:
+    """Give the text files of a written folder their names in ``out``: the last step of a sink.
+
+    ``folder`` comes from :func:`write_corpus` or :func:`write_report`, ``names`` has ``crawl_id, file_name``, one row per
+    crawl.  A crawl of one file gets the name as it is; the files of a bigger one get a number before the
+    ending, in their order, and so do crawls that share a name.  Each file appears whole, by one rename in the
+    store's own file system.  The driver handles names only, one crawl at a time.  Returns the number of files.
+    """
+    spark = names.sparkSession
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    root = Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    target = Path(out)
+    files.mkdirs(target)
+    sharing = names.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_sharing"))
+    n_files = 0
+    for row in names.join(sharing, "file_name").orderBy("crawl_id").toLocalIterator():
+        place = Path(root, f"crawl_id={row['crawl_id']}")
+        if not files.exists(place):
+            continue
+        parts = sorted(f.getPath().getName() for f in files.listStatus(place) if f.getPath().getName().startswith("part-"))
+        stem, dot, ending = row["file_name"].rpartition(".")
+        for k, part in enumerate(parts):
+            marks = [str(row["crawl_id"])] * (row["n_sharing"] > 1) + [f"{k + 1:05d}"] * (len(parts) > 1)
+            name = "-".join([stem, *marks]) + dot + ending
+            # Named by its parts, since a name may hold a colon.
+            named = Path(target.toUri().getScheme(), target.toUri().getAuthority(), f"{target.toUri().getPath()}/{name}")
+            if files.exists(named) or not files.rename(Path(place, part), named):
+                raise FileExistsError(f"{out}/{name}")
+            n_files += 1
+    return n_files
+
+
+def publish_crawls(
+    documents: DataFrame, out: str, run_at: datetime, duration_seconds: float | None = None, separator: str = SEPARATOR,
+) -> None:
+    """Write the content and the report of every crawl side by side, ``X.md`` and ``X_stats.md``."""
+    stage = Stage(documents.sparkSession, "published")
+    stats = crawl_stats(documents, duration_seconds)
+    name = output_name(F.col("start_url"), run_at.date())
+    names = stage.save(stats.select("crawl_id", name.alias("file_name")), "names")
+    write_corpus(documents, f"{stage.root}/content", separator)
+    write_report(stats_report(stats, crawl_outcomes(documents), run_at), f"{stage.root}/report")
+    publish(f"{stage.root}/content", out, names)
+    publish(f"{stage.root}/report", out, names.withColumn("file_name", report_name(F.col("file_name"))))

@@ -158,6 +158,25 @@ def crawl_results(
     return results
 
 
+def result_links(
+    results: DataFrame, fetches: DataFrame, keep_query: bool = False, resolve_against: str = "normalized"
+) -> DataFrame:
+    """Links of every page that a crawl got, in document order, copies kept.
+
+    ``crawl_id, depth, ord, requested_url, pos, target``.  The links of a page are found once, however many
+    crawls got it, and joined by the URL asked for.
+    """
+    pages = fetch_outcomes(fetches, keep_query).where(F.col("error").isNull())
+    links = page_links(
+        pages, "requested_url", "content", "url" if resolve_against == "normalized" else "raw_url",
+        resolve_against, keep_query,
+    ).select("requested_url", "pos", "target")
+    got = results.where(F.coalesce(F.col("error"), F.lit("")) == "")
+    return got.select(*VISIT_ORDER, "requested_url").join(links, "requested_url").select(
+        *VISIT_ORDER, "requested_url", "pos", "target"
+    )
+
+
 def running_totals(
     rows: DataFrame,
     amounts: dict[str, str],

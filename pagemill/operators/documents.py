@@ -84,6 +84,47 @@ def convert_failure(message: Column) -> Column:
     return F.concat(F.lit("Error processing HTML content: "), message)
 
 
+# Encodings that bodies are read in; UTF-8 where none is named.
+_CHARSETS = {
+    "utf-8": "UTF-8", "utf8": "UTF-8", "us-ascii": "US-ASCII", "ascii": "US-ASCII", "iso-8859-1": "ISO-8859-1",
+    "latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "utf-16": "UTF-16", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE",
+}
+
+
+def decode_bodies(
+    pages: DataFrame, body: str = "body", charset: str | None = None, html: str = "html", convert_error: str = "convert_error",
+    deepest: int = 100_000,
+) -> DataFrame:
+    """Add the text of captured bytes and, where they cannot be converted, what is wrong with them.
+
+    ``html`` is NULL exactly where ``convert_error`` says something: an encoding that is not known, bytes that are
+    none of it, or more open tags without a close tag than ``deepest``.  No row fails the job.  Such a page is a
+    success whose document is the message, see :func:`page_documents`.  A NULL body stays NULL and is no failure.
+    """
+    raw = F.col(body)
+    named = F.lower(F.trim(F.col(charset))) if charset else F.lit(None).cast("string")
+    known = F.coalesce(F.nullif(named, F.lit("")), F.lit("utf-8"))
+    # A character outside ASCII shows in two's complement bytes; UTF-16 comes in pairs of bytes.
+    fits = (
+        F.when(known.isin([c for c, n in _CHARSETS.items() if n == "UTF-8"]), F.is_valid_utf8(raw.cast("string")))
+        .when(known.isin([c for c, n in _CHARSETS.items() if n == "US-ASCII"]), F.is_valid_utf8(raw.cast("string")) & (F.octet_length(raw) == F.length(raw.cast("string"))))
+        .when(known.isin([c for c, n in _CHARSETS.items() if n.startswith("UTF-16")]), F.octet_length(raw) % 2 == 0)
+        .otherwise(F.lit(True))
+    )
+    text = F.lit(None).cast("string")
+    for name in sorted(set(_CHARSETS.values())):
+        text = F.when(known.isin([c for c, n in _CHARSETS.items() if n == name]), F.decode(raw, name)).otherwise(text)
+    wrong = F.when(raw.isNull(), F.lit(None).cast("string")).when(
+        ~known.isin(list(_CHARSETS)), F.concat(F.lit("unknown encoding "), known)
+    ).when(~fits, F.concat(F.lit("bytes are not "), known))
+    decoded = pages.withColumn(convert_error, wrong).withColumn(html, F.when(F.col(convert_error).isNull(), text))
+    opened = F.regexp_count(F.col(html), F.lit("<[A-Za-z]")) - F.regexp_count(F.col(html), F.lit("</"))
+    deep = F.coalesce(opened > deepest, F.lit(False))
+    return decoded.withColumn(
+        convert_error, F.when(deep, F.lit(f"more than {deepest} tags are left open")).otherwise(F.col(convert_error))
+    ).withColumn(html, F.when(F.col(convert_error).isNull(), F.col(html)))
+
+
 def page_documents(
     results: DataFrame,
     key: str | list[str] = "page_id",
@@ -98,8 +139,15 @@ def page_documents(
     """Document of every page attempt.
 
     ``key, url, title, error, markdown, token_count, byte_size`` and the ``keep`` columns.  All
-    of it travels with the page through its one shuffle; nothing is joined back.
+    of it travels with the page through its one shuffle; nothing is joined back.  ``key`` may be several
+    columns; two pages with one key are an error.
     """
+    if not isinstance(key, str):
+        keyed = results.withColumn("_page", F.struct(*key))
+        made = page_documents(
+            keyed, "_page", url, html, error, convert_error, keep, include_metadata, **options
+        )
+        return made.select(*(F.col(f"_page.{c}").alias(c) for c in key), *made.drop("_page").columns)
     keep = keep or []
     failed = F.col(error) if error else F.lit(None).cast("string")
     broken = F.col(convert_error) if convert_error else F.lit(None).cast("string")

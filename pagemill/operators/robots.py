@@ -98,19 +98,22 @@ def parse_robots(bodies: DataFrame) -> DataFrame:
     ).select("origin", "entry_no", "agents", "r.rule_no", "r.path", "r.allow")
 
 
+def _agent_rank(agent: str) -> Column:
+    """0 for an entry that names a part of the agent's name, 1 for one for everyone, NULL for others."""
+    name = agent.split("/")[0].lower()
+    named = F.exists("agents", lambda a: F.contains(F.lit(name), F.lower(a)))
+    return F.when(F.array_contains("agents", "*"), 1).when(named, 0)
+
+
 def agent_rules(rules: DataFrame, agent: str = AGENT) -> DataFrame:
     """The one entry of each origin that applies to an agent: ``origin, rules``.
 
     The first entry naming a part of the agent's name applies, else the first entry for everyone.
     One row per origin, its rules in file order.
     """
-    name = agent.split("/")[0].lower()
-    everyone = F.array_contains("agents", "*")
-    named = F.exists("agents", lambda a: F.contains(F.lit(name), F.lower(a)))
-    rank = F.when(everyone, 1).when(named, 0)
     by_origin = Window.partitionBy("origin")
     return (
-        rules.withColumn("rank", rank)
+        rules.withColumn("rank", _agent_rank(agent))
         .where("rank IS NOT NULL")
         .withColumn("pick", F.struct("rank", "entry_no"))
         .withColumn("best", F.min("pick").over(by_origin))
@@ -160,3 +163,48 @@ def robots_verdicts(urls: DataFrame, table: DataFrame, url: str = "url") -> Data
     return joined.withColumn(
         "allowed", robots_allowed(F.col(url), F.col("policy"), F.col("rules"))
     ).drop("_origin", "policy", "rules")
+
+
+def agent_paths(rules: DataFrame, agent: str = AGENT) -> DataFrame:
+    """Rules of the entry that applies to an agent, one row per path: ``origin, path, rule_no, allow``.
+
+    Of two rules for one path the first decides.  Sums and joins only: an origin may have any number of rules.
+    """
+    ranked = rules.withColumn("rank", _agent_rank(agent)).where("rank IS NOT NULL")
+    best = ranked.groupBy("origin").agg(F.min(F.struct("rank", "entry_no")).alias("pick"))
+    chosen = ranked.join(best, "origin").where("struct(rank, entry_no) = pick AND path IS NOT NULL")
+    return chosen.groupBy("origin", "path").agg(
+        F.min("rule_no").alias("rule_no"), F.min_by("allow", "rule_no").alias("allow")
+    )
+
+
+def robots_verdicts_by_prefix(
+    urls: DataFrame, policy: DataFrame, paths: DataFrame, url: str = "url"
+) -> DataFrame:
+    """The verdicts of :func:`robots_verdicts` by an equi-join on origin and path prefix.
+
+    For origins with very many rules: ``paths`` has a row per rule (:func:`agent_paths`), and a URL meets
+    only the rules that begin its path.  It is cut to the lengths that rule paths of its origin have, of which
+    there are at most as many as the longest has characters.  Each different URL is judged once.
+    """
+    lengths = paths.groupBy("origin").agg(F.collect_set(F.length("path")).alias("_lengths"))
+    asked = urls.select(F.col(url).alias("_url")).distinct().withColumns(
+        {"origin": origin(F.col("_url")), "_path": path_and_query(percent_decode(F.col("_url")))}
+    )
+    judged = asked.join(policy, "origin", "left")
+    cut = (
+        judged.where("policy = 'rules'").join(lengths, "origin")
+        .select("_url", "origin", "_path", F.explode("_lengths").alias("_length"))
+        .where(F.col("_length") <= F.length("_path"))
+        .select("_url", "origin", F.substr("_path", F.lit(1), F.col("_length")).alias("path"))
+    )
+    first = cut.join(paths, ["origin", "path"]).groupBy("_url").agg(F.min_by("allow", "rule_no").alias("allow"))
+    verdict = (
+        F.when(F.col("policy") == "deny_all", F.lit(False))
+        .when(F.col("policy") == "rules", F.coalesce("allow", F.lit(True)))
+        .otherwise(F.lit(True))
+    )
+    known = judged.join(first, "_url", "left").select("_url", verdict.alias("allowed"))
+    return urls.join(known, urls[url] == known["_url"], "left").drop("_url").withColumn(
+        "allowed", F.coalesce("allowed", F.lit(True))
+    )

@@ -304,6 +304,14 @@ def robots_verdicts(spark, folder):
     return robots.robots_verdicts(captured, table)
 
 
+@_query
+def robots_verdicts_by_prefix(spark, folder):
+    captured = pages(spark, folder).select("page_id", normalize_url(F.col("url")).alias("url"))
+    bodies = derived.robots_bodies(pages(spark, folder))
+    paths = robots.agent_paths(robots.parse_robots(bodies))
+    return robots.robots_verdicts_by_prefix(captured, robots.robots_policy(bodies), paths)
+
+
 def _crawl_inputs(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
     fetched = site(spark, folder)
     return (
@@ -345,6 +353,15 @@ def crawl_order(spark, folder):
     return crawl.in_visit_order(placed).select("crawl_id", "visit_no", "requested_url")
 
 
+@_query
+def result_links(spark, folder):
+    inputs = _crawl_inputs(spark, folder)
+    found = crawl.result_links(crawl.bounded_crawl(*inputs), inputs[1]).withColumn("one", F.lit(1).cast("bigint"))
+    return crawl.running_totals(found, {"place": "one"}, order=("depth", "ord", "pos")).select(
+        "crawl_id", "place", "requested_url", "target"
+    )
+
+
 @_query
 def crawl_progress(spark, folder):
     return crawl.crawl_progress(_crawl_measures(spark, folder)).select(

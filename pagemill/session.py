@@ -22,6 +22,10 @@ def build_session(app: str = "pagemill", master: str | None = None, **conf: str)
         "spark.ui.enabled": "false",
         # Page bytes grow many times after their shuffle, so small partitions are worth keeping.
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
+        # The state of streams (every URL seen, every crawl's totals) lies on disk, and what is saved per batch is what changed.
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagemill.functions.urls import normalize_url
+from pagemill.operators.corpus import SEPARATOR
 from pagemill.operators.documents import has_error, page_documents
+from pagemill.operators.stage import Stage
 
 PAGE_SCHEMA = "crawl_id bigint, page_id bigint, url string, html string"
 DOCUMENT_SCHEMA = (
@@ -58,6 +60,55 @@ def start_document_stream(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def start_text_stream(
+    pages: DataFrame, path: str, checkpoint: str, separator: str = SEPARATOR, once: bool = False, **options
+) -> StreamingQuery:
+    """Append the documents of every batch to the text of their crawl, pages in the order of their ids.
+
+    The separator stands before every page of a crawl but its first, before an empty page too.  Which
+    crawls have begun is state: a table in ``path`` to which each batch adds the crawls it began.  A batch reads what
+    the batches before it have written and overwrites its own folders, so one that is replayed writes the
+    same text again.  Text is written as it comes, in ``path/text``; :func:`appended_text` names its files in order.
+    """
+    if not separator.startswith("\n"):
+        raise ValueError("the separator must start with a line break")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        keyed = ["crawl_id", "page_id"]
+        made = page_documents(batch, keyed, "url", "html", error=None, **options).select(*keyed, "markdown")
+        stage = Stage(spark, "appended")
+        made = stage.save(made, "documents")
+        begun = spark.createDataFrame([], "crawl_id bigint")
+        if batch_id and _exists(spark, f"{path}/begun"):
+            begun = spark.read.schema("crawl_id bigint, batch_id bigint").parquet(f"{path}/begun").where(
+                F.col("batch_id") < batch_id
+            ).select("crawl_id").distinct()
+        firsts = made.groupBy("crawl_id").agg(F.min("page_id").alias("page_id")).join(begun, "crawl_id", "left_anti")
+        lines = made.join(firsts.withColumn("_first", F.lit(True)), keyed, "left").select(
+            *keyed,
+            F.when(F.col("_first"), F.col("markdown")).otherwise(F.concat(F.lit(separator[1:]), F.col("markdown"))).alias("chunk"),
+        )
+        lines.repartitionByRange(*keyed).sortWithinPartitions(*keyed).select("crawl_id", "chunk").write.mode(
+            "overwrite"
+        ).partitionBy("crawl_id").text(f"{path}/text/batch_id={batch_id:09d}")
+        firsts.select("crawl_id").write.mode("overwrite").parquet(f"{path}/begun/batch_id={batch_id}")
+
+    writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def appended_text(spark: SparkSession, path: str) -> DataFrame:
+    """``crawl_id, path``: the text files of every crawl; in the order of their paths they are its text and a line break."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/text")
+    return files.where("length > 0").select(F.col("crawl_id").cast("bigint").alias("crawl_id"), "path")
+
+
 def read_document_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(DOCUMENT_SCHEMA).parquet(path)
 

@@ -48,3 +48,20 @@ def test_unknown_origin_is_allowed(spark):
     table = robots.robots_table(spark.createDataFrame([("http://a", 500, None)], "origin string, http_status int, body string"))
     got = robots.robots_verdicts(spark.createDataFrame([("http://a/x",), ("http://b/x",)], "url string"), table)
     assert {r.url: r.allowed for r in got.collect()} == {"http://a/x": False, "http://b/x": True}
+
+
+def test_prefix_join_on_an_origin_of_many_rules(spark):
+    """The join form judges like the array form, and needs no array of an origin's rules."""
+    lines = ["User-agent: other", "Disallow: /", "", "User-agent: *"]
+    lines += [f"{'Allow' if k % 3 == 0 else 'Disallow'}: /p/{k:x}" for k in range(20_000)] + ["Disallow: /q"]
+    bodies = spark.createDataFrame(
+        [("http://h", 200, "\n".join(lines)), ("http://g", 403, None), ("http://k", None, None), ("http://m", 200, "User-agent: *\nDisallow: /")],
+        "origin string, http_status int, body string",
+    )
+    urls = [f"http://{h}/{p}/{k * 37:x}/x" for h in "hgkmn" for p in "pqr" for k in range(150)] + ["http://h", None, "http://h/p/ff", "http://h/p/ff"]
+    frame = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "n long, url string")
+    array = robots.robots_verdicts(frame, robots.robots_table(bodies))
+    paths = robots.agent_paths(robots.parse_robots(bodies))
+    joined = robots.robots_verdicts_by_prefix(frame, robots.robots_policy(bodies), paths)
+    assert {tuple(r) for r in array.select("n", "url", "allowed").collect()} == {tuple(r) for r in joined.select("n", "url", "allowed").collect()}
+    assert joined.count() == len(urls) and {r.allowed for r in joined.collect()} == {True, False}

@@ -87,3 +87,38 @@ def test_bounded_dedupe(spark, pages, tmp_path):
     ).start()
     query.awaitTermination()
     assert sum(seen) == 4
+
+
+def test_text_grows_with_the_stream(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "crawl_id long, page_id long, url string, html string"
+    body = "<p>words of page {}</p>"
+    batches = [
+        [(1, 1, "http://h/1", body.format(1)), (2, 7, "http://g/7", None)],
+        [(1, 2, "http://h/2", "<nav>nothing</nav>"), (1, 3, "http://h/3", body.format(3)), (3, 1, "http://k/1", body.format(1))],
+        [(2, 8, "http://g/8", body.format(8)), (1, 4, "http://h/4", body.format(4))],
+    ]
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        pages = stream.read_page_stream(spark, source)
+        stream.start_text_stream(pages, out, state, once=True, include_metadata=False).awaitTermination()
+
+    def texts():
+        found = {}
+        for r in sorted(stream.appended_text(spark, out).collect(), key=lambda r: r.path):
+            found[r.crawl_id] = found.get(r.crawl_id, "") + open(r.path.removeprefix("file:"), encoding="utf-8").read()
+        return found
+
+    rule = "\n\n---\n\n"
+    arrive(batches[0])
+    arrive(batches[1])
+    want = {1: "words of page 1" + rule + rule + "words of page 3\n", 2: "\n", 3: "words of page 1\n"}
+    assert texts() == want
+    # The last batch fails after its work: it is done again, and nothing stands there twice.
+    Path(f"{state}/commits/1").unlink()
+    Path(f"{state}/commits/.1.crc").unlink(missing_ok=True)
+    arrive(batches[2])
+    assert texts() == {
+        1: want[1][:-1] + rule + "words of page 4\n", 2: rule + "words of page 8\n", 3: want[3],
+    }
