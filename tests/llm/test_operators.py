@@ -395,17 +395,19 @@ def test_license_files(spark):
 def plain_pack(sizes, lengths, least):
     """Contents of the bins of best fit, by looking at every open bin."""
     per_token = sorted((n for n in lengths if n >= least), key=lambda n: packing.cost(n) / n)
-    room, filled = [], []
-    for size in sizes:
-        fits = [(r, -k) for k, r in enumerate(room) if r >= size]
+    room, filled, used = [], [], {}
+    for step, size in enumerate(sizes):
+        # Of bins with equal room the one used last is taken.
+        fits = [(r, -used[k], k) for k, r in enumerate(room) if r >= size]
         if fits:
-            k = -min(fits)[1]
+            k = min(fits)[2]
         else:
             room.append(next((n for n in per_token if n >= size), max(lengths)))
             filled.append(0)
             k = len(room) - 1
         room[k] -= size
         filled[k] += size
+        used[k] = step
     return sorted(filled)
 
 
