@@ -6,23 +6,32 @@ longer one has one of the shorter one's segments unchanged, a few places away at
 index keys, the possible substrings of the longer line are its probes, and both carry the length and
 the place of the segment.
 
-A key that many lines share is not paired out.  What is left of each line without the matched segment
-is split and probed again, under a key that includes the old one, until groups are small or nothing
-is left to compare.  There, lines also carry a mark, which says of each code point (modulo 64) whether it
-occurs an odd number of times: an edit changes two bits at most, so that a key pairs only lines whose
-marks are near.  Candidates are then verified by a banded bit-parallel automaton: bit k of
-state d says that the diagonal k - edits is reached with d edits.
+A key that many lines share is not paired out.  Its lines are keyed anew, each by a constant number of keys:
+characters are dealt into a few groups by code point, an edit touches two groups at most, so the characters of
+the groups that no edit touches are the same sequence in both lines; a key is such a sequence for a choice of groups.
+First a third and then half of a line has to agree.  Lines that still crowd differ in few places.  Two of them are
+near just if they are ``P [c] m [c] S`` for one P, m and S, where each ``[c]`` is a code point or nothing: all lines with
+one (P, m, S) are near each other, and a link to one of them will do.  P ends where lines with one beginning part from
+each other, S begins where lines with one end do, so that only such places are tried.
+
+A mark says of each code point (modulo 64) whether it occurs an odd number of times: an edit changes two bits at
+most, so that only lines whose marks are near are compared.  Candidates are then verified by a banded
+bit-parallel automaton: bit k of state d says that the diagonal k - edits is reached with d edits.  ``edits`` is 1 or 2.
 
 Defined results: a NULL or empty text has no lines; equal lines are near; lines under ``min_chars`` are
 near where they are equal, and are looked at where ``short`` is set, as it is for removal; blank ones
 are left alone; a document without an id takes no part and is kept as it is; rows that share an id are one
 document, but a line goes only from a row that has it; in each class of near lines the first occurrence
-(least id, then least line number) stays.
+(least id, then least line number) stays.  A line of any length is one unit; an empty table has no classes; other
+columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.components import components
@@ -33,10 +42,12 @@ EDITS = 2
 MIN_CHARS = 20
 # Most lines that the filter for reading texts again is sized for; with more it lets more through.
 FILTER_LINES = 1 << 20
-# Pairs of one key that are compared at once; more are split by another segment first.
+# Pairs of one key that are compared at once; with more, its lines are keyed anew.
 PAIRS = 50
 # The same where lines carry marks, by which most pairs are dropped inside the join.
 MARKED_PAIRS = 1_000
+# Groups of characters that have to agree, of those that no edit touches, round by round.
+ALIKE = (2, 4)
 
 
 def _choices(edits: int) -> list[tuple[int, int, int]]:
@@ -49,42 +60,29 @@ def _choices(edits: int) -> list[tuple[int, int, int]]:
     ]
 
 
-def _entries(lines: DataFrame, edits: int, first: bool, whole: bool) -> DataFrame:
-    """Index keys (role 0) and probes (role 1) of ``line, key, role, longer, text, n``.
-
-    ``longer`` says by how much a probe is longer than what it looks for; at first every length is
-    probed, later only that one.  ``whole``: with what the segment leaves, for the next round.
-    """
+def _entries(lines: DataFrame, edits: int) -> DataFrame:
+    """Index keys (role 0) and probes (role 1) of ``line, text, n``."""
     choices = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(s).alias("shift"), F.lit(by).alias("by")) for k, s, by in _choices(edits)))
     made = lines.select("*", F.inline(choices))
-    own = (F.col("role") == 0) & (F.col("shift") == 0) & (F.col("by") == 0)
-    asked = F.lit(True) if first else F.col("by") == F.col("longer")
+    own = (F.col("shift") == 0) & (F.col("by") == 0)
     length = F.col("n") - F.col("by")
     base, over = F.call_function("div", length, F.lit(edits + 1)).cast("int"), length % (edits + 1)
     # The last segments get what is over.
     start = base * F.col("k") + F.greatest(F.col("k") - (edits + 1) + over, F.lit(0)) + F.col("shift")
     size = base + F.when(F.col("k") >= (edits + 1) - over, 1).otherwise(0)
-    placed = made.where(asked & (length > edits)).select("*", length.alias("length"), start.alias("start"), size.alias("size")).where(
+    placed = made.where(length > edits).select("*", length.alias("length"), start.alias("start"), size.alias("size")).where(
         (F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n"))
     )
     part = F.substring(F.col("text"), F.col("start") + 1, F.col("size"))
-    rest = F.concat(F.substring(F.col("text"), F.lit(1), F.col("start")), F.substring(F.col("text"), F.col("start") + F.col("size") + 1, F.col("n")))
-    more = [rest.alias("text"), (F.col("n") - F.col("size")).alias("n"), "mark"] if whole else []
-    return placed.select(
-        "line", F.xxhash64("key", "length", "k", part).alias("key"), F.when(own, 0).otherwise(1).alias("role"), F.col("by").alias("longer"), *more
-    )
+    return placed.select("line", F.xxhash64("length", "k", part).alias("key"), F.when(own, 0).otherwise(1).alias("role"))
 
 
-def _alive(entries: DataFrame) -> DataFrame:
-    """Entries whose key pairs a line with another one, with the number of pairs."""
-    own = Window.partitionBy("key")
-    n_index = F.sum(F.when(F.col("role") == 0, 1)).over(own)
-    n_probe = F.sum(F.when(F.col("role") == 1, 1)).over(own)
-    return (
-        entries.withColumn("pairs", n_index * F.coalesce(n_probe, F.lit(0)) + F.floor(n_index * (n_index - 1) / 2))
-        .withColumn("low", F.min("line").over(own)).withColumn("high", F.max("line").over(own))
-        .where((F.col("pairs") > 0) & (F.col("low") != F.col("high"))).drop("low", "high")
-    )
+def _shared(entries: DataFrame) -> DataFrame:
+    """Keys that pair a line with another one: the number of ``pairs`` and entries, the least and the greatest line."""
+    n_index, n = F.sum(F.when(F.col("role") == 0, 1).otherwise(0)), F.count(F.lit(1))
+    counted = entries.groupBy("key").agg(n_index.alias("index"), n.alias("n"), F.min("line").alias("low"), F.max("line").alias("high"))
+    pairs = F.col("index") * (F.col("n") - F.col("index")) + F.floor(F.col("index") * (F.col("index") - 1) / 2)
+    return counted.where((F.col("index") > 0) & (F.col("low") != F.col("high"))).select("key", "n", "low", "high", pairs.alias("pairs"))
 
 
 def _mark(text: Column) -> Column:
@@ -102,10 +100,58 @@ def _paired(entries: DataFrame, edits: int) -> DataFrame:
     other = entries.select("key", "role", F.col("line").alias("b"), *(F.col(m).alias("b_mark") for m in marked))
     useful = ((F.col("role") == 1) & (F.col("a") != F.col("b"))) | (F.col("a") < F.col("b"))
     if marked:
-        useful = useful & (F.bit_count(F.col("a_mark").bitwiseXOR(F.col("b_mark"))) <= 2 * edits)
+        useful = useful & _alike(F.col("a_mark"), F.col("b_mark"), edits)
     return index.join(other, "key").where(useful).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _alike(one: Column, other: Column, edits: int) -> Column:
+    return F.bit_count(one.bitwiseXOR(other)) <= 2 * edits
+
+
+def _sequences(lines: DataFrame, edits: int, alike: int) -> DataFrame:
+    """Keys of ``line, text, mark``: the characters of every choice of ``alike`` groups out of ``2 * edits + alike``."""
+    groups = 2 * edits + alike
+    chars = F.split("text", "")
+    of_group = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.array_join(F.filter(chars, lambda c: F.pmod(F.ascii(c), F.lit(groups)) == g), ""))
+    dealt = lines.select("line", "mark", of_group.alias("parts"))
+    keys = [F.xxhash64(F.lit(k), *(F.get("parts", g) for g in chosen)) for k, chosen in enumerate(combinations(range(groups), alike))]
+    return dealt.select("line", "mark", F.lit(0).alias("role"), F.explode(F.array(*keys)).alias("key"))
+
+
+def _partings(lines: DataFrame, text: Column, stage: Stage, name: str) -> DataFrame:
+    """``line`` and the lengths ``at`` of its beginnings after which other lines go on differently."""
+    places = F.transform(F.sequence(F.lit(0), F.col("n")), lambda k: F.struct(
+        k.alias("at"), F.xxhash64(F.substr(text, F.lit(1), k)).alias("begin"), F.substr(text, k + 1, F.lit(1)).alias("next")
+    ))
+    placed = lines.select("line", F.inline(places))
+    parting = placed.groupBy("at", "begin").agg(F.min("next").alias("low"), F.max("next").alias("high")).where("low != high").select("at", "begin")
+    found = placed.select("line", "at", "begin").join(stage.save(parting, f"{name}-parting"), ["at", "begin"])
+    return stage.save(found.groupBy("line").agg(F.sort_array(F.collect_set("at")).alias("at")), name)
+
+
+def _star_pairs(lines: DataFrame, stage: Stage, edits: int) -> DataFrame:
+    """Links of ``line, text, n`` that join all near lines: one from the least line of each (P, m, S) to the others."""
+    fronts = _partings(lines, F.col("text"), stage, "fronts").withColumnRenamed("at", "fronts")
+    backs = _partings(lines, F.reverse("text"), stage, "backs").withColumnRenamed("at", "backs")
+    front = lines.join(fronts, "line").join(backs, "line", "left").select("line", "text", "n", "backs", F.explode("fronts").alias("i"))
+    # A beginning and an end that overlap leave nothing of the shorter line.
+    close = F.array(*(F.col("n") - F.col("i") - k for k in range(edits + 1)))
+    ends = F.array_union(F.coalesce("backs", F.array().cast("array<int>")), close) if edits == 2 else close
+    variants = [(f, l) for f in (0, 1) for l in (0, 1) if f + l <= edits]
+
+    def keys(s: Column) -> Column:
+        middle = F.col("n") - F.col("i") - s
+        begin, end = F.substr("text", F.lit(1), F.col("i")), F.substr("text", F.col("n") - s + 1, s)
+        own = [F.when(middle >= f + l, F.xxhash64(begin, F.substr("text", F.col("i") + (1 + f), middle - (f + l)), end)) for f, l in variants]
+        return F.array(*own)
+
+    fitting = F.filter(ends, lambda s: (s >= 0) & (s + F.col("i") <= F.col("n")))
+    keyed = front.select("line", F.explode(F.flatten(F.transform(fitting, keys))).alias("key")).where(F.col("key").isNotNull())
+    keyed = stage.save(keyed.distinct(), "decompositions")
+    least = keyed.groupBy("key").agg(F.min("line").alias("a"), F.max("line").alias("high")).where(F.col("a") != F.col("high")).select("key", "a")
+    return keyed.join(least, "key").where(F.col("a") != F.col("line")).select("a", F.col("line").alias("b")).distinct()
+
+
 def _texts(lines: DataFrame, wanted: DataFrame, stage: Stage, name: str) -> DataFrame:
     """The distinct ``lines`` that ``wanted`` (``key``) names, read again through a Bloom filter of bounded size."""
     wanted = stage.save(wanted.distinct(), f"{name}-keys")
@@ -116,49 +162,33 @@ def _texts(lines: DataFrame, wanted: DataFrame, stage: Stage, name: str) -> Data
 def candidate_pairs(lines: DataFrame, stage: Stage, edits: int = EDITS) -> DataFrame:
     """Pairs ``a, b`` of the fingerprints of ``lines`` (``line, text, n``) that may be near.
 
-    Where all but a few places of some lines is matched, each is paired with one of them only.
+    Lines that crowd to the end are each paired with one line of every set that is near throughout.
     """
-    def start(own: DataFrame) -> DataFrame:
-        return own.select("*", F.lit(0).cast("bigint").alias("key"), F.lit(0).alias("role"), F.lit(0).alias("longer"))
+    if edits not in (1, 2):
+        raise ValueError("edits must be 1 or 2")
     distinct = lines.select("text").distinct().select(F.xxhash64("text").alias("line"), "text", F.length("text").alias("n"))
-    entries = _entries(start(distinct), edits, True, False)
-    level, found = 0, []
-    while True:
-        alive = stage.save(_alive(entries), f"keys-{level}")
-        most = MARKED_PAIRS if level else PAIRS
-        few = alive.where(F.col("pairs") <= most)
-        many = alive.where(F.col("pairs") > most)
-        found.append(stage.save(_paired(few, edits), f"pairs-{level}"))
-        if many.isEmpty():
+    keys = stage.save(_shared(_entries(distinct, edits)), "keys")
+    # Two entries are one pair; only for other keys are the entries made again.
+    found = [keys.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))]
+    met = stage.save(_entries(lines, edits).join(keys.where("n > 2").select("key", "pairs"), "key").distinct(), "met")
+    found.append(stage.save(_paired(met.where(F.col("pairs") <= PAIRS), edits), "pairs-0"))
+    many = met.where(F.col("pairs") > PAIRS).select(F.col("line").alias("key"))
+    if many.isEmpty():
+        return found[0].union(found[1]).distinct()
+    crowded = _texts(lines, many, stage, "crowded")
+    crowded = stage.save(crowded.withColumn("mark", _mark(F.col("text"))), "marked")
+    for level, alike in enumerate(ALIKE, 1):
+        entries = stage.save(_sequences(crowded, edits, alike), f"entries-{level}")
+        shared = stage.save(_shared(entries).select("key", "pairs"), f"keys-{level}")
+        met = entries.join(shared, "key")
+        found.append(stage.save(_paired(met.where(F.col("pairs") <= MARKED_PAIRS), edits), f"pairs-{level}"))
+        left = stage.save(met.where(F.col("pairs") > MARKED_PAIRS).select("line").distinct(), f"left-{level}")
+        if left.isEmpty():
             break
-        if level == 0:
-            # Only now, for few lines, is what the segment leaves worth carrying.
-            own = _texts(lines, many.select(F.col("line").alias("key")), stage, "crowded")
-            own = stage.save(own.withColumn("mark", _mark(F.col("text"))), "marked")
-            crowded = _entries(start(own), edits, True, True)
-            many = stage.save(crowded.join(many.select("key").distinct(), "key", "left_semi"), "many")
-        short = F.col("n") - F.col("longer") <= edits
-        # Lines that are index entries here differ at the same few places only: a link to one will do.
-        done = many.where(short)
-        index = done.where(F.col("role") == 0)
-        low = index.groupBy("key").agg(F.min("line").alias("a"))
-        star = index.join(low, "key").where(F.col("a") != F.col("line"))
-        found.append(stage.save(star.select("a", F.col("line").alias("b")).distinct(), f"ends-{level}"))
-        probe = done.where(F.col("role") == 1).select("key", F.col("line").alias("b"), "text", "n")
-        # A probe of few places is near all of them, so that one will do again; a longer one has a code
-        # point in common with what it is near, and equal ends of an index entry count once.
-        near = low.join(probe.where(F.col("n") <= edits), "key").select("a", "b")
-        char = F.explode(F.array_distinct(F.split("text", ""))).alias("char")
-        ends = index.groupBy("key", "text").agg(F.min("line").alias("a")).select("key", "a", char)
-        far = ends.join(probe.where(F.col("n") > edits).select("key", "b", char), ["key", "char"]).select("a", "b")
-        left = near.union(far).where(F.col("a") != F.col("b"))
-        found.append(stage.save(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"left-{level}"))
-        entries = _entries(many.where(~short), edits, False, True).distinct()
-        level += 1
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    return pairs.distinct()
+        crowded = stage.save(crowded.join(left, "line", "left_semi"), f"crowded-{level}")
+    else:
+        found.append(stage.save(_star_pairs(crowded.select("line", "text", "n"), stage, edits), "stars"))
+    return reduce(DataFrame.union, found).distinct()
 
 
 def within(x: Column, y: Column, edits: int) -> Column:
@@ -227,11 +257,10 @@ def _classes(documents: DataFrame, doc: str, text: str, edits: int, min_chars: i
     pairs = stage.save(candidate_pairs(texts, stage, edits), "pairs")
     name = F.md5("text")
     paired = _texts(texts, pairs.select(F.explode(F.array("a", "b")).alias("key")), stage, "paired")
-    left = paired.select(F.col("line").alias("a"), F.col("text").alias("a_text"))
-    right = paired.select(F.col("line").alias("b"), F.col("text").alias("b_text"))
-    links = pairs.join(left, "a").join(right, "b").where(within(F.col("a_text"), F.col("b_text"), edits)).select(
-        F.md5("a_text").alias("a"), F.md5("b_text").alias("b")
-    )
+    paired = stage.save(paired.withColumn("mark", _mark(F.col("text"))), "paired-marks")
+    left, right = (paired.select(F.col("line").alias(x), F.col("text").alias(f"{x}_text"), F.col("mark").alias(f"{x}_mark")) for x in "ab")
+    met = pairs.join(left, "a").join(right, "b").where(_alike(F.col("a_mark"), F.col("b_mark"), edits))
+    links = met.where(within(F.col("a_text"), F.col("b_text"), edits)).select(F.md5("a_text").alias("a"), F.md5("b_text").alias("b"))
     near = components(links, stage, "near")
     own = [F.unhex("line").alias("line")] if named_lines else []
     named = lines.select("doc", "line_no", name.alias("line"))
@@ -250,19 +279,23 @@ def _classes(documents: DataFrame, doc: str, text: str, edits: int, min_chars: i
 def drop_near_lines(documents: DataFrame, doc: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without the lines that occur before, all columns kept; a text may become empty."""
     found = _classes(documents, doc, text, edits, min_chars, True, True).where(~F.col("kept"))
-    gone = found.groupBy("doc").agg(F.collect_set(F.struct("line_no", "line")).alias("_gone")).withColumnRenamed("doc", "_doc")
-    left = F.array_join(
-        F.filter(F.split(F.col(text), "\n", -1), lambda line, k: ~F.array_contains("_gone", F.struct(k.alias("line_no"), F.unhex(F.md5(line)).alias("line")))), "\n"
-    )
+    name = lambda number, line: F.concat_ws(":", number, F.md5(line))
+    gone = found.groupBy("doc").agg(F.collect_set(F.concat_ws(":", "line_no", F.lower(F.hex("line")))).alias("_gone")).withColumnRenamed("doc", "_doc")
+    lines = F.split(F.col(text), "\n", -1)
+    # Names of lines are strings, so that they are looked up by their hash.
+    names = F.array_except(F.transform(lines, lambda line, k: name(k, line)), F.col("_gone"))
+    left = F.transform(F.array(F.struct(lines.alias("lines"), names.alias("names"))), lambda x: F.array_join(
+        F.transform(x["names"], lambda n: F.get(x["lines"], F.substring_index(n, ":", 1).cast("int"))), "\n"
+    ))
     joined = documents.join(gone, documents[doc] == gone["_doc"], "left")
-    return joined.select(*(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else documents[c] for c in documents.columns))
+    return joined.select(*(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.get(left, 0)).alias(c) if c == text else documents[c] for c in documents.columns))
 
 
 QUERY = "op6_lines"
 
 
 def query(spark, folder: str) -> DataFrame:
-    found = line_classes(spark.read.parquet(f"{folder}/documents.parquet"))
+    found = line_classes(spark.read.parquet(f"{folder}/documents.parquet"), short=True)
     return found.select(
         F.col("doc").alias("doc_id"), F.col("line_no").cast("bigint").alias("line_no"), F.col("first_doc").alias("first_doc_id"),
         F.col("first_line").cast("bigint").alias("first_line_no"), "kept",
@@ -276,17 +309,17 @@ with recursive l as (
   select doc_id, generate_subscripts(lines, 1) - 1 as line_no, unnest(lines) as line
   from (select doc_id, string_split(text, chr(10)) as lines from documents where doc_id is not null and text is not null)
 ),
-t as materialized (select doc_id, line_no, line from l where length(line) >= 20),
+t as materialized (select doc_id, line_no, line from l where length(line) >= 20 or regexp_matches(line, '[^\p{Z}\x{09}-\x{0D}\x{85}]')),
 u as materialized (select line, length(line) as n, row_number() over () as id from (select distinct line from t)),
 seg as (
   select id, n, k, n // 3 * k + greatest(k - 3 + n % 3, 0) as s, n // 3 + case when k >= 3 - n % 3 then 1 else 0 end as c, line
-  from u cross join (select unnest([0, 1, 2]) as k)
+  from u cross join (select unnest([0, 1, 2]) as k) where n >= 20
 ),
 idx as (select id, n, k, s, line[s + 1:s + c] as g from seg),
 shape as (select distinct n, k, s, c from seg),
 prb as (
   select u.id, p.n, p.k, p.s, u.line[p.s + d + 1:p.s + d + p.c] as g
-  from u join shape p on p.n between u.n - 2 and u.n cross join (select unnest([-2, -1, 0, 1, 2]) as d) where p.s + d >= 0
+  from u join shape p on p.n between u.n - 2 and u.n cross join (select unnest([-2, -1, 0, 1, 2]) as d) where p.s + d >= 0 and u.n >= 20
 ),
 cand as (select distinct i.id as x, p.id as y from idx i join prb p on i.n = p.n and i.k = p.k and i.g = p.g and i.id <> p.id),
 e as materialized (

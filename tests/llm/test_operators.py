@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.llm import chat, decontamination, jaccard, licenses, lines, packing, quality, sharding, substrings, urlfilter
+from pagemill.operators.stage import Stage
 from pagemill.llm.words import SPACED, Words, blocks, text_bytes
 
 DOCS = "doc_id long, text string, n_words string, k_0 string, doc string"
@@ -230,7 +231,7 @@ def test_lines(spark, awkward, pairs, monkeypatch):
     rows += [(500 + d, f"Sheet of the atlas, no. {7 * d}") for d in range(200)]
     rows += [(300 + k, r[1]) for k, r in enumerate(awkward)] + [(None, rows[0][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = lines.line_classes(docs).select(
+    found = lines.line_classes(docs, short=True).select(
         F.col("doc").alias("doc_id"), "line_no", F.col("first_doc").alias("first_doc_id"), F.col("first_line").alias("first_line_no"), "kept"
     )
     assert ours(found) == twin(rows, lines.ORACLE)
@@ -241,6 +242,58 @@ def test_lines(spark, awkward, pairs, monkeypatch):
         assert lines.line_classes(docs.limit(0)).count() == 0
 
 
+def distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+    return row[-1]
+
+
+def linked(pairs):
+    """Sets of what hangs together."""
+    sets = {}
+    for a, b in pairs:
+        both = sets.get(a, {a}) | sets.get(b, {b})
+        for x in both:
+            sets[x] = both
+    return {frozenset(x) for x in sets.values()}
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_links_of_crowded_lines(spark, edits):
+    """Every link to the least line of a set is within the distance, and what is near hangs together."""
+    random.seed(edits)
+    texts = {"".join(random.choice("abé") for _ in range(random.randint(0, 7))) for _ in range(150)}
+    texts |= {mutated("a longer text that repeats aaaa", "ax") for _ in range(60)} | {"aa", "aaa", "aaaa", ""}
+    texts = sorted(texts)
+    frame = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "line long, text string, n int")
+    found = [(r.a, r.b) for r in lines._star_pairs(frame, Stage(spark, "stars"), edits).collect()]
+    assert all(distance(texts[a], texts[b]) <= edits for a, b in found)
+    near = [(a, b) for b in range(len(texts)) for a in range(b) if abs(len(texts[a]) - len(texts[b])) <= edits and distance(texts[a], texts[b]) <= edits]
+    assert linked(found) == linked(near) and len(near) > 100
+
+
+def test_keys_of_a_template_grow_with_its_lines(spark):
+    """Twelve times as many lines that crowd under the same keys make about as many times the keys."""
+    rows = {}
+    for n in (400, 4800):
+        kept = {}
+
+        class Counting(Stage):
+            def save(self, frame, name):
+                kept[name] = super().save(frame, name)
+                return kept[name]
+
+        made = spark.createDataFrame([(f"Sheet of the atlas, no. {7 * k} of the set",) for k in range(n)], "text string")
+        texts = made.select(F.xxhash64("text").alias("line"), "text", F.length("text").alias("n"))
+        lines.candidate_pairs(texts, Counting(spark, "template")).count()
+        rows[n] = {name: frame.count() for name, frame in kept.items() if name.startswith(("entries", "decompositions"))}
+    assert len(rows[400]) == 3
+    assert all(rows[4800][name] <= 2.5 * 12 * many for name, many in rows[400].items())
+
+
 def test_short_lines_go_by_their_text(spark):
     """Repeats of lines under the bound go too, blank lines stay, rows of one id lose only their own lines."""
     page = "Les.\n\n}\n \t\nA line that is long enough, number one"
