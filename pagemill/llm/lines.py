@@ -31,7 +31,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.components import components
@@ -46,6 +46,12 @@ FILTER_LINES = 1 << 20
 PAIRS = 50
 # The same where lines carry marks, by which most pairs are dropped inside the join.
 MARKED_PAIRS = 1_000
+# Documents whose lines are sampled for heavy keys, and the lines of the sample that make a key heavy.  So heavy
+# keys are few, and a key that is not found has few of all lines.
+SAMPLE_DOCUMENTS = 20_000
+HEAVY = 64
+# Characters that are counted before two lines are compared; any others would do.
+COUNTED = " etaonisrhdlu"
 # Groups of characters that have to agree, of those that no edit touches, round by round.
 ALIKE = (2, 4)
 
@@ -78,11 +84,31 @@ def _entries(lines: DataFrame, edits: int) -> DataFrame:
 
 
 def _shared(entries: DataFrame) -> DataFrame:
-    """Keys that pair a line with another one: the number of ``pairs`` and entries, the least and the greatest line."""
-    n_index, n = F.sum(F.when(F.col("role") == 0, 1).otherwise(0)), F.count(F.lit(1))
-    counted = entries.groupBy("key").agg(n_index.alias("index"), n.alias("n"), F.min("line").alias("low"), F.max("line").alias("high"))
-    pairs = F.col("index") * (F.col("n") - F.col("index")) + F.floor(F.col("index") * (F.col("index") - 1) / 2)
-    return counted.where((F.col("index") > 0) & (F.col("low") != F.col("high"))).select("key", "n", "low", "high", pairs.alias("pairs"))
+    """Keys that two lines or more share, with the number of ``pairs``."""
+    n = F.count(F.lit(1))
+    counted = entries.groupBy("key").agg(n.alias("n"), F.min("line").alias("low"), F.max("line").alias("high")).where("low != high")
+    return counted.select("key", F.floor(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+
+
+def _heavy(lines: DataFrame, edits: int) -> DataFrame:
+    """Keys that ``HEAVY`` lines or more of a sample share."""
+    distinct = lines.select("text").distinct().select(F.xxhash64("text").alias("line"), "text", F.length("text").alias("n"))
+    return _entries(distinct, edits).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HEAVY).select("key", F.lit(True).alias("heavy"))
+
+
+def _alive(entries: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Entries whose key pairs a line with another one, with the number of ``pairs``; NULL where the key is a heavy one.
+
+    Entries of heavy keys are dealt by their line, so that no task gets them all.
+    """
+    dealt = entries.join(F.broadcast(heavy), "key", "left").withColumn("_own", F.when(F.col("heavy"), F.xxhash64("key", "line")).otherwise(F.col("key")))
+    own = Window.partitionBy("_own")
+    n_index = F.sum(F.when(F.col("role") == 0, 1)).over(own)
+    n_probe = F.sum(F.when(F.col("role") == 1, 1)).over(own)
+    pairs = n_index * F.coalesce(n_probe, F.lit(0)) + F.floor(n_index * (n_index - 1) / 2)
+    counted = dealt.select("line", "key", "role", "heavy", pairs.alias("pairs"), F.min("line").over(own).alias("low"), F.max("line").over(own).alias("high"))
+    met = counted.where(F.col("heavy") | ((F.col("pairs") > 0) & (F.col("low") != F.col("high"))))
+    return met.select("line", "key", "role", F.when(F.col("heavy"), F.lit(None)).otherwise(F.col("pairs")).alias("pairs"))
 
 
 def _mark(text: Column) -> Column:
@@ -93,6 +119,10 @@ def _mark(text: Column) -> Column:
     )
 
 
+def _counts(text: Column) -> Column:
+    return F.array(*(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in COUNTED))
+
+
 def _paired(entries: DataFrame, edits: int) -> DataFrame:
     """Pairs of lines under one key; where lines have marks, those whose marks are near."""
     marked = ["mark"] if "mark" in entries.columns else []
@@ -159,22 +189,21 @@ def _texts(lines: DataFrame, wanted: DataFrame, stage: Stage, name: str) -> Data
     return stage.save(lines.where(seen.has(F.col("line"))).distinct(), name)
 
 
-def candidate_pairs(lines: DataFrame, stage: Stage, edits: int = EDITS) -> DataFrame:
+def candidate_pairs(lines: DataFrame, stage: Stage, edits: int = EDITS, sample: DataFrame | None = None) -> DataFrame:
     """Pairs ``a, b`` of the fingerprints of ``lines`` (``line, text, n``) that may be near.
 
-    Lines that crowd to the end are each paired with one line of every set that is near throughout.
+    Lines that crowd to the end are each paired with one line of every set that is near throughout.  ``sample``,
+    some of the lines, only tells which keys go to the crowded lines without being counted.
     """
     if edits not in (1, 2):
         raise ValueError("edits must be 1 or 2")
     distinct = lines.select("text").distinct().select(F.xxhash64("text").alias("line"), "text", F.length("text").alias("n"))
-    keys = stage.save(_shared(_entries(distinct, edits)), "keys")
-    # Two entries are one pair; only for other keys are the entries made again.
-    found = [keys.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))]
-    met = stage.save(_entries(lines, edits).join(keys.where("n > 2").select("key", "pairs"), "key").distinct(), "met")
-    found.append(stage.save(_paired(met.where(F.col("pairs") <= PAIRS), edits), "pairs-0"))
-    many = met.where(F.col("pairs") > PAIRS).select(F.col("line").alias("key"))
+    heavy = stage.save(_heavy(lines if sample is None else sample, edits), "heavy")
+    alive = stage.save(_alive(_entries(distinct, edits), heavy), "keys")
+    found = [stage.save(_paired(alive.where(F.col("pairs") <= PAIRS), edits), "pairs-0")]
+    many = alive.where(F.col("pairs").isNull() | (F.col("pairs") > PAIRS)).select(F.col("line").alias("key"))
     if many.isEmpty():
-        return found[0].union(found[1]).distinct()
+        return found[0]
     crowded = _texts(lines, many, stage, "crowded")
     crowded = stage.save(crowded.withColumn("mark", _mark(F.col("text"))), "marked")
     for level, alike in enumerate(ALIKE, 1):
@@ -226,17 +255,12 @@ def within(x: Column, y: Column, edits: int) -> Column:
     return F.when(F.abs(gap) > edits, F.lit(False)).when(F.length(y) == 0, F.lit(True)).otherwise(reached)
 
 
-def _all_lines(documents: DataFrame, doc: str, text: str) -> DataFrame:
+def all_lines(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     return documents.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "text"))
 
 
 def document_lines(documents: DataFrame, doc: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    return _all_lines(documents, doc, text).where(F.length("text") >= min_chars)
-
-
-def short_lines(documents: DataFrame, doc: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """The other lines that are not blank."""
-    return _all_lines(documents, doc, text).where((F.length("text") < min_chars) & F.col("text").rlike(r"(?U)\S"))
+    return all_lines(documents, doc, text).where(F.length("text") >= min_chars)
 
 
 def line_classes(
@@ -254,20 +278,23 @@ def _classes(documents: DataFrame, doc: str, text: str, edits: int, min_chars: i
     stage = Stage(documents.sparkSession, "lines")
     lines = document_lines(documents, doc, text, min_chars)
     texts = lines.select(F.xxhash64("text").alias("line"), "text", F.length("text").alias("n"))
-    pairs = stage.save(candidate_pairs(texts, stage, edits), "pairs")
+    share = min(1.0, SAMPLE_DOCUMENTS / max(1, documents.count()))
+    sample = document_lines(documents.sample(share, 1), doc, text, min_chars).select("text") if share < 1 else None
+    pairs = stage.save(candidate_pairs(texts, stage, edits, sample), "pairs")
     name = F.md5("text")
     paired = _texts(texts, pairs.select(F.explode(F.array("a", "b")).alias("key")), stage, "paired")
-    paired = stage.save(paired.withColumn("mark", _mark(F.col("text"))), "paired-marks")
-    left, right = (paired.select(F.col("line").alias(x), F.col("text").alias(f"{x}_text"), F.col("mark").alias(f"{x}_mark")) for x in "ab")
-    met = pairs.join(left, "a").join(right, "b").where(_alike(F.col("a_mark"), F.col("b_mark"), edits))
+    paired = stage.save(paired.withColumn("counts", _counts(F.col("text"))), "paired-counts")
+    left, right = (paired.select(F.col("line").alias(x), F.col("text").alias(f"{x}_text"), F.col("counts").alias(f"{x}_counts")) for x in "ab")
+    # An edit adds or takes one of a character, or both of different ones.
+    differing = reduce(Column.__add__, (F.abs(F.get("a_counts", k) - F.get("b_counts", k)) for k in range(len(COUNTED))))
+    met = pairs.join(left, "a").join(right, "b").where(differing <= 2 * edits)
     links = met.where(within(F.col("a_text"), F.col("b_text"), edits)).select(F.md5("a_text").alias("a"), F.md5("b_text").alias("b"))
     near = components(links, stage, "near")
     own = [F.unhex("line").alias("line")] if named_lines else []
-    named = lines.select("doc", "line_no", name.alias("line"))
+    # A short line has the text of no other class, so it finds none here.
+    said = all_lines(documents, doc, text).where((F.length("text") >= min_chars) | F.col("text").rlike(r"(?U)\S")) if short else lines
+    named = said.select("doc", "line_no", name.alias("line"))
     classed = named.join(near.withColumnRenamed("node", "line"), "line", "left").select("doc", "line_no", F.coalesce("component", "line").alias("line_class"), *own)
-    if short:
-        alone = short_lines(documents, doc, text, min_chars).select("doc", "line_no", name.alias("line"))
-        classed = classed.union(alone.select("doc", "line_no", F.col("line").alias("line_class"), *own))
     classed = stage.save(classed, "classed")
     first = stage.save(classed.groupBy("line_class").agg(F.min(F.struct("doc", "line_no")).alias("first")), "first")
     return classed.join(first, "line_class").select(
