@@ -392,6 +392,26 @@ def test_chat(spark):
     assert [(r.turns, r.formatted) for r in chat.format_turns(chat.canonical_turns(odd)).collect()] == [(None, None)] * 4
 
 
+def test_turns_come_from_the_mappings(spark):
+    """Each conversation is read by the parts of its layout: other parts, other turns; no layout, no turns."""
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "system", "s"), (2, 1, "user", "u"), (2, 2, "assistant", "a")]
+    rows += [(3, 0, "system", "s"), (3, 1, "user", "u"), (3, 2, "tool", "t"), (4, 0, "gpt", "x"), (5, 0, "system", "alone")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+
+    def turns(layouts):
+        return {r.conv_id: r.turns and [tuple(t) for t in r.turns] for r in chat.conversation_turns(frame, layouts).collect()}
+
+    own = turns(chat.LAYOUTS)
+    assert own == {c: [(r, t) for d, _, r, t in rows if d == c] for c in range(1, 6)}
+    nobody = tuple(x._replace(parts=(chat.Field("nobody", "$.nothing"),)) for x in chat.LAYOUTS)
+    assert turns(nobody) == {c: [("nobody", "")] for c in range(1, 6)}
+    by_name = {x.name: x for x in chat.LAYOUTS}
+    swapped = by_name["prompt"]._replace(parts=(chat.Field("assistant", "$.prompt"), chat.Field("user", "$.completion")))
+    assert turns((swapped, by_name["messages"])) == {1: [("assistant", "q"), ("user", "a")], 2: None, 3: None, 4: own[4], 5: own[5]}
+    forms = chat.structured(frame)
+    assert {chat.type_paths(forms.schema[f].dataType) for f in chat.FORMS} == {x.paths for x in chat.LAYOUTS}
+
+
 def test_chat_of_any_size(spark, tmp_path):
     """Turns beyond the limits of the JSON parser are kept; a JSON record beyond them is an error."""
     long = "a<" * 10_000_001
