@@ -11,8 +11,9 @@ may be opened with, and the packing whose bins cost least in the end is taken.
 The cost of a sequence of n places is ``n * (1 + n / attention)``: memory and work that grow with its
 length, and attention, which grows with its square.
 
-Defined results: a NULL text counts as empty and is one piece of one token; repeated rows are packed once
-each; an empty table has no bins; other columns are not looked at.
+Defined results: a NULL text counts as empty and is one piece of one token; a count of tokens that is NULL or below 1
+counts as 0 and is one piece without tokens; a text longer than the longest length is cut into pieces;
+repeated rows are packed once each; an empty table has no bins; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -134,8 +135,8 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: which tokens of which document, and their bin, its length and their place in it."""
     longest = max(lengths)
-    sized = documents.select(F.col(doc).cast("bigint").alias("doc"), (byte_tokens(text) if tokens is None else tokens).alias("total"), F.monotonically_increasing_id().alias("row"))
-    n_pieces = F.ceil(F.col("total") / longest)
+    sized = documents.select(F.col(doc).cast("bigint").alias("doc"), (byte_tokens(text) if tokens is None else F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0))).cast("bigint").alias("total"), F.monotonically_increasing_id().alias("row"))
+    n_pieces = F.greatest(F.ceil(F.col("total") / longest), F.lit(1))
     n = sized.agg(F.sum(n_pieces)).first()[0] or 0
     groups = max(1, -(-n // group_pieces))
     pieces = sized.select("doc", "total", "row", F.explode(F.sequence(F.lit(0), n_pieces - 1)).alias("piece")).select(
