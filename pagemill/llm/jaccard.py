@@ -1,8 +1,8 @@
 """Exact Jaccard join of documents on word shingles, with signature trees.
 
 1. Each block of documents makes the set of 64-bit shingle fingerprints of every document.  Equal sets
-   of a block are kept once.  The fingerprints go to buckets; one that several documents of the
-   block share goes there once, with its count.
+   of a block are kept once.  The fingerprints go to buckets, without the bytes that the bucket tells;
+   one that several documents of the block share goes there once, with its count.
 2. Buckets return how many sets have each fingerprint, if two or more.  A set most of whose shingles
    nobody else has cannot be similar to another, and is done.
 3. The others keep their shared fingerprints, rarest first.  Two similar sets must share one of the
@@ -36,8 +36,8 @@ from pagemill.llm.words import SPACED, Words, blocks, text_bytes, window_prints
 from pagemill.operators.stage import Stage
 
 BLOCK_BYTES = 4 << 20
-# Text bytes per bucket of fingerprints: about half a million of them.
-BUCKET_BYTES = 3 << 20
+# Text bytes per bucket of fingerprints: about a quarter of a million of them.
+BUCKET_BYTES = 3 << 19
 SHINGLE = 5
 # The most documents on one side of a cell.
 CELL = 1024
@@ -119,49 +119,82 @@ def _fingerprints(bits: int, size: int):
                 by = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
                 value, doc, bucket = value[by], doc[by].astype(np.int32), bucket[by]
                 edge = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-                multi, weight = ordered[start][weight > 1], weight[weight > 1].astype(np.int32)
+                multi, weight = ordered[start][weight > 1], weight[weight > 1]
                 at = (multi >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(multi), np.int64)
                 cut = np.searchsorted(at, np.arange((1 << bits) + 1))
                 for b in range(1 << bits):
                     one, many = slice(edge[b], edge[b + 1]), slice(cut[b], cut[b + 1])
                     if one.start < one.stop or many.start < many.stop:
-                        rows.append((b, shard, value[one].tobytes(), _packed(doc[one]), multi[many].tobytes(), weight[many].tobytes(), None))
+                        rows.append((b, shard, _cut(value[one], bits), _packed(doc[one]), _cut(multi[many], bits), _narrow(weight[many]), None))
                 yield pa.RecordBatch.from_pylist([dict(zip(_ROW.names, r, strict=True)) for r in rows], _ROW)
 
     return run
 
 
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on in the least width that holds them, which stands before them."""
+    most = int(numbers.max()) if len(numbers) else 0
+    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _packed(doc: np.ndarray) -> bytes:
-    """Rising document numbers as how many there are of each, which compresses well."""
-    return np.bincount(doc).astype(np.int32).tobytes() if len(doc) else b""
+    """Rising document numbers: how many there are of each, or their steps where documents are more than numbers."""
+    if not len(doc):
+        return b""
+    if doc[-1] < len(doc):
+        return b"n" + _narrow(np.bincount(doc))
+    return b"s" + _narrow(np.diff(doc, prepend=0))
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    n = np.frombuffer(raw, np.int32)
-    return np.repeat(np.arange(len(n), dtype=np.int32), n)
+    if not raw:
+        return np.zeros(0, np.int32)
+    numbers = _wide(raw[1:])
+    return (np.repeat(np.arange(len(numbers)), numbers) if raw[:1] == b"n" else np.cumsum(numbers)).astype(np.int32)
+
+
+def _cut(value: np.ndarray, bits: int) -> bytes:
+    """Fingerprints of one bucket without the whole bytes that the bucket's number tells."""
+    return np.ascontiguousarray(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 - bits // 8]).tobytes()
+
 
+def _uncut(raw: bytes, bits: int, bucket: int) -> np.ndarray:
+    kept = 8 - bits // 8
+    whole = np.zeros((len(raw) // kept, 8), np.uint8)
+    whole[:, :kept] = np.frombuffer(raw, np.uint8).reshape(-1, kept)
+    if kept < 8:
+        top = np.array([bucket << (64 - bits)], np.uint64).astype("<u8").view(np.uint8)
+        whole[:, kept:] = top[kept:]
+    return whole.view("<u8").ravel().astype(np.uint64, copy=False)
 
-_SHARED = pa.schema([("shard", pa.string()), ("single", pa.binary()), ("places", pa.binary()), ("weights", pa.binary()), ("docs", pa.binary())])
-_SHARED_SQL = "shard string, single binary, places binary, weights binary, docs binary"
+
+_SHARED = pa.schema([("shard", pa.string()), ("bucket", pa.int64()), ("single", pa.binary()), ("places", pa.binary()), ("multi", pa.binary()), ("weights", pa.binary()), ("docs", pa.binary())])
+_SHARED_SQL = "shard string, bucket bigint, single binary, places binary, multi binary, weights binary, docs binary"
 
 
 def _count_sets(bits: int):
     """Step 2: fingerprints that two or more sets have, back to their blocks with the number of sets."""
 
     def run(group: pa.Table) -> pa.Table:
-        if group.column("bucket")[0].as_py() >= 1 << bits:
-            return group.select(["shard", "single", "places", "weights", "docs"]).cast(_SHARED)
+        bucket = group.column("bucket")[0].as_py()
+        if bucket >= 1 << bits:
+            return group.select(_SHARED.names).cast(_SHARED)
         shards = group.column("shard").to_pylist()
-        single = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("single")]
-        multi = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("multi")]
-        weight = [np.ones(len(x), np.int32) for x in single] + [np.frombuffer(x.as_py(), np.int32) for x in group.column("weights")]
+        single = [_uncut(x.as_py(), bits, bucket) for x in group.column("single")]
+        multi = [_uncut(x.as_py(), bits, bucket) for x in group.column("multi")]
+        weight = [np.ones(len(x), np.int64) for x in single] + [_wide(x.as_py()) for x in group.column("weights")]
         value, weight = np.concatenate(single + multi), np.concatenate(weight)
         by = np.argsort(value)
         ordered = value[by]
         new = np.ones(len(ordered), bool)
         new[1:] = ordered[1:] != ordered[:-1]
         start = np.flatnonzero(new)
-        total = np.add.reduceat(weight[by].astype(np.int64), start)
+        total = np.add.reduceat(weight[by], start)
         sets = np.zeros(len(value), np.int32)
         sets[by] = np.minimum(np.repeat(total, np.diff(np.append(start, len(value)))), 2**31 - 1)
         rows, at, after = [], 0, sum(map(len, single))
@@ -172,11 +205,8 @@ def _count_sets(bits: int):
             place = _unpacked(group.column("places")[k].as_py())[keep]
             if len(place) or len(many):
                 rows.append({
-                    "shard": shard,
-                    "single": np.concatenate([single[k][keep], multi[k]]).tobytes(),
-                    "places": np.concatenate([place, np.full(len(many), -1, np.int32)]).tobytes(),
-                    "weights": np.concatenate([one[keep], many]).tobytes(),
-                    "docs": None,
+                    "shard": shard, "bucket": bucket, "single": _cut(single[k][keep], bits), "places": _packed(place),
+                    "multi": _cut(multi[k], bits), "weights": _narrow(np.concatenate([one[keep], many])), "docs": None,
                 })
         return pa.Table.from_pylist(rows, _SHARED)
 
@@ -187,26 +217,35 @@ _SETS = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("digest", pa.binary(
 _SETS_SQL = "doc bigint, n bigint, digest binary, tokens array<bigint>, prefix int"
 
 
-def _gather(group: pa.Table) -> pa.Table:
+def _gather(bits: int):
     """Step 3: all documents of a block; the sets that may be similar to another with their shared part."""
-    value, place, sets = [], [], []
-    for row in group.to_pylist():
-        v, p = np.frombuffer(row["single"], np.uint64), np.frombuffer(row["places"], np.int32)
-        if row["docs"] is not None:
-            docs, inner, owner = pa.ipc.open_stream(row["docs"]).read_all(), v, p
-        else:
-            value.append(v)
-            place.append(p)
-            sets.append(np.frombuffer(row["weights"], np.int32))
-    value = np.concatenate([*value, np.zeros(0, np.uint64)])
-    place = np.concatenate([*place, np.zeros(0, np.int32)])
-    sets = np.concatenate([*sets, np.zeros(0, np.int32)])
-    wide = place < 0
-    by = np.argsort(value[wide])
-    names, sizes = value[wide][by], sets[wide][by]
-    value = np.concatenate([value[~wide], inner])
-    place = np.concatenate([place[~wide], owner])
-    sets = np.concatenate([sets[~wide], sizes[np.searchsorted(names, inner)] if len(inner) else np.zeros(0, np.int32)])
+
+    def run(group: pa.Table) -> pa.Table:
+        value, place, sets, names, sizes = [], [], [], [], []
+        for row in group.to_pylist():
+            if row["docs"] is not None:
+                docs = pa.ipc.open_stream(row["docs"]).read_all()
+                inner, owner = np.frombuffer(row["single"], np.uint64), np.frombuffer(row["places"], np.int32)
+            else:
+                value.append(_uncut(row["single"], bits, row["bucket"]))
+                place.append(_unpacked(row["places"]))
+                names.append(_uncut(row["multi"], bits, row["bucket"]))
+                counted = _wide(row["weights"])
+                sets.append(counted[: len(place[-1])])
+                sizes.append(counted[len(place[-1]) :])
+        names, sizes = np.concatenate([*names, np.zeros(0, np.uint64)]), np.concatenate([*sizes, np.zeros(0, np.int64)])
+        by = np.argsort(names)
+        names, sizes = names[by], sizes[by]
+        value = np.concatenate([*value, inner])
+        place = np.concatenate([*place, owner])
+        sets = np.concatenate([*sets, sizes[np.searchsorted(names, inner)]])
+        return _hopeful(docs, value, place, sets)
+
+    return run
+
+
+def _hopeful(docs: pa.Table, value: np.ndarray, place: np.ndarray, sets: np.ndarray) -> pa.Table:
+    """Rows of the documents, with the shared fingerprints, rarest first, where they are enough."""
     by = np.lexsort((value, sets, place))
     value, place = value[by], place[by]
     n = docs.column("n").to_numpy()
@@ -338,7 +377,7 @@ def shared_sets(documents: DataFrame, stage: Stage, doc: str = "doc_id", text: s
     bits = max(size // BUCKET_BYTES, 1).bit_length() - 1
     rows = renamed.mapInArrow(_fingerprints(bits, SHINGLE), _ROW_SQL)
     shared = rows.groupBy("bucket").applyInArrow(_count_sets(bits), _SHARED_SQL)
-    return stage.save(shared.groupBy("shard").applyInArrow(_gather, _SETS_SQL), "sets")
+    return stage.save(shared.groupBy("shard").applyInArrow(_gather(bits), _SETS_SQL), "sets")
 
 
 def _similar(a: str, b: str):

@@ -523,3 +523,27 @@ def test_packing_keeps_every_token(spark, awkward):
 def test_digest_of_nothing(spark):
     docs = spark.createDataFrame([(1, None)], "doc_id long, text string")
     assert substrings.remove_repeats(docs, digest=True).first().kept == sha256(b"").hexdigest()
+
+
+def test_packing_of_given_counts(spark):
+    """Counts of 0, below 0 and NULL are one piece without tokens; no row is lost, no token is made."""
+    rows = [(1, 0), (2, None), (3, -5), (4, 7), (5, 40), (6, 16)]
+    docs = spark.createDataFrame(rows, "doc_id long, counted long")
+    found = packing.pack_documents(docs, text="counted", tokens=F.col("counted"), lengths=(8, 16)).collect()
+    by_doc = {}
+    for r in found:
+        by_doc.setdefault(r.doc, []).append(r.n_tokens)
+        assert r.piece >= 0 and r.bin_length in (8, 16)
+    assert {d: sorted(n) for d, n in by_doc.items()} == {1: [0], 2: [0], 3: [0], 4: [7], 5: [8, 16, 16], 6: [16]}
+
+
+@pytest.mark.parametrize("bits", [0, 7, 8, 13, 16])
+def test_packed_fingerprints_round_trip(bits):
+    draw = np.random.Generator(np.random.PCG64(bits))
+    value = draw.integers(0, 2**64, 500, dtype=np.uint64, endpoint=False)
+    bucket = (value >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(500, np.int64)
+    for b in set(bucket.tolist()):
+        own = value[bucket == b]
+        assert (jaccard._uncut(jaccard._cut(own, bits), bits, b) == own).all()
+    for doc in ([], [0], [3, 3, 9], [0] * 300 + [1], [70_000, 70_000, 900_000], list(range(400))):
+        assert jaccard._unpacked(jaccard._packed(np.array(doc, np.int32))).tolist() == doc
