@@ -7,10 +7,12 @@ each, then tell every range where its records lie in the whole order, and so the
 cut into pieces of equal bytes.  Records of one key stay together as long as they are less than a
 sixteenth of a shard; larger groups are cut where the bytes say.
 
-No task sorts more than a range, whose rows are bounded; a hot key is cut by id and row number like any
-other stretch of the order.  Defined results: a NULL text has no bytes and its own key; repeated rows are
-placed one by one; an empty table has no shards; other columns stay as they are, and none of them
-is shuffled but those asked for.
+No task sorts more than a range, whose rows are bounded; a hot key is cut by id, and repeated rows of one id
+by row number, like any other stretch of the order.  Row numbers tell nothing else apart than records that
+are alike, so the result is the same however the files lie.  Defined results: a NULL text has no bytes
+and its own key; a NULL id has its place among the ids; repeated rows are placed one by one; a very
+long text is one record, never cut; an empty table has no shards; other columns stay as they are,
+and none of them is shuffled but those asked for.
 """
 
 from __future__ import annotations
@@ -31,17 +33,20 @@ RANGE_ROWS = 4096
 OVERSAMPLE = 16
 
 
-def _order_key(key, sub) -> np.ndarray:
-    """Two signed 64-bit columns as byte strings that sort as the pair does."""
+ORDER = ["key", "sub", "row"]
+
+
+def _order_key(*columns) -> np.ndarray:
+    """Signed 64-bit columns as byte strings that sort as their rows do."""
     flip = np.uint64(1 << 63)
-    pair = np.stack([np.asarray(key, np.int64).view(np.uint64) ^ flip, np.asarray(sub, np.int64).view(np.uint64) ^ flip], axis=1)
-    return np.ascontiguousarray(pair.astype(">u8")).view("S16").ravel()
+    rows = np.stack([np.asarray(c, np.int64).view(np.uint64) ^ flip for c in columns], axis=1)
+    return np.ascontiguousarray(rows.astype(">u8")).view(f"S{8 * len(columns)}").ravel()
 
 
 def _range_of(splitters: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield rows.assign(range=np.searchsorted(splitters, _order_key(rows["key"], rows["sub"]), side="right").astype(np.int64))
+            yield rows.assign(range=np.searchsorted(splitters, _order_key(*(rows[c] for c in ORDER)), side="right").astype(np.int64))
 
     return run
 
@@ -49,12 +54,12 @@ def _range_of(splitters: np.ndarray):
 def _sample(rows: DataFrame, total: int, wanted: int) -> list:
     """About ``wanted`` keys, each drawn as often as its bytes ask for."""
     chance = F.col("size") * wanted / F.lit(total)
-    drawn = F.floor(chance + F.pmod(F.xxhash64("key", "sub"), F.lit(1 << 20)) / F.lit(1 << 20))
-    return rows.select("key", "sub", drawn.alias("times")).where("times > 0").collect()
+    drawn = F.floor(chance + F.pmod(F.xxhash64(*ORDER), F.lit(1 << 20)) / F.lit(1 << 20))
+    return rows.select(*ORDER, drawn.alias("times")).where("times > 0").collect()
 
 
 def _quantiles(sample: list, parts: int) -> np.ndarray:
-    keys = _order_key([r.key for r in sample], [r["sub"] for r in sample])
+    keys = _order_key(*([r[c] for r in sample] for c in ORDER))
     order = np.argsort(keys)
     weight = np.cumsum(np.array([r.times for r in sample], np.float64)[order])
     cut = np.searchsorted(weight, np.arange(1, parts) * (weight[-1] / parts))
@@ -73,19 +78,17 @@ def assign_shards(
     The driver holds the splitters and one count per range, that is a record for each ``range_rows`` rows.
     """
     stage = Stage(records.sparkSession, "shards")
-    row = F.monotonically_increasing_id()
     rows = stage.save(
         records.select(
             *(F.col(k).alias(f"k_{i}") for i, k in enumerate(keep)), size.cast("bigint").alias("size"), key.cast("bigint").alias("key"),
-            # The same record always gets the same place among its equals.
-            F.xxhash64(tie, row).alias("sub"),
+            F.xxhash64(tie).alias("sub"), F.monotonically_increasing_id().alias("row"),
         ),
         "rows",
     )
     count, total = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
     total = total or 0
     parts = max(4 * n_shards, -(-count // range_rows)) if count else 1
-    splitters = _quantiles(_sample(rows, total, OVERSAMPLE * parts), parts) if total else np.zeros(0, "S16")
+    splitters = _quantiles(_sample(rows, total, OVERSAMPLE * parts), parts) if total else np.zeros(0, f"S{8 * len(ORDER)}")
     while True:
         ranged = _ranged(rows, splitters)
         sizes = {r["range"]: (r.n, r.bytes) for r in ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()}
@@ -94,7 +97,7 @@ def assign_shards(
         if crowded:
             inside = ranged.where(F.col("range").isin(list(crowded))).withColumn("size", F.lit(1))
             rows_inside = sum(sizes[k][0] for k in crowded)
-            sample = _sample(inside.select("key", "sub", "size"), rows_inside, OVERSAMPLE * sum(crowded.values()))
+            sample = _sample(inside.select(*ORDER, "size"), rows_inside, OVERSAMPLE * sum(crowded.values()))
             if sample:
                 more = np.union1d(splitters, _quantiles(sample, sum(crowded.values()) + 1))
         if len(more) == len(splitters):
@@ -106,19 +109,22 @@ def assign_shards(
     before = records.sparkSession.createDataFrame(
         [(k, rows_before[k], bytes_before[k]) for k in ordered] or [(0, 0, 0)], "range bigint, rows_before bigint, bytes_before bigint"
     )
-    order = Window.partitionBy("range").orderBy("key", "sub")
-    same = Window.partitionBy("range", "key")
-    small = F.sum("size").over(same) * 16 * n_shards < F.lit(total)
-    placed = (
-        ranged.withColumn("row", F.row_number().over(order) - 1)
+    order = Window.partitionBy("range").orderBy(*ORDER)
+    ends = stage.save(
+        ranged.withColumn("place", F.row_number().over(order) - 1)
         .withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("small", small).withColumn("begin", F.min(F.col("end") - F.col("size")).over(same))
         .join(before, "range")
+        .select(*(f"k_{i}" for i in range(len(keep))), "size", "key", (F.col("bytes_before") + F.col("end")).alias("end"), (F.col("rows_before") + F.col("place")).alias("row")),
+        "ends",
     )
+    # A group may lie in several ranges; only groups of two records or more are met again.
+    groups = ends.groupBy("key").agg(F.sum("size").alias("bytes"), F.min(F.col("end") - F.col("size")).alias("begin"), F.count(F.lit(1)).alias("records"))
+    small = groups.where((F.col("records") > 1) & (F.col("bytes") * 16 * n_shards < F.lit(total))).select("key", "begin")
     # The middle of a record, or the start of a small group, decides.
-    at = F.col("bytes_before") + F.when(F.col("small"), F.col("begin")).otherwise(F.col("end") - F.ceil(F.col("size") / 2))
+    at = F.coalesce("begin", F.col("end") - F.ceil(F.col("size") / 2))
     shard = F.least(F.floor(at * n_shards / F.lit(max(total, 1))), F.lit(n_shards - 1)).cast("int")
-    named = stage.save(placed.select(*(f"k_{i}" for i in range(len(keep))), "size", shard.alias("shard"), (F.col("rows_before") + F.col("row")).alias("row")), "placed")
+    placed = ends.join(small, "key", "left")
+    named = stage.save(placed.select(*(f"k_{i}" for i in range(len(keep))), "size", shard.alias("shard"), "row"), "placed")
     first = named.groupBy("shard").agg(F.min("row").alias("first"))
     return named.join(F.broadcast(first), "shard").select(  # a row per shard
         *(F.col(f"k_{i}").alias(k) for i, k in enumerate(keep)), "size", "shard", (F.col("row") - F.col("first")).alias("slot")

@@ -351,6 +351,43 @@ def test_sharding(spark, awkward):
     assert sharding.assign_shards(docs.limit(0), F.xxhash64("text"), F.lit(1), F.col("doc_id"), ["doc_id"]).count() == 0
 
 
+def plain_cut(records, n_shards):
+    """``records``: (key, sub, size, name) -> rows of name, size, shard and slot, by one sort and one pass."""
+    records = sorted(records, key=lambda r: r[:2])
+    total, end = sum(r[2] for r in records), 0
+    group, begin, middle = {}, {}, []
+    for key, _, size, _ in records:
+        begin.setdefault(key, end)
+        group[key] = group.get(key, 0) + size
+        end += size
+        middle.append(end - -(-size // 2))
+    slots, rows = [0] * n_shards, []
+    for (key, _, size, name), at in zip(records, middle, strict=True):
+        if group[key] * 16 * n_shards < total and sum(1 for r in records if r[0] == key) > 1:
+            at = begin[key]
+        shard = min(at * n_shards // total, n_shards - 1)
+        rows.append((*name, size, shard, slots[shard]))
+        slots[shard] += 1
+    return sorted(rows, key=repr)
+
+
+def test_shards_are_those_of_a_plain_cut(spark, awkward):
+    """Whatever the ranges and however the rows lie, the shards are those of one sorted list; equal texts stay together."""
+    rows = [r[:2] for r in awkward if not r[1] or len(r[1]) < 5_000] + [(2000 + k % 40, f"a text that has some copies, {k % 9}") for k in range(90)]
+    rows += [(None, "hot text that a third of all rows have")] * 40 + [(7, "hot text that a third of all rows have")] * 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key, size = F.coalesce(F.xxhash64("text"), F.lit(0)), F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    known = docs.select(key.alias("key"), F.xxhash64("doc_id").alias("sub"), size.alias("bytes"), "doc_id", "text").collect()
+    want = plain_cut([(r["key"], r["sub"], r["bytes"], (r["doc_id"], r["text"])) for r in known], 4)
+    for parts, most in ((5, 4096), (3, 3)):
+        found = sharding.assign_shards(docs.repartition(parts), key, size, F.col("doc_id"), ["doc_id", "text"], n_shards=4, range_rows=most)
+        assert sorted(((r.doc_id, r.text, r["size"], r.shard, r.slot) for r in found.collect()), key=repr) == want
+    shards = {}
+    for _, text, _, shard, _ in want:
+        shards.setdefault(text, set()).add(shard)
+    assert all(len(s) == 1 for t, s in shards.items() if t and t.startswith("a text that has"))
+
+
 def test_urls(spark, monkeypatch):
     import pandas as pd
 
