@@ -13,7 +13,8 @@ without a rule a listed page is blocked.
 A filter is an array literal of ``BITS_PER_KEY`` bits per key.  A list longer than ``LIST_KEYS`` is dealt into
 several cascades by a hash of the key, so that each literal keeps its size.  Defined results: a NULL
 URL or one without ``://`` has neither host nor path, no rule, and is allowed; repeated rows
-get the same verdict; an empty list blocks nothing; extra columns are not looked at.
+get the same verdict; an empty list blocks nothing, an empty table has no rows; a very long URL is a key
+like any other; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ from pagemill.operators.stage import Stage
 BITS_PER_KEY = 10
 HASHES = 5
 LIST_KEYS = 1 << 17
+# The page list of the query, since the tables hold none: pages captured more than once, and a quarter of
+# all, those whose SHA-256 in hexadecimal digits sorts below this.
+LISTED_BELOW = "4"
 
 
 class Rule(NamedTuple):
@@ -149,10 +153,12 @@ def judge_urls(pages: DataFrame, listed: DataFrame, page: str = "page_id", url:
     )
 
 
-def recaptured(pages: DataFrame, url: str = "url") -> DataFrame:
-    """Every page key of a corpus, listed when it was captured more than once."""
+def listed_pages(pages: DataFrame, url: str = "url", below: str = LISTED_BELOW) -> DataFrame:
+    """Every page key of a corpus, listed when it was captured more than once or its digest says so."""
     host, path = host_and_path(F.col(url))
-    return pages.groupBy(F.concat(host, path).alias("key")).agg((F.count(F.lit(1)) > 1).alias("listed"))
+    often = F.count(F.lit(1)) > 1
+    counted = pages.groupBy(F.concat(host, path).alias("key")).agg(often.alias("often"))
+    return counted.select("key", (F.col("often") | (F.sha2("key", 256) < below)).alias("listed"))
 
 
 QUERY = "op4_urls"
@@ -160,7 +166,7 @@ QUERY = "op4_urls"
 
 def query(spark, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet")
-    return judge_urls(pages, recaptured(pages))
+    return judge_urls(pages, listed_pages(pages))
 
 
 ORACLE = r"""
@@ -177,7 +183,7 @@ best as (
   select r, arg_max(h || start, length(h || start)) as rule, arg_max(verdict, length(h || start)) as verdict
   from p join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, start) group by r
 ),
-often as (select host, path from p group by host, path having count(*) > 1)
+often as (select host, path from p group by host, path having count(*) > 1 or sha256(host || path) < '4')
 select page_id, p.host, p.path, rule,
   coalesce(verdict, case when o.host is not null and p.host || p.path <> '' then 'block' else 'allow' end) as verdict
 from p left join best on p.r = best.r left join often o on o.host = p.host and o.path = p.path

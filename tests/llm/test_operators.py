@@ -394,20 +394,33 @@ def test_urls(spark, monkeypatch):
     hosts = ["a.com", "example.com", "www.example.com", "x.www.example.com", "net", "b.net", "COM", "notexample.com", "a.org", "org", ""]
     paths = ["", "/", "/en", "/en/", "/en/a", "/es/b?x", "/fr/#y", "/de/q"]
     urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "nothing", "a://b://c.com/en/", "http://h?x=1://y/", "http://u\nv.com/\nx"]
-    urls += [f"https://m{k}.org/p{k % 50}" for k in range(200)] + ["http://a.org/de/q"] * 2
+    urls += [f"https://m{k}.org/p{k % 50}" for k in range(200)] + ["http://a.org/de/q"] * 2 + ["http://long.org/" + "x" * 100_000]
     rows = list(enumerate(urls))
     pages = spark.createDataFrame([(k, u, "h") for k, u in rows], "page_id long, url string, host string")
     want = twin(rows, urlfilter.ORACLE.replace("from pages", "from documents"), ("page_id", "url"))
     for most in (1 << 17, 1):
         monkeypatch.setattr(urlfilter, "LIST_KEYS", most)
-        assert ours(urlfilter.judge_urls(pages, urlfilter.recaptured(pages))) == want
+        assert ours(urlfilter.judge_urls(pages, urlfilter.listed_pages(pages))) == want
     # With filters so small that many keys pass by mistake, the levels still tell them apart.
     monkeypatch.setattr(urlfilter, "BITS_PER_KEY", 2)
     monkeypatch.setattr(urlfilter, "HASHES", 1)
     monkeypatch.setattr(urlfilter, "LIST_KEYS", 1 << 17)
-    assert ours(urlfilter.judge_urls(pages, urlfilter.recaptured(pages))) == want
+    assert ours(urlfilter.judge_urls(pages, urlfilter.listed_pages(pages))) == want
     empty = pages.limit(0)
-    assert urlfilter.judge_urls(empty, urlfilter.recaptured(empty)).count() == 0
+    assert urlfilter.judge_urls(empty, urlfilter.listed_pages(empty)).count() == 0
+
+
+def test_levels_of_a_page_list(spark):
+    """A list of a thousand pages takes three levels or more, and each of them is needed for an exact answer."""
+    pages = spark.range(4000).select("id", F.concat(F.lit("http://h"), F.col("id") % 7, F.lit(".org/p"), "id").alias("url"))
+    listed = urlfilter.listed_pages(pages).persist()
+    cascade = urlfilter.build_cascade(listed, Stage(spark, "levels"), "pages")
+    assert 800 < listed.where("listed").count() < 1200
+    assert len(cascade.parts) == 1 and len(cascade.parts[0]) >= 3
+    assert listed.where(cascade.has(F.col("key")) != F.col("listed")).count() == 0
+    for depth in range(1, len(cascade.parts[0])):
+        shorter = urlfilter.Cascade([cascade.parts[0][:depth]])
+        assert listed.where(shorter.has(F.col("key")) != F.col("listed")).count() > 0
 
 
 def test_chat(spark):
