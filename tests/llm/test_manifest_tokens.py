@@ -110,6 +110,19 @@ def test_versions_share_all_but_their_ancestors(spark, manifest, rows):
     assert [r[0] for r in own] == [1 + level + 2]  # the leaf, its ancestors, and those above the subroot
 
 
+def test_leaves_as_they_were_are_folded(manifest):
+    """A wrong digest above the trees shows on every leaf, not only on tampered ones."""
+    [block] = [r.asDict(recursive=True) for r in manifest.forest.block_paths().where("tree = '=alone'").collect()]
+    names = ("tree", "block", "levels", "items", "changes", "path", "root")
+    for wrong in (False, True):
+        above = [{"place": 0, "others": [b"x" * 32 if wrong else b"y" * 32]}]
+        root = merkle.fold(block["root"], [{"place": 0, "others": [b"y" * 32]}])[-1]
+        batch = pa.RecordBatch.from_pylist([{**{n: block[n] for n in names}, "changes": [None], "top_path": above, "top_pos": 0, "top_root": root}])
+        [row] = [r for b in merkle._document_rows(iter([batch])) for r in b.to_pylist()]
+        assert row["tampered"] is None and row["copies"] is None
+        assert (row["folded_root"] == row["root"]) is not wrong
+
+
 def test_manifest_of_nothing_and_of_one_row(spark):
     empty = spark.createDataFrame([], ROWS)
     assert merkle.document_manifest(empty).documents().count() == 0
