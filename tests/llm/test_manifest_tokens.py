@@ -245,3 +245,14 @@ def test_alignment_of_nothing(spark):
     assert got.count() == 0 and pairs.count() == 0
     got, _ = alignment.align_documents(spark.createDataFrame([(1, None, "n", "f", 1), (2, "", "n", "f", 1)], NAMES), BYTE, PIECE)
     assert {(r.doc_id, r.n_a, r.n_best, r.count_sum, r.groups_sha256) for r in got.collect()} == {(1, 0, 0, 0, ""), (2, 0, 0, 0, "")}
+
+
+def test_counts_of_a_batch_are_one_table():
+    """A batch of many blocks gives each pair once, with the links of all blocks."""
+    texts = ["the same few words again"] * 400
+    batch = pa.RecordBatch.from_pydict({"row": list(range(400)), "doc_id": list(range(400)), "text": texts})
+    rows = [r for b in alignment._aligned(BYTE, PIECE, 100)(iter([batch])) for r in b.to_pylist()]
+    pairs = {r["pair"]: r["n"] for r in rows if r["kind"] == "pair"}
+    assert len(pairs) == sum(r["kind"] == "pair" for r in rows)
+    links = Counter(k for r in rows if r["kind"] == "doc" for k in r["links"])
+    assert pairs == links and set(pairs.values()) == {400}
