@@ -307,3 +307,23 @@ def test_matching_needs_one_exchange(spark):
     made = html.match_elements(html.page_tokens(frame(spark, ["<p>x"])))
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Python" not in plan
+
+
+def test_pages_are_dealt_by_their_bytes(spark, monkeypatch):
+    """More HTML makes more tasks, not larger ones."""
+    pages = spark.createDataFrame([(k, "<p>x</p>" * 100) for k in range(40)], "page_id long, html string")
+    few = html.elements(pages).rdd.getNumPartitions()
+    monkeypatch.setattr(html, "PART_BYTES", 400)
+    assert html.parts_of(pages) == 80 and html.elements(pages).rdd.getNumPartitions() == 80 > few
+    assert html.page_tokens(pages, parts=html.parts_of(pages)).rdd.getNumPartitions() == 80
+    assert html.parts_of(pages.where("false")) == spark.sparkContext.defaultParallelism
+
+
+def test_long_pages_fold_like_short_ones(spark):
+    """Runs of folded tags end anywhere: elements around them, and tags left open, keep their places."""
+    n = 3 * html._FOLDED + 5
+    page = "<ul>" + "".join(f"<li>{k}<b>" for k in range(n)) + "</ul>" + "<p>" * n
+    spans = {r.pos: (r.tag, r.end_pos) for r in html.match_elements(html.html_tokens(spark.createDataFrame([(1, page)], "page_id long, html string"))).where("kind = 'open'").collect()}
+    assert spans[0] == ("ul", 3 * n + 1)
+    assert all(spans[1 + 3 * k] == ("li", 3 * k + 3) and spans[3 + 3 * k] == ("b", 3 * k + 3) for k in range(n))
+    assert [spans[3 * n + 2 + k][1] for k in range(n)] == [3 * n + 2 + k for k in range(n - 1)] + [html.PAGE_END]
