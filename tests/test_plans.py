@@ -71,3 +71,15 @@ def twins():
 def test_twin(spark, twins, name):
     sql, db = twins
     assert compare.difference(spark, db, all_queries()[name], sql[name], SMALL) == ""
+
+
+def test_crawl_queries_take_no_titles(spark, monkeypatch):
+    """A title costs a pass over the tokens of its page, and no query on crawl documents has one."""
+    from pagemill.plans import queries
+
+    results = spark.createDataFrame([(1, "http://a.example/", "t")], "crawl_id long, requested_url string, title string")
+    monkeypatch.setattr(queries, "_crawl_inputs", lambda spark, folder: (None, None, None))
+    monkeypatch.setattr(queries.crawl, "bounded_crawl", lambda *inputs: results)
+    monkeypatch.setattr(queries.corpus, "crawl_documents", lambda got, fetches, texts: got)
+    for texts in (True, False):
+        assert queries._crawl_documents(spark, "", texts).columns == ["crawl_id", "requested_url"]
