@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagemill.llm import alignment, merkle, tokenfiles
+from pagemill.llm import alignment, merkle, tokenfiles, tokens
 from pagemill.llm.tokens import WordEncoder, byte_level_encoder
 from pagemill.operators.stage import Stage
 
@@ -191,6 +191,48 @@ def test_token_files_round_trip(spark):
         tokenfiles.parse_footer(bytes(content[:-9]), b"x" * 32)
 
 
+def test_starts_come_without_a_shuffle_of_documents(spark):
+    """A row per file says where its ids begin; documents are neither shuffled nor sorted for it."""
+    documents = [(k, f"text number {k}", "n", "f", 1) for k in range(400)]
+    folder = f"{Stage(spark, 'tokens-test').root}/out"
+    tokenfiles.write_token_files(spark.createDataFrame(documents, NAMES).repartition(4), folder, WORD, 2, 49408, file_bytes=1000)
+    read = tokenfiles.read_token_files(spark, folder)
+    rows = tokenfiles.with_starts(spark, folder, read)
+    assert "SortMergeJoin" not in (plan := rows._jdf.queryExecution().toString()) and "hashpartitioning" not in plan
+    got = [(r.doc_id, r.start) for r in rows.orderBy("doc_id").collect()]
+    assert len({r.file for r in rows.collect()}) > 3
+    assert got == [(r.doc_id, r.start) for r in tokenfiles.read_index(spark, folder).orderBy("doc_id").collect()]
+    assert got == [(r.doc_id, r.start) for r in tokenfiles.with_starts(spark, folder, read.drop("within")).orderBy("doc_id").collect()]
+    counts = {r.doc_id: r.n_tokens for r in rows.collect()}
+    assert [s for _, s in got] == [sum(counts[d] for d in range(k)) for k in range(400)]
+
+
+def test_tokenising_tasks_hold_one_small_batch_at_a_time(spark, tmp_path):
+    """What Spark hands to a task at once does not grow with the length of texts, and the session is left as it was."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.range(2000).select(F.col("id").alias("doc_id"), F.expr("repeat('ab cd ', 200)").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/long")
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())}) for b in batches)
+
+    rows = spark.read.parquet(f"{tmp_path}/long").mapInArrow(sizes, "n long")
+    assert max(r.n for r in rows.collect()) > 2_000_000
+    with tokenfiles._batches_of(spark, 100_000):
+        assert max(r.n for r in rows.collect()) < 120_000
+    assert spark.conf.get(name) == before
+
+
+def test_readers_give_encoders_back():
+    """A worker that writes or reads frames does not hold the words of the tasks before."""
+    kind, digest = np.dtype("<u2"), bytes(32)
+    for run in (tokenfiles._records(kind, digest), tokenfiles._footers(digest), tokenfiles._decoded(b"")):
+        tokens.word_encoder(WORD).texts(pa.array(["some words"]))
+        assert tokens.word_encoder.cache_info().currsize == 1
+        assert list(run(iter([]))) == []
+        assert tokens.word_encoder.cache_info().currsize == 0
+
+
 def test_token_files_of_nothing(spark):
     folder = f"{Stage(spark, 'tokens-test').root}/out"
     tokenfiles.write_token_files(spark.createDataFrame([], NAMES), folder, WORD, 2, 49408)
