@@ -223,6 +223,24 @@ def test_tokenising_tasks_hold_one_small_batch_at_a_time(spark, tmp_path):
     assert spark.conf.get(name) == before
 
 
+def test_the_library_gets_few_texts_in_a_call():
+    encoder, calls = WordEncoder(WORD), []
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            calls.append(len(texts))
+            return self.library.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    texts = [f"日本語 {k}" for k in range(100)]
+    got = encoder.texts(pa.array(texts)).to_pylist()
+    assert got == [Tokenizer.from_file(WORD).encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(calls) >= 100 and max(calls) <= 16
+
+
 def test_readers_give_encoders_back():
     """A worker that writes or reads frames does not hold the words of the tasks before."""
     kind, digest = np.dtype("<u2"), bytes(32)
