@@ -197,6 +197,8 @@ def test_starts_come_without_a_shuffle_of_documents(spark):
     folder = f"{Stage(spark, 'tokens-test').root}/out"
     tokenfiles.write_token_files(spark.createDataFrame(documents, NAMES).repartition(4), folder, WORD, 2, 49408, file_bytes=1000)
     read = tokenfiles.read_token_files(spark, folder)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "Filter " not in plan and "Project " not in plan  # each would copy the contents of files
     rows = tokenfiles.with_starts(spark, folder, read)
     assert "SortMergeJoin" not in (plan := rows._jdf.queryExecution().toString()) and "hashpartitioning" not in plan
     got = [(r.doc_id, r.start) for r in rows.orderBy("doc_id").collect()]
