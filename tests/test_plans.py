@@ -83,3 +83,24 @@ def test_crawl_queries_take_no_titles(spark, monkeypatch):
     monkeypatch.setattr(queries.corpus, "crawl_documents", lambda got, fetches, texts: got)
     for texts in (True, False):
         assert queries._crawl_documents(spark, "", texts).columns == ["crawl_id", "requested_url"]
+
+
+def test_crawl_stats_makes_every_document(spark, monkeypatch, tmp_path):
+    """The statistics are those of documents that were made and written with their titles and texts."""
+    from pagemill.plans import queries
+
+    body = "<html><head><title>{0}</title></head><body><article><p>words of page {0}</p></article></body></html>"
+    rows = [(n, f"http://a.example/en/{n}", body.format(t)) for n, t in enumerate(["zero", "one", "two", "three"])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    made = []
+    whole = queries.corpus.crawl_stats
+    monkeypatch.setattr(queries.corpus, "crawl_stats", lambda documents: made.append(documents) or whole(documents))
+    stats = {r.crawl_id: r for r in all_queries()["crawl_stats"](spark, str(tmp_path)).collect()}
+    documents = made[0].collect()
+    assert {"title", "markdown"} <= set(made[0].columns) and set(stats) == {0, 1, 2, 3}
+    answered = [d for d in documents if not d.error]
+    assert answered and all(d.title in ("zero", "one", "two", "three") and f"words of page {d.title}" in d.markdown for d in answered)
+    for crawl_id, found in stats.items():
+        own = [d for d in documents if d.crawl_id == crawl_id]
+        assert found.n_success + found.n_failed == len(own)
+        assert found.estimated_tokens == sum(len(d.markdown.split()) for d in own)
