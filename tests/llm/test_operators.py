@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 from hashlib import sha256
@@ -483,6 +484,34 @@ def test_chat_of_any_size(spark, tmp_path):
         chat.canonical_turns(big).select("turns").collect()
 
 
+def test_conversations_are_parsed_records(spark, monkeypatch):
+    """Fingerprint and turns come from the record of each conversation; what JSON cannot hold is read from its struct, unchanged."""
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "system", "s"), (2, 1, "user", "u"), (2, 2, "assistant", "")]
+    rows += [(3, 0, "system", "s"), (3, 1, "tool", "t"), (4, 0, None, None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    broken = spark.range(1).selectExpr("5L as conv_id", "0L as turn", "'user' as role", "cast(unhex('41ff42') as string) as text")
+    wide = spark.range(1).selectExpr("6L as conv_id", "0L as turn", "'user' as role", "repeat('\U0001F600', 10000001 + cast(id as int)) as text")
+    frame = frame.union(broken).union(wide)
+    digests = F.transform("turns", lambda t: F.concat(t["role"], F.lit(" "), F.sha2(t["text"].cast("binary"), 256))).alias("turns")
+    found = {r.conv_id: r for r in chat.conversation_turns(frame).select("conv_id", "fingerprint", digests).collect()}
+    texts = {(c, t): (text or "").encode() for c, t, _, text in rows} | {(5, 0): b"A\xffB", (6, 0): ("\U0001F600" * 10_000_001).encode()}
+    roles = {(c, t): role or "" for c, t, role, _ in rows} | {(5, 0): "user", (6, 0): "user"}
+    assert {c: r.turns for c, r in found.items()} == {
+        c: [f"{roles[k]} {sha256(texts[k]).hexdigest()}" for k in sorted(texts) if k[0] == c] for c in range(1, 7)
+    }
+    assert len({r.fingerprint for r in found.values()}) == 4 and len({found[c].fingerprint for c in (4, 5, 6)}) == 1
+
+    seen = []
+    parse = chat.canonical_turns
+    other = F.when(F.col("conv_id") == 1, F.lit('{"messages": [{"content": "y", "role": "x"}]}')).otherwise(F.col("record"))
+    monkeypatch.setattr(chat, "canonical_turns", lambda records, **more: seen.append(records) or parse(records.withColumn("record", other), **more))
+    turns = chat.conversation_turns(frame).where("conv_id = 1").first()
+    assert [tuple(t) for t in turns.turns] == [("x", "y")] and turns.fingerprint == found[4].fingerprint
+    records = {r.conv_id: r.record for r in seen[0].select("conv_id", "record").collect()}
+    assert {c for c, record in records.items() if record is None} == {5, 6}
+    assert json.loads(records[1]) == {"prompt": "q", "completion": "a"} and json.loads(records[4]) == {"messages": [{"role": "", "content": ""}]}
+
+
 def test_licenses(spark, awkward):
     mit = licenses.NOTICES[4][1]
     rows = awkward + [
